@@ -122,8 +122,9 @@ def select_model(history: DataFrame, models: Sequence[str]) -> DataFrame:
 
 
 def winner_history(history: DataFrame, models: Sequence[str]) -> DataFrame:
-    """All epochs of the selected model."""
-    return history.join(select_model(history, models).select("model"), "model", "left_semi")
+    """All epochs of the selected model; its name is looked up first."""
+    best = select_model(history, models).first()
+    return history.limit(0) if best is None else history.filter(F.col("model") == best["model"])
 
 
 def trim_history(history: DataFrame, drop_last: int = 0) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -44,6 +46,19 @@ def _key_struct(keys: Sequence[str]) -> Column:
     return F.struct(*[F.col(k).alias(k) for k in keys])
 
 
+def _before(keys: Sequence[str], row: Row) -> Column:
+    """Whether the row's key comes before ``row``; NULL comes first.
+
+    Spelled out per column, so that it reaches the scan as a filter.
+    """
+    key, rest = keys[0], keys[1:]
+    bound = row[key]
+    below = F.lit(False) if bound is None else F.col(key).isNull() | (F.col(key) < bound)
+    if not rest:
+        return below
+    return below | (F.col(key).eqNullSafe(bound) & _before(rest, row))
+
+
 def _row_literal(df: DataFrame, keys: Sequence[str], row: Row) -> Column:
     """A constant struct with the column types of the keys."""
     return F.struct(*[F.lit(row[k]).cast(df.schema[k].dataType).alias(k) for k in keys])
@@ -159,7 +174,7 @@ def row_at(df: DataFrame, i: int, order_by: str | Sequence[str]) -> DataFrame:
     key = key_at(df, i, keys)
     if key is None:
         return df.limit(0)
-    return df.filter(_key_struct(keys) == _row_literal(df, keys, key))
+    return df.filter(reduce(and_, [F.col(k).eqNullSafe(key[k]) for k in keys]))
 
 
 def ordered_split(
@@ -174,8 +189,9 @@ def ordered_split(
     cut = key_at(df, n, keys)
     if cut is None:
         return df.withColumn(out, F.lit("train"))
-    before = _key_struct(keys) < _row_literal(df, keys, cut)
-    return df.withColumn(out, F.when(before, F.lit("train")).otherwise(F.lit("valid")))
+    return df.withColumn(
+        out, F.when(_before(keys, cut), F.lit("train")).otherwise(F.lit("valid"))
+    )
 
 
 def seeded_shuffle(

@@ -81,20 +81,23 @@ def length_histogram(df: DataFrame, col: str = "tweet_length", bins: int = 50) -
     one half on both sides. The table is read once, for the count of each distinct
     length; bounds and bins come from that.
     """
-    by_length = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("x")).agg(
-        F.count("*").alias("n")
+    by_length = (
+        df.filter(F.col(col).isNotNull())
+        .groupBy(F.col(col).alias("x"))
+        .agg(F.count("*").alias("n"))
     )
-    bounds = by_length.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo IS NOT NULL")
+    # The count keeps the optimizer from scanning the table again for the bounds alone.
+    seen = F.when(F.col("n") > 0, F.col("x"))
+    bounds = by_length.agg(F.min(seen).alias("lo"), F.max(seen).alias("hi"))
     flat = F.col("lo") == F.col("hi")
-    edges = bounds.select(
-        F.lit(0).alias("one"),
+    edges = bounds.filter(F.col("lo").isNotNull()).select(
         F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo").cast("double")).alias("lo"),
         F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi").cast("double")).alias("hi"),
     )
-    placed = by_length.withColumn("one", F.lit(0)).join(F.broadcast(edges), "one")
+    lo, hi = edges.select("lo").scalar(), edges.select("hi").scalar()
     # Whole numbers times bins stay exact in a double, so edges are not blurred.
-    bin_no = F.floor((F.col("x") - F.col("lo")) * bins / (F.col("hi") - F.col("lo")))
-    counted = placed.groupBy(F.least(bin_no.cast("int"), F.lit(bins - 1)).alias("bin")).agg(
+    bin_no = F.floor((F.col("x") - lo) * bins / (hi - lo))
+    counted = by_length.groupBy(F.least(bin_no.cast("int"), F.lit(bins - 1)).alias("bin")).agg(
         F.sum("n").alias("n")
     )
     width = (F.col("hi") - F.col("lo")) / bins

@@ -998,10 +998,7 @@ def select_model(spark, folder):
 
 @query(f"{_WINNER} SELECT h.* FROM history h SEMI JOIN winner USING (model)")
 def winner_history(spark, folder):
-    rows = T.history(spark, folder)
-    parts = {m: rows.filter(F.col("model") == m).drop("model") for m in MODELS}
-    gathered = epochs.union_histories(parts).select(*rows.columns)
-    return epochs.winner_history(gathered, MODELS)
+    return epochs.winner_history(T.history(spark, folder), MODELS)
 
 
 @query(f"{HISTORY} SELECT * FROM history")

@@ -11,8 +11,8 @@ def head_sql(inputs: str, classes: int, epochs: int, lr: float) -> str:
     """CTEs of full-batch training: ``run`` has the history, ``scored`` the predictions.
 
     ``inputs`` selects ``id, label, is_train, pos, x``. Each epoch is written out. The
-    saved weights are those of the lowest valid loss; the stop rules are left out, as
-    they cannot act within so few epochs of falling loss.
+    saved weights are those of the lowest valid loss. Meant for at most four epochs: a
+    patience of 3 cannot stop a run before its fourth epoch.
     """
     parts = [
         f"""f AS MATERIALIZED (SELECT id, CAST(label AS INT) AS label, is_train, pos, x
