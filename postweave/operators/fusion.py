@@ -22,28 +22,40 @@ def fuse_concat(df: DataFrame, first: str, second: str, out: str = "fused") -> D
     return df.withColumn(out, F.concat(first, second))
 
 
+# Scores are summed by level of this width before they are scaled to the key's maximum:
+# exp of the width is far from overflow, and nearly all keys have one or two levels.
+LEVEL_WIDTH = 256
+
+
+def _level(score: Column) -> Column:
+    return F.floor(score / LEVEL_WIDTH) * LEVEL_WIDTH
+
+
+def _scaled_to_top(parts: DataFrame, key: str) -> DataFrame:
+    """Add the key's top level and the factor from a row's level to it."""
+    of_key = Window.partitionBy(key)  # one row per level
+    topped = parts.withColumn("_top", F.max("_level").over(of_key))
+    return topped.withColumn("_scale", F.exp((F.col("_level") - F.col("_top")).cast("double")))
+
+
 def softmax_stats(scored: DataFrame, key: str, score: str = "_score") -> DataFrame:
     """``key, _top, _mass``: softmax of a key's scores is ``exp(score - _top) / _mass``.
 
-    Scores are summed by whole-number level first, each scaled to its level, so
-    nothing overflows. A key with very many rows is reduced to one row per level in
-    each task; no task sees all its rows.
+    A key with very many rows is reduced to one row per score level in each task; no
+    task sees all its rows.
     """
-    levels = (
-        scored.groupBy(key, F.floor(score).alias("_level"))
-        .agg(F.sum(F.exp(F.col(score) - F.floor(score))).alias("_part"))
+    level = _level(F.col(score))
+    parts = scored.groupBy(key, level.alias("_level")).agg(
+        F.sum(F.exp(F.col(score) - level)).alias("_part")
+    )
+    return (
+        _scaled_to_top(parts, key)
         .groupBy(key)
         .agg(
-            F.max("_level").alias("_top"),
-            F.collect_list(F.struct("_level", "_part")).alias("_parts"),
+            F.max("_top").cast("double").alias("_top"),
+            F.sum(F.col("_part") * F.col("_scale")).alias("_mass"),
         )
     )
-    mass = F.aggregate(
-        "_parts",
-        F.lit(0.0),
-        lambda acc, p: acc + p["_part"] * F.exp(p["_level"] - F.col("_top")),
-    )
-    return levels.select(key, F.col("_top").cast("double"), mass.alias("_mass"))
 
 
 def attention_score(vec: Column, weights, bias, query: Sequence[float]) -> Column:
@@ -89,7 +101,8 @@ def batch_attention(
             .withColumn(weight, power / F.col("_mass"))
             .drop("_top", "_mass")
         )
-    return weighted.withColumn(out, F.transform(col, lambda x: x * F.col(weight))).drop("_score")
+    scaled = PF.bind(F.col(weight), lambda w: F.transform(col, lambda x: x * w))
+    return weighted.withColumn(out, scaled).drop("_score")
 
 
 def _scored_pairs(
@@ -127,16 +140,16 @@ def cross_attention(
     pairs = _scored_pairs(
         texts.select(on, text_col), offered, on, query, key, text_col, image_col
     )
-    level = F.floor("_score")
+    level = _level(F.col("_score"))
     power = F.exp(F.col("_score") - level)
-    scaled = PF.bind(power, lambda p: F.transform("_v", lambda v: v * p))
+    powered = PF.bind(power, lambda p: F.transform("_v", lambda v: v * p))
     parts = (
         pairs.select(
             on,
             text_col,
             level.alias("_level"),
             power.alias("_power"),
-            array_to_vector(scaled).alias("_pv"),
+            array_to_vector(powered).alias("_pv"),
         )
         .groupBy(on, "_level")
         .agg(
@@ -144,26 +157,21 @@ def cross_attention(
             Summarizer.sum(F.col("_pv")).alias("_vec"),
             F.first(text_col).alias(text_col),
         )
-        .withColumn("_vec", vector_to_array("_vec"))
+    )
+    scaled = F.transform(vector_to_array("_vec"), lambda v: v * F.col("_scale"))
+    sums = (
+        _scaled_to_top(parts, on)
+        .withColumn("_vec", array_to_vector(scaled))
         .groupBy(on)
         .agg(
-            F.max("_level").alias("_top"),
+            F.sum(F.col("_part") * F.col("_scale")).alias("_mass"),
+            Summarizer.sum(F.col("_vec")).alias("_vec"),
             F.first(text_col).alias(text_col),
-            F.collect_list(F.struct("_level", "_part", "_vec")).alias("_parts"),
         )
+        .withColumn("_vec", vector_to_array("_vec"))
     )
-    mass = F.aggregate(
-        "_parts", F.lit(0.0), lambda a, p: a + p["_part"] * F.exp(p["_level"] - F.col("_top"))
-    )
-    total = F.aggregate(
-        "_parts",
-        F.transform(text_col, lambda _: F.lit(0.0)),
-        lambda a, p: F.zip_with(
-            a, p["_vec"], lambda x, v: x + v * F.exp(p["_level"] - F.col("_top"))
-        ),
-    )
-    attended = PF.bind(mass, lambda m: F.zip_with(total, text_col, lambda s, t: s / m + t))
-    return parts.select(on, attended.alias(out))
+    attended = F.zip_with("_vec", text_col, lambda s, t: s / F.col("_mass") + t)
+    return sums.select(on, attended.alias(out))
 
 
 def cross_attention_weights(

@@ -49,7 +49,7 @@ def _key_struct(keys: Sequence[str]) -> Column:
 def _before(keys: Sequence[str], row: Row) -> Column:
     """Whether the row's key comes before ``row``; NULL comes first.
 
-    Spelled out per column, so that it reaches the scan as a filter.
+    Spelled out per column, so that the scan sees comparisons with constants.
     """
     key, rest = keys[0], keys[1:]
     bound = row[key]

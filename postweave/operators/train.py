@@ -226,10 +226,10 @@ def _data_pass(data: DataFrame, weights: np.ndarray, bias: np.ndarray):
     sums = [f"g{k}" for k in range(classes)] + ["loss", "correct", "n"]
     schema = "pos bigint, " + ", ".join(f"{s} double" for s in sums)
     partial = data.mapInArrow(_sums_per_task(weights, bias, ["train", "valid"]), schema)
-    rows = partial.groupBy("pos").agg(*[F.sum(s).alias(s) for s in sums]).orderBy("pos").collect()
+    rows = partial.groupBy("pos").agg(*[F.sum(s).alias(s) for s in sums]).collect()
     if not rows:
         raise ValueError("no labelled rows")
-    table = np.array([[r[s] for s in sums] for r in rows])
+    table = np.array([[r[s] for s in sums] for r in sorted(rows, key=lambda r: r["pos"])])
     gradient = table[: width + 1, :classes]
     return gradient, table[width + 1, classes:], table[width + 2, classes:]
 

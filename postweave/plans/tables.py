@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from postweave import functions as PF
 from postweave.operators import fusion, ordering, prepare, text
 from postweave.schema import LABEL_CODES
+from postweave.sources import read_table
 
 SEED = 50
 TEXT_DIMS = 16
@@ -83,15 +84,18 @@ HISTORY_SQL = """history AS (
   FROM events GROUP BY 1, 2)"""
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(
+    spark: SparkSession, folder: str, name: str, spread_by: str | None = None
+) -> DataFrame:
+    return read_table(spark, f"{folder}/{name}.parquet", spread_by)
 
 
 def posts(spark: SparkSession, folder: str) -> DataFrame:
     """``post_id, tweet, label, image`` of every document; labels are names."""
     doc = F.col("doc_id")
     labels = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    docs = table(spark, folder, "documents").select("doc_id", "text").join(labels, "doc_id", "left")
+    texts = table(spark, folder, "documents", "doc_id").select("doc_id", "text")
+    docs = texts.join(labels, "doc_id", "left")
     code = F.coalesce("label", (doc % 10).cast("int"))
     suffix = F.when(doc % 3 == 0, F.lit(".JPG")).otherwise(F.lit(".jpg"))
     return docs.select(

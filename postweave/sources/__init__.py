@@ -1,11 +1,12 @@
 from postweave.sources.checkpoints import load_checkpoint, save_checkpoint
 from postweave.sources.manifest import read_manifest
 from postweave.sources.media import scan_media
-from postweave.sources.tables import write_manifest_csv, write_tables
+from postweave.sources.tables import read_table, write_manifest_csv, write_tables
 
 __all__ = [
     "load_checkpoint",
     "read_manifest",
+    "read_table",
     "save_checkpoint",
     "scan_media",
     "write_manifest_csv",

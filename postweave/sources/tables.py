@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
+    """Read a Parquet table.
+
+    A table of fewer scan tasks than cores would leave cores idle in costly work per
+    row, such as splitting texts. With ``spread_by``, a key with many values, such a
+    small table is spread over all cores; a larger one is left as it is scanned.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread_by is None or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, spread_by)
 
 
 def write_tables(

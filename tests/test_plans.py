@@ -30,10 +30,12 @@ def test_scans_read_only_what_is_used(spark, folder, name, columns):
     assert f"ReadSchema: {columns}" in plan_of(entry.queries()[name](spark, folder))
 
 
-def test_split_filter_reaches_the_scan(spark, folder):
-    """Choosing the train split skips row groups past the cut."""
-    plan = plan_of(entry.queries()["describe_lengths"](spark, folder))
-    assert "LessThan(doc_id," in plan
+def test_row_lookup_reaches_the_scan(spark, folder):
+    from postweave.operators import ordering
+    from postweave.plans import tables
+
+    plan = plan_of(ordering.row_at(tables.vectors(spark, folder), 7, "vec_id"))
+    assert "EqualNullSafe(vec_id,7)" in plan
 
 
 def test_histogram_scans_the_texts_once(spark, folder):
