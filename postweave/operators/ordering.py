@@ -18,7 +18,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from postweave.functions import seeded_hash
+from postweave.functions import bind, seeded_hash
 
 SINGLE_TASK_ROWS = 50_000
 TOP_ROWS = 1_000
@@ -78,23 +78,28 @@ def _boundaries(df: DataFrame, keys: Sequence[str], rows: int, ranges: int) -> l
 
 
 def _range_by_search(df: DataFrame, keys: Sequence[str], cuts: Sequence[Row]) -> Column:
-    """How many boundary rows are at or below the key: a binary search."""
+    """How many boundary rows are at or below the key: a binary search by halving steps."""
     if not cuts:
         return F.lit(0)
-    table = F.array(*[_row_literal(df, keys, r) for r in cuts])
-    steps = F.sequence(F.lit(1), F.lit(math.ceil(math.log2(len(cuts) + 1))))
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
-
-    def halve(seen: Column, _: Column) -> Column:
-        lo, hi = seen["lo"], seen["hi"]
-        middle = F.floor((lo + hi) / 2).cast("int")
-        below = F.get(table, middle) <= _key_struct(keys)
-        return F.struct(
-            F.when((lo < hi) & below, middle + 1).otherwise(lo).alias("lo"),
-            F.when((lo < hi) & ~below, middle).otherwise(hi).alias("hi"),
-        )
+    if len(keys) == 1:
+        # Missing keys all fall before the first boundary: no comparison with them holds.
+        known = [r for r in cuts if r[keys[0]] is not None]
+        kind, key = df.schema[keys[0]].dataType, F.col(keys[0])
+        table = F.array(*[F.lit(r[keys[0]]).cast(kind) for r in known])
+    else:
+        known, key = list(cuts), _key_struct(keys)
+        table = F.array(*[_row_literal(df, keys, r) for r in known])
+    largest = 1 << (len(known).bit_length() - 1) if known else 0
+    steps = F.array(*[F.lit(largest >> k) for k in range(largest.bit_length())])
+
+    def search(value: Column) -> Column:
+        def advance(found: Column, step: Column) -> Column:
+            # Past the end of the table the boundary is NULL, and the step is not taken.
+            return F.when(F.get(table, found + step - 1) <= value, found + step).otherwise(found)
+
+        return F.aggregate(steps, F.lit(0), advance)
 
-    return F.aggregate(steps, start, halve, lambda seen: seen["lo"])
+    return bind(key, search) if known else F.lit(0)
 
 
 def _ranges(
@@ -139,6 +144,7 @@ def dense_index(
     order = Window.partitionBy(_RANGE).orderBy(*keys)
     return (
         df.withColumn(_RANGE, ranges.of_row)
+        .repartitionById(len(ranges.starts), F.col(_RANGE))
         .withColumn(out, F.get(starts, F.col(_RANGE)) + position.over(order) - 1)
         .drop(_RANGE)
     )

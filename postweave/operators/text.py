@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -14,8 +17,9 @@ from postweave.schema import MAX_TOKENS
 SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
 PAD, UNK, CLS, SEP = range(len(SPECIALS))
 
-# A vocabulary part of at most this many entries is sent to every task.
+# A vocabulary within both bounds is sent to every task; of a larger one only so many entries.
 BROADCAST_ENTRIES = 100_000
+BROADCAST_BYTES = 64 * 2**20
 
 
 def tokenize(df: DataFrame, col: str = "tweet", out: str = "tokens") -> DataFrame:
@@ -51,29 +55,55 @@ def fit_vocab(df: DataFrame, size: int, min_count: int = 1, col: str = "tweet")
     return specials.unionByName(ranked)
 
 
-def _look_up(df: DataFrame, vocab: DataFrame, on: str, value: str, size: int | None) -> DataFrame:
-    """Left join with the vocabulary, resilient to very frequent tokens.
+def _small_vocab(vocab: DataFrame) -> tuple[pa.Array, pa.Array] | None:
+    """Tokens and ids of a vocabulary within the broadcast bounds; None beyond them."""
+    sized = vocab.agg(F.count("*").alias("n"), F.sum(F.octet_length("token")).alias("b")).first()
+    if sized["n"] > BROADCAST_ENTRIES or (sized["b"] or 0) > BROADCAST_BYTES:
+        return None
+    rows = vocab.select("token", "id").collect()
+    return pa.array([r["token"] for r in rows], "string"), pa.array([r["id"] for r in rows], "int32")
+
+
+def _map_entries(kind: str, keys: pa.Array, values: pa.Array, default):
+    """Arrow function that replaces every entry of an array column by its value."""
+
+    @F.arrow_udf(f"array<{kind}>")
+    def look_up(column: pa.Array) -> pa.Array:
+        entries = column.flatten().cast(keys.type)
+        found = values.take(pc.index_in(entries, value_set=keys)).fill_null(default)
+        lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(lengths)]).astype("int32")
+        return pa.ListArray.from_arrays(ends, found)
+
+    return look_up
+
+
+def _join_entries(
+    df: DataFrame, vocab: DataFrame, id_col: str, col: str, on: str, value: str, default
+) -> DataFrame:
+    """``id, _mapped`` by joins, for a vocabulary too large to send whole.
 
     Ids go by frequency, so the first entries hold the hot tokens; they are joined by
     broadcast. Only tokens beyond them, each of them rare, are shuffled.
     """
-    entries = vocab.select(on, F.col(value).alias("_head"))
-    known_size = vocab.count() if size is None else size
-    if known_size <= BROADCAST_ENTRIES:
-        return df.join(F.broadcast(entries), on, "left").withColumnRenamed("_head", "_found")
+    rows = df.select(id_col, F.posexplode_outer(col).alias("pos", on))
     head = vocab.filter(F.col("id") < BROADCAST_ENTRIES).select(on, F.col(value).alias("_head"))
     tail = vocab.filter(F.col("id") >= BROADCAST_ENTRIES).select(
-        F.col(on).alias("_rare"), F.col(value).alias("_tail")
+        F.col(on).cast("string").alias("_rare"), F.col(value).alias("_tail")
     )
-    first = df.join(F.broadcast(head), on, "left")
-    # Hot tokens leave the join key empty, spread by row so that they do not meet in one task.
-    spread = F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string"))
-    text_key = F.when(F.col("_head").isNull(), F.col(on).cast("string")).otherwise(spread)
-    keyed = first.withColumn("_rare_key", text_key)
-    joined = keyed.join(tail, keyed["_rare_key"] == tail["_rare"].cast("string"), "left")
-    return joined.withColumn("_found", F.coalesce("_head", "_tail")).drop(
-        "_head", "_tail", "_rare", "_rare_key"
+    first = rows.join(F.broadcast(head), on, "left")
+    # Found and empty entries leave the second key: they get keys of their own, which
+    # match nothing, so that they do not meet in one task.
+    own = F.concat(F.lit("\u0000"), F.col(id_col).cast("string"))
+    rest = F.col("_head").isNull() & F.col("pos").isNotNull()
+    keyed = first.withColumn("_rare", F.when(rest, F.col(on).cast("string")).otherwise(own))
+    joined = keyed.join(tail, "_rare", "left")
+    entry = F.when(
+        F.col("pos").isNotNull(),
+        F.struct("pos", F.coalesce("_head", "_tail", F.lit(default)).alias("value")),
     )
+    grouped = joined.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("_t"))
+    return grouped.select(id_col, F.transform("_t", lambda e: e["value"]).alias("_mapped"))
 
 
 def encode_text(
@@ -82,29 +112,28 @@ def encode_text(
     max_len: int = MAX_TOKENS,
     id_col: str = "post_id",
     col: str = "tweet",
-    vocab_size: int | None = None,
     missing_text: str = "nan",
 ) -> DataFrame:
     """``id, input_ids, attention_mask`` with exactly ``max_len`` entries.
 
     ``[CLS] tokens [SEP]`` is cut to ``max_len`` with the specials kept, then padded;
-    unknown tokens are ``[UNK]``. ``id_col`` must be unique. Give ``vocab_size`` if
-    known, it saves counting the vocabulary.
+    unknown tokens are ``[UNK]``. A vocabulary within the broadcast bounds is looked up
+    in Arrow batches, without a shuffle; beyond them ``id_col`` must be unique.
     """
     text = PF.text_or_nan(F.col(col), missing_text)
     kept = F.slice(PF.tokens(text), 1, max_len - 2)
-    words = df.select(id_col, F.posexplode_outer(kept).alias("pos", "token"))
-    found = _look_up(words, vocab, "token", "id", vocab_size)
-    token_id = F.when(F.col("pos").isNotNull(), F.coalesce("_found", F.lit(UNK)))
-    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", token_id.alias("tid")))
-    rows = found.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("_t"))
-    body = F.transform("_t", lambda e: e["tid"])
-    used = F.size("_t") + 2
-    return rows.select(
+    words = df.select(id_col, kept.alias("_kept"))
+    small = _small_vocab(vocab)
+    if small is not None:
+        ids = words.select(id_col, _map_entries("int", *small, UNK)("_kept").alias("_mapped"))
+    else:
+        ids = _join_entries(words, vocab, id_col, "_kept", "token", "id", UNK)
+    used = F.size("_mapped") + 2
+    return ids.select(
         id_col,
         F.concat(
             F.array(F.lit(CLS)),
-            body,
+            "_mapped",
             F.array(F.lit(SEP)),
             F.array_repeat(F.lit(PAD), F.lit(max_len) - used),
         ).alias("input_ids"),
@@ -115,21 +144,15 @@ def encode_text(
 
 
 def decode_tokens(
-    df: DataFrame,
-    vocab: DataFrame,
-    id_col: str = "post_id",
-    col: str = "input_ids",
-    vocab_size: int | None = None,
+    df: DataFrame, vocab: DataFrame, id_col: str = "post_id", col: str = "input_ids"
 ) -> DataFrame:
     """``id, tokens``: the token of each id, the empty string for an unknown id."""
-    ids = df.select(id_col, F.posexplode_outer(col).alias("pos", "id"))
-    found = _look_up(ids, vocab, "id", "token", vocab_size)
-    entry = F.when(
-        F.col("pos").isNotNull(),
-        F.struct("pos", F.coalesce("_found", F.lit("")).alias("token")),
-    )
-    rows = found.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("_t"))
-    return rows.select(id_col, F.transform("_t", lambda e: e["token"]).alias("tokens"))
+    small = _small_vocab(vocab)
+    if small is not None:
+        tokens, ids = small
+        return df.select(id_col, _map_entries("string", ids, tokens, "")(col).alias("tokens"))
+    mapped = _join_entries(df, vocab, id_col, col, "id", "token", "")
+    return mapped.withColumnRenamed("_mapped", "tokens")
 
 
 def fit_tfidf(train: DataFrame, dims: int, col: str = "tweet", min_count: int = 1) -> PipelineModel:

@@ -399,7 +399,10 @@ def _vocab_sql(size: int, fit: str = "split_posts") -> str:
 
 
 def _train_vocab(spark, folder):
-    return text.fit_vocab(T.split_posts(spark, folder).filter("split = 'train'"), VOCAB)
+    """The train vocabulary as a stored table, as every later run reads it."""
+    fitted = text.fit_vocab(T.split_posts(spark, folder).filter("split = 'train'"), VOCAB)
+    path = write_tables({"vocab": fitted}, scratch_path(spark, "text"))["vocab"]
+    return spark.read.parquet(path)
 
 
 @query(f"{CLEAN}, {_vocab_sql(VOCAB)} SELECT token, id, n FROM vocab")
@@ -426,9 +429,7 @@ _ENCODED = f"""{CLEAN}, {_vocab_sql(VOCAB)},
     array_to_string(attention_mask, ' ') AS attention_mask FROM padded"""
 )
 def encode_text(spark, folder):
-    rows = text.encode_text(
-        T.posts(spark, folder), _train_vocab(spark, folder), vocab_size=VOCAB
-    )
+    rows = text.encode_text(T.posts(spark, folder), _train_vocab(spark, folder))
     return rows.select("post_id", _joined("input_ids"), _joined("attention_mask"))
 
 
@@ -440,10 +441,8 @@ def encode_text(spark, folder):
 )
 def decode_tokens(spark, folder):
     vocab = _train_vocab(spark, folder)
-    encoded = text.encode_text(T.posts(spark, folder), vocab, vocab_size=VOCAB)
-    return text.decode_tokens(encoded, vocab, vocab_size=VOCAB).select(
-        "post_id", _joined("tokens")
-    )
+    encoded = text.encode_text(T.posts(spark, folder), vocab)
+    return text.decode_tokens(encoded, vocab).select("post_id", _joined("tokens"))
 
 
 def _tfidf_sql(rows: str, fit: str = "split_posts") -> str:
