@@ -150,18 +150,22 @@ def dense_index(
     )
 
 
-def key_at(df: DataFrame, i: int, order_by: str | Sequence[str]) -> Row | None:
+def key_at(
+    df: DataFrame, i: int, order_by: str | Sequence[str], rows: int | None = None
+) -> Row | None:
     """The order key of the row at position ``i``; None past the end.
 
-    On a large table only the key range that holds the position is sorted.
+    On a large table only the key range that holds the position is sorted. ``rows``
+    saves counting the table where its row count is known.
     """
     keys = _key_list(order_by)
     if i < 0:
         raise ValueError("position must not be negative")
     slim = df.select(*keys)
     # Every task sends its first i + 1 keys to the one that merges them.
-    rows = None if i <= TOP_ROWS else slim.count()
-    if rows is None or rows <= SINGLE_TASK_ROWS:
+    if i > TOP_ROWS and rows is None:
+        rows = slim.count()
+    if i <= TOP_ROWS or rows <= SINGLE_TASK_ROWS:
         found = slim.orderBy(*keys).offset(i).limit(1).collect()
         return found[0] if found else None
     if i >= rows:
@@ -184,7 +188,11 @@ def row_at(df: DataFrame, i: int, order_by: str | Sequence[str]) -> DataFrame:
 
 
 def ordered_split(
-    df: DataFrame, n: int, order_by: str | Sequence[str], out: str = "split"
+    df: DataFrame,
+    n: int,
+    order_by: str | Sequence[str],
+    out: str = "split",
+    rows: int | None = None,
 ) -> DataFrame:
     """First ``n`` rows in key order are ``train``, the others ``valid``.
 
@@ -192,7 +200,7 @@ def ordered_split(
     with it, without a shuffle.
     """
     keys = _key_list(order_by)
-    cut = key_at(df, n, keys)
+    cut = key_at(df, n, keys, rows)
     if cut is None:
         return df.withColumn(out, F.lit("train"))
     return df.withColumn(
@@ -200,6 +208,14 @@ def ordered_split(
     )
 
 
+def share_split(
+    df: DataFrame, parts: tuple[int, int], order_by: str | Sequence[str], out: str = "split"
+) -> DataFrame:
+    """``ordered_split`` at a share of the rows, such as ``(7, 10)``, rounded down."""
+    rows = df.count()
+    return ordered_split(df, rows * parts[0] // parts[1], order_by, out, rows)
+
+
 def seeded_shuffle(
     df: DataFrame, seed: int, epoch: int, id_col: str, out: str = "shuffle_pos"
 ) -> DataFrame:

@@ -1058,26 +1058,93 @@ def _fusion_run(spark, folder, kind: str) -> DataFrame:
 _FUSED_INPUTS = "SELECT post_id AS id, label, split = 'train' AS is_train, pos, x FROM fused"
 
 
-@query(
-    f"""{_ALIGNED}, {head_sql(_FUSED_INPUTS, 6, _EPOCHS, _RATE)},
+_BASIC = f"""{_ALIGNED}, batched AS (SELECT post_id, label, split, (row_number() OVER (
+      PARTITION BY split ORDER BY CASE WHEN split = 'train'
+      THEN md5(concat_ws('|', '{T.SEED}', '1', CAST(post_id AS VARCHAR))) END, post_id) - 1)
+      // {BATCH} AS batch_id FROM pairs),
+    sides AS (SELECT 'image' AS side, post_id, pos, x, 8.0::DOUBLE AS r FROM image_entries
+      UNION ALL SELECT 'text', post_id, pos, x, 4.0::DOUBLE FROM text_entries),
+    hidden AS (SELECT side, post_id, o.i AS out, sum(x * sin(31 * o.i + pos) / r) AS y
+      FROM sides CROSS JOIN range(8) o(i) GROUP BY 1, 2, 3),
+    scores AS (SELECT side, post_id, sum({_gelu_sql('y')} * cos(out)) AS s FROM hidden
+      GROUP BY 1, 2),
+    powers AS (SELECT *, exp(s - max(s) OVER (PARTITION BY side, split, batch_id)) AS p
+      FROM scores JOIN batched USING (post_id)),
+    weights AS (SELECT *, p / sum(p) OVER (PARTITION BY side, split, batch_id) AS weight
+      FROM powers),
+    attended AS (SELECT post_id, label, split, CASE side WHEN 'image' THEN pos ELSE 64 + pos END
+      AS pos, x * weight AS x FROM sides JOIN weights USING (side, post_id))"""
+_BASIC_INPUTS = "SELECT post_id AS id, label, split = 'train' AS is_train, pos, x FROM attended"
+
+# With one image per post the attention weight is 1.
+_CROSS_RUN = f"""{_ALIGNED}, value_entries AS (SELECT post_id, o.i AS pos,
+      sum(x * sin(31 * o.i + pos) / 8) AS x FROM image_entries
+      CROSS JOIN range({T.TEXT_DIMS}) o(i) GROUP BY 1, 2),
+    attended AS (SELECT p.post_id, label, split, v.pos, v.x + t.x AS x FROM pairs p
+      JOIN value_entries v USING (post_id) JOIN text_entries t ON t.post_id = v.post_id
+        AND t.pos = v.pos
+      UNION ALL SELECT post_id, label, split, {T.TEXT_DIMS} + pos, x FROM image_entries)"""
+
+
+def _run_sql(rows: str, inputs: str) -> str:
+    return f"""{rows}, {head_sql(inputs, 6, _EPOCHS, _RATE)},
     valid AS (SELECT label, prediction FROM scored WHERE NOT is_train),
     {report_sql('valid', ['ND', 'DI', 'DN', 'Fires', 'Flood', 'HD'])} SELECT * FROM report"""
-)
+
+
+@query(_run_sql(_ALIGNED, _FUSED_INPUTS))
 def concat_fusion_report(spark, folder):
     return _fusion_run(spark, folder, "concat")
 
 
-@query()
+@query(_run_sql(_BASIC, _BASIC_INPUTS))
 def basic_attention_report(spark, folder):
     return _fusion_run(spark, folder, "basic_attention")
 
 
-@query()
+@query(_run_sql(_CROSS_RUN, _BASIC_INPUTS))
 def cross_attention_report(spark, folder):
     return _fusion_run(spark, folder, "cross_attention")
 
 
-@query()
+_VARIANTS = {
+    "plain": "x",
+    "scaled": "(x - m) / s",
+    "rectified": "greatest((x - m) / s, 0)",
+}
+
+
+def _best_of_sql() -> str:
+    heads = ", ".join(
+        head_sql(
+            f"""SELECT vec_id AS id, label, split = 'train' AS is_train, pos, {value} AS x
+            FROM entries JOIN fitted USING (pos)""",
+            10, _EPOCHS, _RATE, f"{name}_",
+        )
+        for name, value in _VARIANTS.items()
+    )
+    tops = " UNION ALL ".join(
+        f"SELECT {i} AS place, '{name}' AS model, max(valid_acc) AS top FROM {name}_run"
+        for i, name in enumerate(_VARIANTS)
+    )
+    rows = " UNION ALL ".join(
+        f"SELECT '{name}' AS model, label, prediction FROM {name}_scored WHERE NOT is_train"
+        for name in _VARIANTS
+    )
+    means = ", ".join(
+        f"round(sum(support * {m}) / sum(support), 6) AS weighted_{m}"
+        for m in ["precision", "recall", "f1"]
+    )
+    return f"""{VECTORS}, fitted AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS s FROM entries
+      WHERE split = 'train' GROUP BY pos), {heads},
+    winner AS (SELECT model FROM ({tops}) ORDER BY top DESC, place LIMIT 1),
+    valid AS (SELECT label, prediction FROM ({rows}) SEMI JOIN winner USING (model)),
+    {report_sql('valid')}
+    SELECT (SELECT model FROM winner) AS model,
+    round(sum(hits)::DOUBLE / sum(support)::DOUBLE, 6) AS accuracy, {means} FROM rates"""
+
+
+@query(_best_of_sql())
 def unimodal_best_of(spark, folder):
     rows = T.split_vectors(spark, folder)
     fitted = vec.fit_standardizer(rows.filter("split = 'train'"))

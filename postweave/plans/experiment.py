@@ -18,7 +18,7 @@ from postweave.operators import evaluate, fusion, history, ordering, prepare, sc
 from postweave.operators import vectors as vec
 from postweave.operators.train import SoftmaxHead, train_epochs
 from postweave.schema import DISPLAY_NAMES, LABEL_CODES
-from postweave.sources import read_manifest, save_checkpoint, write_tables
+from postweave.sources import LOAD_ORDER, read_manifest, save_checkpoint, write_tables
 
 KINDS = ["concat", "basic_attention", "cross_attention"]
 
@@ -180,8 +180,20 @@ def run_best_of(
 def prepare_manifest(manifest: DataFrame, clean: bool) -> DataFrame:
     """Code labels, normalize image names and, for training, drop incomplete rows."""
     coded = prepare.normalize_extension(prepare.encode_label(manifest))
-    posts = prepare.project_posts(coded)
-    return prepare.drop_missing(posts) if clean else posts
+    return prepare.drop_missing(coded, ["label", "image", "tweet"]) if clean else coded
+
+
+def split_manifests(train: DataFrame, test: DataFrame, train_rows: int) -> DataFrame:
+    """``post_id, label, image, tweet, split`` of both manifests, read ``with_order``.
+
+    The first ``train_rows`` complete rows of the train manifest in load order are
+    train, its other complete rows valid; the test manifest is not cleaned.
+    """
+    complete = prepare_manifest(train, clean=True)
+    split = ordering.ordered_split(complete, train_rows, LOAD_ORDER)
+    posts = split.unionByName(prepare_manifest(test, clean=False).withColumn("split", F.lit("test")))
+    post_id = F.concat_ws("/", (F.col("split") == "test").cast("string"), *LOAD_ORDER)
+    return posts.select(post_id.alias("post_id"), "label", "image", "tweet", "split")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -199,16 +211,15 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
 
     spark = SparkSession.builder.appName("postweave").getOrCreate()
-    train = prepare_manifest(read_manifest(spark, args.train, args.format), clean=True)
-    test = prepare_manifest(read_manifest(spark, args.test, args.format), clean=False)
-    split = ordering.ordered_split(train, args.train_rows, ["image", "tweet"])
-    posts = split.unionByName(test.withColumn("split", F.lit("test")))
-    # An image belongs to one post, so its name identifies the post within its set.
-    named = posts.withColumn("post_id", F.concat_ws("/", (F.col("split") == "test"), "image"))
+    train, test = (
+        read_manifest(spark, path, args.format, with_order=True) for path in (args.train, args.test)
+    )
+    posts = split_manifests(train, test, args.train_rows)
     features = spark.read.parquet(args.features).select(
         "image", F.col("features").cast("array<double>")
     )
-    run = run_fusion(fusion.align_modalities(named, features, "image"), args.fusion, args.epochs, args.lr, args.text_dims)
+    pairs = fusion.align_modalities(posts, features, "image")
+    run = run_fusion(pairs, args.fusion, args.epochs, args.lr, args.text_dims)
     write_tables(run.tables("test"), args.out)
     save_checkpoint(spark, run.head, f"{args.out.rstrip('/')}/model")
 

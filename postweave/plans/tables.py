@@ -17,6 +17,7 @@ from postweave.sources import read_table
 
 SEED = 50
 TEXT_DIMS = 16
+TRAIN_SHARE = (7, 10)
 
 _NAME_CASES = " ".join(f"WHEN {c} THEN '{n}'" for n, c in LABEL_CODES.items())
 _CODE_CASES = " ".join(f"WHEN '{n}' THEN {c}" for n, c in LABEL_CODES.items())
@@ -118,8 +119,7 @@ def clean_posts(spark: SparkSession, folder: str) -> DataFrame:
 
 def split_posts(spark: SparkSession, folder: str) -> DataFrame:
     """Cleaned posts, the first 70 % by id as train."""
-    clean = clean_posts(spark, folder)
-    return ordering.ordered_split(clean, clean.count() * 7 // 10, "post_id")
+    return ordering.share_split(clean_posts(spark, folder), TRAIN_SHARE, "post_id")
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,8 +130,7 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    rows = vectors(spark, folder)
-    return ordering.ordered_split(rows, rows.count() * 7 // 10, "vec_id")
+    return ordering.share_split(vectors(spark, folder), TRAIN_SHARE, "vec_id")
 
 
 def post_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,7 +141,7 @@ def post_images(spark: SparkSession, folder: str) -> DataFrame:
 def split_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Cleaned posts with image features, the first 70 % by id as train."""
     pairs = fusion.align_modalities(clean_posts(spark, folder), post_images(spark, folder))
-    return ordering.ordered_split(pairs, pairs.count() * 7 // 10, "post_id")
+    return ordering.share_split(pairs, TRAIN_SHARE, "post_id")
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,60 +7,61 @@ from collections.abc import Sequence
 from postweave.operators.train import BETA_1, BETA_2, EPSILON
 
 
-def head_sql(inputs: str, classes: int, epochs: int, lr: float) -> str:
+def head_sql(inputs: str, classes: int, epochs: int, lr: float, prefix: str = "") -> str:
     """CTEs of full-batch training: ``run`` has the history, ``scored`` the predictions.
 
     ``inputs`` selects ``id, label, is_train, pos, x``. Each epoch is written out. The
     saved weights are those of the lowest valid loss. Meant for at most four epochs: a
-    patience of 3 cannot stop a run before its fourth epoch.
+    patience of 3 cannot stop a run before its fourth epoch. ``prefix`` starts all names.
     """
+    x = prefix
     parts = [
-        f"""f AS MATERIALIZED (SELECT id, CAST(label AS INT) AS label, is_train, pos, x
+        f"""{x}f AS MATERIALIZED (SELECT id, CAST(label AS INT) AS label, is_train, pos, x
           FROM ({inputs}) UNION ALL SELECT DISTINCT id, CAST(label AS INT), is_train, -1, 1.0
           FROM ({inputs}))""",
-        f"""w0 AS MATERIALIZED (SELECT pos, CAST(k.i AS INT) AS k, 0.0::DOUBLE AS w,
-          0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM (SELECT DISTINCT pos FROM f)
+        f"""{x}w0 AS MATERIALIZED (SELECT pos, CAST(k.i AS INT) AS k, 0.0::DOUBLE AS w,
+          0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM (SELECT DISTINCT pos FROM {x}f)
           CROSS JOIN range({classes}) k(i))""",
     ]
     for t in range(epochs + 1):
         parts += [
-            f"""z{t} AS MATERIALIZED (SELECT id, label, is_train, k, sum(x * w) AS z
-              FROM f JOIN w{t} USING (pos) GROUP BY 1, 2, 3, 4)""",
-            f"""t{t} AS (SELECT *, z - max(z) OVER (PARTITION BY id) AS d,
-              row_number() OVER (PARTITION BY id ORDER BY z DESC, k) AS place FROM z{t})""",
-            f"""p{t} AS MATERIALIZED (SELECT *, exp(d) / sum(exp(d)) OVER (PARTITION BY id) AS p
-              FROM t{t})""",
-            f"""e{t} AS (SELECT is_train,
+            f"""{x}z{t} AS MATERIALIZED (SELECT id, label, is_train, k, sum(x * w) AS z
+              FROM {x}f JOIN {x}w{t} USING (pos) GROUP BY 1, 2, 3, 4)""",
+            f"""{x}t{t} AS (SELECT *, z - max(z) OVER (PARTITION BY id) AS d,
+              row_number() OVER (PARTITION BY id ORDER BY z DESC, k) AS place FROM {x}z{t})""",
+            f"""{x}p{t} AS MATERIALIZED (SELECT *, exp(d) / sum(exp(d)) OVER (PARTITION BY id) AS p
+              FROM {x}t{t})""",
+            f"""{x}e{t} AS (SELECT is_train,
               -avg(ln(p)) FILTER (k = label) AS loss,
-              avg((k = label)::INT) FILTER (place = 1) AS acc FROM p{t} GROUP BY is_train)""",
+              avg((k = label)::INT) FILTER (place = 1) AS acc FROM {x}p{t} GROUP BY is_train)""",
         ]
         if t == epochs:
             break
         n = t + 1
         parts += [
-            f"""g{t} AS (SELECT f.pos, p.k, avg((p.p - (p.k = p.label)::INT) * f.x) AS g
-              FROM f JOIN p{t} p USING (id) WHERE f.is_train GROUP BY 1, 2)""",
-            f"""a{n} AS (SELECT pos, k, w, {BETA_1} * m + {1 - BETA_1} * g AS m,
-              {BETA_2} * v + {1 - BETA_2} * g * g AS v FROM w{t} JOIN g{t} USING (pos, k))""",
-            f"""w{n} AS MATERIALIZED (SELECT pos, k, m, v,
+            f"""{x}g{t} AS (SELECT f.pos, p.k, avg((p.p - (p.k = p.label)::INT) * f.x) AS g
+              FROM {x}f f JOIN {x}p{t} p USING (id) WHERE f.is_train GROUP BY 1, 2)""",
+            f"""{x}a{n} AS (SELECT pos, k, w, {BETA_1} * m + {1 - BETA_1} * g AS m,
+              {BETA_2} * v + {1 - BETA_2} * g * g AS v FROM {x}w{t} JOIN {x}g{t} USING (pos, k))""",
+            f"""{x}w{n} AS MATERIALIZED (SELECT pos, k, m, v,
               w - {lr} * (m / (1 - pow({BETA_1}::DOUBLE, {n})))
-                / (sqrt(v / (1 - pow({BETA_2}::DOUBLE, {n}))) + {EPSILON}) AS w FROM a{n})""",
+                / (sqrt(v / (1 - pow({BETA_2}::DOUBLE, {n}))) + {EPSILON}) AS w FROM {x}a{n})""",
         ]
     runs = " UNION ALL ".join(
-        f"""SELECT {n} AS epoch, (SELECT loss FROM e{n - 1} WHERE is_train) AS train_loss,
-          (SELECT acc FROM e{n - 1} WHERE is_train) AS train_acc,
-          (SELECT loss FROM e{n} WHERE NOT is_train) AS valid_loss,
-          (SELECT acc FROM e{n} WHERE NOT is_train) AS valid_acc"""
+        f"""SELECT {n} AS epoch, (SELECT loss FROM {x}e{n - 1} WHERE is_train) AS train_loss,
+          (SELECT acc FROM {x}e{n - 1} WHERE is_train) AS train_acc,
+          (SELECT loss FROM {x}e{n} WHERE NOT is_train) AS valid_loss,
+          (SELECT acc FROM {x}e{n} WHERE NOT is_train) AS valid_acc"""
         for n in range(1, epochs + 1)
     )
     scored = " UNION ALL ".join(
-        f"SELECT {n} AS epoch, id, label, is_train, k AS prediction FROM t{n} WHERE place = 1"
+        f"SELECT {n} AS epoch, id, label, is_train, k AS prediction FROM {x}t{n} WHERE place = 1"
         for n in range(1, epochs + 1)
     )
     parts += [
-        f"run AS MATERIALIZED ({runs})",
-        f"""scored AS (SELECT id, label, is_train, prediction FROM ({scored})
-          WHERE epoch = (SELECT epoch FROM run ORDER BY valid_loss, epoch LIMIT 1))""",
+        f"{x}run AS MATERIALIZED ({runs})",
+        f"""{x}scored AS (SELECT id, label, is_train, prediction FROM ({scored})
+          WHERE epoch = (SELECT epoch FROM {x}run ORDER BY valid_loss, epoch LIMIT 1))""",
     ]
     return ", ".join(parts)
 

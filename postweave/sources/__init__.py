@@ -1,9 +1,10 @@
 from postweave.sources.checkpoints import load_checkpoint, save_checkpoint
-from postweave.sources.manifest import read_manifest
+from postweave.sources.manifest import LOAD_ORDER, read_manifest
 from postweave.sources.media import scan_media
 from postweave.sources.tables import read_table, write_manifest_csv, write_tables
 
 __all__ = [
+    "LOAD_ORDER",
     "load_checkpoint",
     "read_manifest",
     "read_table",

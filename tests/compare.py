@@ -40,9 +40,8 @@ def normal(frame: pd.DataFrame) -> list[tuple]:
     return sorted(rows)
 
 
-def differences(spark, con, folder: str, name: str) -> list[str]:
-    """What differs between a query and its SQL; empty if nothing does."""
-    ours = entry.queries()[name](spark, folder)
+def differences(ours, con, name: str) -> list[str]:
+    """What differs between a query's result and its SQL; empty if nothing does."""
     theirs = con.sql(entry.oracle_sql()[name])
     mine = pd.DataFrame([r.asDict() for r in ours.collect()], columns=ours.columns, dtype=object)
     other = pd.DataFrame(theirs.fetchall(), columns=theirs.columns, dtype=object)
@@ -76,7 +75,7 @@ def main(argv: list[str]) -> int:
         start = time.time()
         try:
             if name in entry.oracle_sql():
-                found = differences(spark, con, folder, name)
+                found = differences(fn(spark, folder), con, name)
                 state = "same" if not found else "; ".join(found)
             else:
                 state = f"rows only: {len(fn(spark, folder).collect())}"

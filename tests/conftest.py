@@ -26,3 +26,18 @@ def folder():
 
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="session")
+def built(spark, folder):
+    """Registered queries by name; each is built once for all tests."""
+    import __spark_entry__ as entry
+
+    done = {}
+
+    def build(name):
+        if name not in done:
+            done[name] = entry.queries()[name](spark, folder)
+        return done[name]
+
+    return build

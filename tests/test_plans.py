@@ -5,16 +5,14 @@ import pytest
 import __spark_entry__ as entry
 from conftest import plan_of
 
-PYTHON_ROWS = ["BatchEvalPython", "PythonUDF"]
+ROW_UDFS = ["BatchEvalPython", "PythonRDD"]
 PAIRS = ["CartesianProduct", "BroadcastNestedLoopJoin"]
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
-def test_no_pair_products_and_no_row_udfs(spark, folder, name):
-    plan = plan_of(entry.queries()[name](spark, folder))
-    for word in [*PYTHON_ROWS, *PAIRS]:
-        if word == "PythonUDF" and name == "linear_project_wide":
-            continue  # wide matrices go through Arrow batches
+def test_no_pair_products_and_no_row_udfs(built, name):
+    plan = plan_of(built(name))
+    for word in [*ROW_UDFS, *PAIRS]:
         assert word not in plan, plan
 
 
@@ -26,8 +24,8 @@ def test_no_pair_products_and_no_row_udfs(spark, folder, name):
         ("split_sizes", "struct<doc_id:bigint,text:string>"),
     ],
 )
-def test_scans_read_only_what_is_used(spark, folder, name, columns):
-    assert f"ReadSchema: {columns}" in plan_of(entry.queries()[name](spark, folder))
+def test_scans_read_only_what_is_used(built, name, columns):
+    assert f"ReadSchema: {columns}" in plan_of(built(name))
 
 
 def test_row_lookup_reaches_the_scan(spark, folder):
@@ -38,13 +36,13 @@ def test_row_lookup_reaches_the_scan(spark, folder):
     assert "EqualNullSafe(vec_id,7)" in plan
 
 
-def test_histogram_scans_the_texts_once(spark, folder):
-    df = entry.queries()["length_histogram"](spark, folder)
+def test_histogram_scans_the_texts_once(built):
+    df = built("length_histogram")
     df.collect()
     final = plan_of(df).split("== Initial Plan ==")[0]
     assert final.count("text#") > 0 and final.count("partial_count(1)") == 1
 
 
-def test_counts_are_partial_before_the_shuffle(spark, folder):
-    plan = plan_of(entry.queries()["confusion_matrix"](spark, folder))
+def test_counts_are_partial_before_the_shuffle(built):
+    plan = plan_of(built("confusion_matrix"))
     assert "partial_count" in plan

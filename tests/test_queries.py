@@ -15,21 +15,21 @@ def con(folder):
 
 
 @pytest.mark.parametrize("name", WITH_SQL)
-def test_same_as_sql(spark, con, folder, name):
-    assert differences(spark, con, folder, name) == []
+def test_same_as_sql(built, con, name):
+    assert differences(built(name), con, name) == []
 
 
 @pytest.mark.parametrize("name", WITHOUT_SQL)
-def test_gives_rows(spark, folder, name):
-    df = entry.queries()[name](spark, folder)
+def test_gives_rows(built, name):
+    df = built(name)
     assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
 
 
-def test_comparison_notices_a_difference(spark, con, folder, monkeypatch):
+def test_comparison_notices_a_difference(built, con, monkeypatch):
     changed = dict(entry.oracle_sql())
     changed["text_length"] = changed["text_length"].replace("length(tweet)", "length(tweet) + 1")
     monkeypatch.setattr(entry, "oracle_sql", lambda: changed)
-    assert differences(spark, con, folder, "text_length")
+    assert differences(built("text_length"), con, "text_length")
 
 
 def test_entry(spark):

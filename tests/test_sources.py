@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from postweave import session
 from postweave.operators import prepare
-from postweave.sources import read_manifest, scan_media, write_manifest_csv, write_tables
+from postweave.operators.ordering import dense_index
+from postweave.sources import LOAD_ORDER, read_manifest, scan_media, write_manifest_csv, write_tables
 
 
 def test_csv_with_line_breaks_quotes_and_missing_words(spark, tmp_path):
@@ -38,6 +39,21 @@ def test_csv_round_trip(spark, tmp_path):
     assert sorted(map(str, back)) == sorted(map(str, df.collect()))
 
 
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_load_order(spark, tmp_path, fmt):
+    rows = [(f"{i:03d}.jpg", f"line\n{(i * 37) % 100}", "fires") for i in range(100)]
+    for n, part in enumerate([rows[:60], rows[60:]]):
+        df = spark.createDataFrame(part, "image string, tweet string, label string").coalesce(1)
+        if fmt == "csv":
+            write_manifest_csv(df, str(tmp_path / f"p{n}"))
+        else:
+            df.write.parquet(str(tmp_path / f"p{n}"))
+    paths = [str(tmp_path / f"p{n}") for n in (0, 1)]
+    df = read_manifest(spark, paths, fmt, with_order=True)
+    found = dense_index(df, LOAD_ORDER).orderBy("row_idx").collect()
+    assert [r["image"] for r in found] == [r[0] for r in rows]
+
+
 def test_unusable_manifests(spark, tmp_path):
     (tmp_path / "p.csv").write_text("image,tweet\na,b\n")
     with pytest.raises(ValueError, match="label"):

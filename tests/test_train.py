@@ -122,6 +122,30 @@ def test_classifiers_learn(spark, rows, tmp_path):
         assert loaded.exceptAll(scored).count() == 0
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_probe_reaches_the_optimum(rows, weighted):
+    """At the minimum the loss gradient cancels that of the penalty on scaled weights."""
+    fit_rows = rows.filter("split = 'train'")
+    x, y = X[:180], Y[:180]
+    w = np.ones(180)
+    weight = None
+    if weighted:
+        fit_rows = fit_rows.withColumn("w", F.when(F.col("label") == 0, 3.0).otherwise(1.0))
+        w, weight = np.where(y == 0, 3.0, 1.0), "w"
+    model = train.fit_linear_probe(fit_rows, weight=weight, reg=0.05)
+    coef, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    z = x @ coef.T + bias
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(180), y] -= 1
+    gradient = (p * w[:, None]).T @ x / w.sum()
+    mean = np.average(x, axis=0, weights=w)
+    spread = ((x - mean) ** 2 * w[:, None]).sum(0) / w.sum()
+    total = gradient + 0.05 * spread * coef
+    # The library divides by n - 1 where this divides by n.
+    assert np.abs(total).max() < 2e-3 and np.abs(gradient).max() > 1e-2
+
+
 def test_text_and_fused_classifiers_learn(spark, rows):
     topics = F.array(F.lit("wild fire here"), F.lit("deep flood water"), F.lit("calm day"))
     posts = rows.withColumn("tweet", F.get(topics, F.col("label")))
