@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import IDF, CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, SQLTransformer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,33 +158,70 @@ def decode_tokens(
     return mapped.withColumnRenamed("_mapped", "tokens")
 
 
-def fit_tfidf(train: DataFrame, dims: int, col: str = "tweet", min_count: int = 1) -> PipelineModel:
-    """Fit term list and inverse document frequencies on the training texts.
+def _term_stats(train: DataFrame, dims: int, col: str, min_count: int) -> tuple[list, int]:
+    """The ``dims`` most frequent tokens with their document counts, and the documents.
 
-    The ``dims`` most frequent tokens are the features, ties by token. Only this list
-    comes to the driver.
+    One pass over the texts: each gives its tokens, its distinct tokens, and one empty
+    token, which no text contains, to count the texts themselves.
     """
-    vocab = fit_vocab(train, dims + len(SPECIALS), min_count, col)
-    rows = vocab.filter(F.col("id") >= len(SPECIALS)).orderBy("id").collect()
-    terms = [r["token"] for r in rows]
-    counts = CountVectorizerModel.from_vocabulary(
-        terms, inputCol="_tokens", outputCol="_term_counts", minTF=1.0
+    occurrence = F.transform("_t", lambda t: F.struct(t.alias("token"), F.lit(1).alias("n")))
+    presence = F.transform(
+        F.array_append(F.array_distinct("_t"), F.lit("")),
+        lambda t: F.struct(t.alias("token"), F.lit(0).alias("n")),
+    )
+    entries = (
+        train.filter(F.col(col).isNotNull())
+        .select(PF.tokens(F.col(col)).alias("_t"))
+        .select(F.inline(F.concat(occurrence, presence)))
+    )
+    counted = entries.groupBy("token").agg(
+        F.sum("n").alias("n"), F.count_if(F.col("n") == 0).alias("texts")
     )
-    counted = counts.transform(tokenize(train.filter(F.col(col).isNotNull()), col, "_tokens"))
-    idf = IDF(inputCol="_term_counts", outputCol="_tfidf").fit(counted)
-    return PipelineModel(stages=[counts, idf])
+    is_text = F.col("token") == ""
+    rows = (
+        counted.filter(is_text | (F.col("n") >= min_count))
+        .orderBy(is_text.desc(), F.desc("n"), "token")
+        .limit(dims + 1)
+        .collect()
+    )
+    return rows[1:], rows[0]["texts"] if rows else 0
 
 
-def tfidf_features(
-    df: DataFrame,
-    model: PipelineModel,
+def fit_tfidf(
+    train: DataFrame,
+    dims: int,
     col: str = "tweet",
-    out: str = "text_features",
+    min_count: int = 1,
     missing_text: str = "nan",
-) -> DataFrame:
-    """Add the TF-IDF vector as array<double>."""
-    text = PF.text_or_nan(F.col(col), missing_text)
-    weighted = model.transform(df.withColumn("_tokens", PF.tokens(text)))
-    return weighted.withColumn(out, vector_to_array("_tfidf")).drop(
-        "_tokens", "_term_counts", "_tfidf"
+    out: str = "_tfidf",
+) -> PipelineModel:
+    """Fit term list and inverse document frequencies on the training texts.
+
+    The ``dims`` most frequent tokens are the features, ties by token; a term's weight
+    is ``log((texts + 1) / (texts with it + 1))``. Only the term list comes to the
+    driver. The stages are tokens, counts and weights; they can be saved.
+    """
+    terms, texts = _term_stats(train, dims, col, min_count)
+    if not terms:
+        raise ValueError("no tokens in the training texts")
+    blank = "nan" if missing_text == "nan" else ""
+    words = SQLTransformer(
+        statement=f"SELECT *, regexp_extract_all(lower(coalesce({col}, '{blank}')), "
+        f"r'{PF.TOKEN_PATTERN}', 0) AS _words FROM __THIS__"
+    )
+    counts = CountVectorizerModel.from_vocabulary(
+        [r["token"] for r in terms], inputCol="_words", outputCol="_counts", minTF=1.0
     )
+    weights = Vectors.dense([math.log((texts + 1) / (r["texts"] + 1)) for r in terms])
+    weigh = ElementwiseProduct(scalingVec=weights, inputCol="_counts", outputCol=out)
+    return PipelineModel(stages=[words, counts, weigh])
+
+
+def tfidf_width(model: PipelineModel) -> int:
+    return len(model.stages[1].vocabulary)
+
+
+def tfidf_features(df: DataFrame, model: PipelineModel, out: str = "text_features") -> DataFrame:
+    """Add the TF-IDF vector as array<double>."""
+    weighted = model.transform(df)
+    return weighted.withColumn(out, vector_to_array("_tfidf")).drop("_words", "_counts", "_tfidf")

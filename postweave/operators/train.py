@@ -8,14 +8,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postweave import functions as PF
+from postweave.operators.text import fit_tfidf
 from postweave.schema import HISTORY
 
 # --- fixed values: Adam defaults ----------------------------------------------
@@ -83,16 +83,14 @@ def fit_text_classifier(
     max_iter: int = 100,
     reg: float = 0.01,
 ) -> PipelineModel:
-    """Text-only classifier: tokens, counts, inverse document frequency, softmax regression."""
-    stages = [
-        RegexTokenizer(
-            inputCol=col, outputCol="_words", pattern=PF.TOKEN_PATTERN, gaps=False
-        ),
-        CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocab_size),
-        IDF(inputCol="_counts", outputCol="_tfidf"),
-        _softmax_regression("_tfidf", label, None, max_iter, reg),
-    ]
-    return Pipeline(stages=stages).fit(train)
+    """Text-only classifier: tokens, counts, inverse document frequency, softmax regression.
+
+    The texts are read twice: for terms and weights, and for the training vectors,
+    which the regression then holds.
+    """
+    tfidf = fit_tfidf(train, vocab_size, col)
+    model = _softmax_regression("_tfidf", label, None, max_iter, reg).fit(tfidf.transform(train))
+    return PipelineModel(stages=[*tfidf.stages, model])
 
 
 def fit_fused_classifier(

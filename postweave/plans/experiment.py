@@ -131,7 +131,7 @@ def run_fusion(
     and perhaps test. Text features are fitted on the train rows.
     """
     fitted = text.fit_tfidf(pairs.filter("split = 'train'"), text_dims)
-    text_width = len(fitted.stages[0].vocabulary)
+    text_width = text.tfidf_width(fitted)
     first = pairs.select(F.size("features").alias("width")).first()
     if first is None:
         raise ValueError("no posts with image features")

@@ -29,10 +29,10 @@ def head_sql(inputs: str, classes: int, epochs: int, lr: float, prefix: str = ""
               FROM {x}f JOIN {x}w{t} USING (pos) GROUP BY 1, 2, 3, 4)""",
             f"""{x}t{t} AS (SELECT *, z - max(z) OVER (PARTITION BY id) AS d,
               row_number() OVER (PARTITION BY id ORDER BY z DESC, k) AS place FROM {x}z{t})""",
-            f"""{x}p{t} AS MATERIALIZED (SELECT *, exp(d) / sum(exp(d)) OVER (PARTITION BY id) AS p
-              FROM {x}t{t})""",
+            f"""{x}p{t} AS MATERIALIZED (SELECT *, exp(d) / sum(exp(d)) OVER (PARTITION BY id) AS p,
+              ln(sum(exp(d)) OVER (PARTITION BY id)) - d AS nll FROM {x}t{t})""",
             f"""{x}e{t} AS (SELECT is_train,
-              -avg(ln(p)) FILTER (k = label) AS loss,
+              avg(nll) FILTER (k = label) AS loss,
               avg((k = label)::INT) FILTER (place = 1) AS acc FROM {x}p{t} GROUP BY is_train)""",
         ]
         if t == epochs:

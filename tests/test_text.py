@@ -81,3 +81,19 @@ def test_tfidf(posts):
             frequency = sum(term in words(t) for t in TEXTS[:3])
             want.append(counts[term] * math.log(4 / (frequency + 1)))
         assert r["text_features"] == pytest.approx(want)
+
+
+def test_tfidf_model_survives_saving(posts, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    fitted = text.fit_tfidf(posts, 4, missing_text="empty")
+    fitted.write().overwrite().save(str(tmp_path / "tfidf"))
+    again = text.tfidf_features(posts, PipelineModel.load(str(tmp_path / "tfidf")))
+    first = text.tfidf_features(posts, fitted)
+    assert sorted(map(str, again.collect())) == sorted(map(str, first.collect()))
+    assert first.filter("post_id = 3").first()["text_features"] == [0.0] * 4
+
+
+def test_tfidf_without_tokens(posts):
+    with pytest.raises(ValueError):
+        text.fit_tfidf(posts.filter("post_id = 2"), 3)
