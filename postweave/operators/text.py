@@ -87,11 +87,14 @@ def _join_entries(
     """``id, _mapped`` by joins, for a vocabulary too large to send whole.
 
     Ids go by frequency, so the first entries hold the hot tokens; they are joined by
-    broadcast. Only tokens beyond them, each of them rare, are shuffled.
+    broadcast, within both bounds. Only tokens beyond them, rare or very long, are
+    shuffled.
     """
     rows = df.select(id_col, F.posexplode_outer(col).alias("pos", on))
-    head = vocab.filter(F.col("id") < BROADCAST_ENTRIES).select(on, F.col(value).alias("_head"))
-    tail = vocab.filter(F.col("id") >= BROADCAST_ENTRIES).select(
+    short = F.octet_length("token") <= BROADCAST_BYTES // BROADCAST_ENTRIES
+    in_head = (F.col("id") < BROADCAST_ENTRIES) & short
+    head = vocab.filter(in_head).select(on, F.col(value).alias("_head"))
+    tail = vocab.filter(~in_head).select(
         F.col(on).cast("string").alias("_rare"), F.col(value).alias("_tail")
     )
     first = rows.join(F.broadcast(head), on, "left")

@@ -92,8 +92,16 @@ def mean_pool(df: DataFrame, key: str, col: str, mask: str | None = None) -> Dat
     )
 
 
-def first_pool(df: DataFrame, key: str, pos: str, col: str) -> DataFrame:
-    """The vector at the lowest sequence position of each key."""
+def first_pool(
+    df: DataFrame, key: str, pos: str, col: str, position: int | None = None
+) -> DataFrame:
+    """The vector at the lowest sequence position of each key.
+
+    Where sequences are known to start at ``position``, such as 0, giving it makes this
+    a filter on the scan.
+    """
+    if position is not None:
+        return df.filter(F.col(pos) == position).select(key, col)
     return df.groupBy(key).agg(F.min_by(col, pos).alias(col))
 
 

@@ -157,7 +157,7 @@ def display_label(spark, folder):
 
 @query(f"{POSTS} SELECT post_id, replace(image, '.JPG', '.jpg') AS image FROM posts")
 def normalize_extension(spark, folder):
-    return prepare.normalize_extension(T.posts(spark, folder)).select("post_id", "image")
+    return prepare.normalize_extension(T.texts(spark, folder)).select("post_id", "image")
 
 
 @query(
@@ -178,7 +178,7 @@ def project_posts(spark, folder):
 
 @query(f"{POSTS} SELECT post_id, coalesce(tweet, 'nan') AS tweet FROM posts")
 def text_or_nan(spark, folder):
-    return prepare.text_or_nan(T.posts(spark, folder)).select("post_id", "tweet")
+    return prepare.text_or_nan(T.texts(spark, folder)).select("post_id", "tweet")
 
 
 # --- filters and row access -------------------------------------------------------
@@ -312,7 +312,7 @@ def class_weights(spark, folder):
 
 @query(f"{POSTS} SELECT post_id, length(tweet) AS tweet_length FROM posts")
 def text_length(spark, folder):
-    return stats.text_length(T.posts(spark, folder)).select("post_id", "tweet_length")
+    return stats.text_length(T.texts(spark, folder)).select("post_id", "tweet_length")
 
 
 _LENGTHS = f"""{CLEAN}, lengths AS (
@@ -384,7 +384,7 @@ _TOKENS = f"regexp_extract_all(lower(coalesce(tweet, 'nan')), '{TOKEN_PATTERN}',
     FROM (SELECT post_id, {_TOKENS} AS t FROM posts)"""
 )
 def tokenize(spark, folder):
-    texts = prepare.text_or_nan(T.posts(spark, folder))
+    texts = prepare.text_or_nan(T.texts(spark, folder))
     split = text.tokenize(texts)
     return split.select("post_id", F.size("tokens").cast("bigint").alias("n_tokens"), _joined("tokens"))
 
@@ -429,7 +429,7 @@ _ENCODED = f"""{CLEAN}, {_vocab_sql(VOCAB)},
     array_to_string(attention_mask, ' ') AS attention_mask FROM padded"""
 )
 def encode_text(spark, folder):
-    rows = text.encode_text(T.posts(spark, folder), _train_vocab(spark, folder))
+    rows = text.encode_text(T.texts(spark, folder), _train_vocab(spark, folder))
     return rows.select("post_id", _joined("input_ids"), _joined("attention_mask"))
 
 
@@ -441,7 +441,7 @@ def encode_text(spark, folder):
 )
 def decode_tokens(spark, folder):
     vocab = _train_vocab(spark, folder)
-    encoded = text.encode_text(T.posts(spark, folder), vocab)
+    encoded = text.encode_text(T.texts(spark, folder), vocab)
     return text.decode_tokens(encoded, vocab).select("post_id", _joined("tokens"))
 
 
@@ -470,7 +470,7 @@ def _with_text(spark, folder, rows: DataFrame) -> DataFrame:
     SELECT post_id, CAST(pos AS INT) AS pos, round(x, 6) AS value FROM text_entries"""
 )
 def tfidf_features(spark, folder):
-    rows = _with_text(spark, folder, T.posts(spark, folder))
+    rows = _with_text(spark, folder, T.texts(spark, folder))
     return _long(rows, ["post_id"], "text_features")
 
 
@@ -684,7 +684,7 @@ _CROSS = f"""{CLEAN}, {_tfidf_sql('posts')},
 
 
 def _cross_inputs(spark, folder):
-    texts = _with_text(spark, folder, T.posts(spark, folder)).select("post_id", "text_features")
+    texts = _with_text(spark, folder, T.texts(spark, folder)).select("post_id", "text_features")
     images = T.vectors(spark, folder).withColumn(
         "post_id", F.floor(F.col("vec_id") / 2).cast("bigint")
     )
@@ -722,7 +722,7 @@ def cross_attention_weights(spark, folder):
 )
 def attention_table(spark, folder):
     """Token weights of mean pooling: every token of a post counts the same."""
-    split = text.tokenize(prepare.text_or_nan(T.posts(spark, folder)))
+    split = text.tokenize(prepare.text_or_nan(T.texts(spark, folder)))
     even = F.transform("tokens", lambda _: F.lit(1.0) / F.size("tokens"))
     rows = fusion.attention_table(split.withColumn("w", even), "post_id", "tokens", "w")
     return rows.select("post_id", "pos", "item", _r("weight", "weight"))

@@ -91,22 +91,28 @@ def table(
     return read_table(spark, f"{folder}/{name}.parquet", spread_by)
 
 
-def posts(spark: SparkSession, folder: str) -> DataFrame:
-    """``post_id, tweet, label, image`` of every document; labels are names."""
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """``post_id, tweet, image`` of every document: posts where labels are not needed."""
     doc = F.col("doc_id")
-    labels = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    texts = table(spark, folder, "documents", "doc_id").select("doc_id", "text")
-    docs = texts.join(labels, "doc_id", "left")
-    code = F.coalesce("label", (doc % 10).cast("int"))
     suffix = F.when(doc % 3 == 0, F.lit(".JPG")).otherwise(F.lit(".jpg"))
-    return docs.select(
+    return table(spark, folder, "documents", "doc_id").select(
         doc.alias("post_id"),
         F.when(doc % 37 != 0, F.col("text")).alias("tweet"),
-        F.coalesce(PF.decode_label(code), F.lit("unlisted")).alias("label"),
         F.concat(F.lit("img_"), doc.cast("string"), suffix).alias("image"),
     )
 
 
+def posts(spark: SparkSession, folder: str) -> DataFrame:
+    """``texts`` with label names."""
+    labels = table(spark, folder, "embeddings").select(F.col("vec_id").alias("post_id"), "label")
+    code = F.coalesce("label", (F.col("post_id") % 10).cast("int"))
+    return (
+        texts(spark, folder)
+        .join(labels, "post_id", "left")
+        .withColumn("label", F.coalesce(PF.decode_label(code), F.lit("unlisted")))
+    )
+
+
 def coded_posts(spark: SparkSession, folder: str) -> DataFrame:
     """Posts with label codes and normalized image names, not cleaned."""
     coded = prepare.normalize_extension(prepare.encode_label(posts(spark, folder)))

@@ -126,3 +126,9 @@ def test_split_by_two_keys_with_missing_values(spark, small_ranges, n):
     assert [r["split"] for r in ordered] == ["train"] * n + ["valid"] * (1000 - n)
     found = ordering.row_at(df, n, ["word", "id"]).collect()
     assert [r["id"] for r in found] == [ordered[n]["id"]]
+
+
+def test_split_by_share_rounds_down(spark):
+    rows = ordering.share_split(numbers(spark, 19), (7, 10), "id").collect()
+    assert {r["id"] for r in rows if r["split"] == "train"} == set(range(13))
+    assert ordering.share_split(numbers(spark, 19).limit(0), (7, 10), "id").count() == 0

@@ -6,7 +6,14 @@ from pyspark.sql import functions as F
 from postweave import session
 from postweave.operators import prepare
 from postweave.operators.ordering import dense_index
-from postweave.sources import LOAD_ORDER, read_manifest, scan_media, write_manifest_csv, write_tables
+from postweave.sources import (
+    LOAD_ORDER,
+    read_manifest,
+    read_table,
+    scan_media,
+    write_manifest_csv,
+    write_tables,
+)
 
 
 def test_csv_with_line_breaks_quotes_and_missing_words(spark, tmp_path):
@@ -104,6 +111,22 @@ def test_tables(spark, tmp_path):
     assert spark.read.parquet(paths["rows"]).count() == 2
 
 
+def test_small_tables_are_spread_and_large_ones_are_not(spark, tmp_path):
+    from conftest import plan_of
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(100).repartition(20).write.parquet(str(tmp_path / "many"))
+    cores = spark.sparkContext.defaultParallelism
+    one = read_table(spark, str(tmp_path / "one"), "id")
+    assert one.rdd.getNumPartitions() == cores and one.count() == 100
+    assert "Exchange" not in plan_of(read_table(spark, str(tmp_path / "one")))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 * 2**20))
+    try:
+        assert "Exchange" not in plan_of(read_table(spark, str(tmp_path / "many"), "id"))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 class FakeContext:
     def __init__(self, master, folder=None):
         self.master, self.folder = master, folder

@@ -45,6 +45,14 @@ def expected_ids(t, vocab, max_len):
     return used + [0] * (max_len - len(used)), [1] * len(used) + [0] * (max_len - len(used))
 
 
+def test_encoding_with_a_vocabulary_too_long_to_send(posts, monkeypatch):
+    vocab = text.fit_vocab(posts, 100)
+    want = sorted(map(str, text.encode_text(posts, vocab, 8).collect()))
+    monkeypatch.setattr(text, "BROADCAST_BYTES", 30)
+    monkeypatch.setattr(text, "BROADCAST_ENTRIES", 10)
+    assert sorted(map(str, text.encode_text(posts, vocab, 8).collect())) == want
+
+
 @pytest.mark.parametrize("max_len", [2, 4, 10])
 @pytest.mark.parametrize("broadcast_entries", [100_000, 6])
 def test_encoding(posts, monkeypatch, max_len, broadcast_entries):

@@ -78,6 +78,9 @@ def test_mean_pool_without_unmasked_rows(spark):
 def test_first_pool(rows):
     got = {r["k"]: r["features"] for r in vec.first_pool(rows, "k", "post_id", "features").collect()}
     assert got == {k: X[k].tolist() for k in range(3)}
+    placed = rows.withColumn("pos", F.floor(F.col("post_id") / 3))
+    known = vec.first_pool(placed, "k", "pos", "features", position=0).collect()
+    assert {r["k"]: r["features"] for r in known} == got
 
 
 @pytest.mark.parametrize("limit", [4096, 0])
