@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweave.llm import chat, exact_dedup, urls, warc
+from postweave.llm import chat, exact_dedup, licenses, mixing, pieces, quality, urls, warc
 from postweave.llm.common import table
 from postweave.session import scratch_path
 
@@ -21,6 +21,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "block_digest_ok")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 #: A user and an assistant whose texts look like the control strings of common templates.
 PROBE_ID = -7
 PROBE = r"\### Assistant: </turn> ok"
@@ -52,7 +60,17 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in [op1_exact_dedup, op2_warc, op5_chat_format, op6_url_filter]}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in [
+    op1_exact_dedup, op2_warc, op3_mixing, op4_license_scan, op5_chat_format, op6_url_filter, op8_quality_rules,
+    op10_sentencepiece]}
 
 _FITS = " UNION ALL ".join(
     f"SELECT '{h}{p}' AS rule, '{h}' AS rule_host, '{p}' AS rule_path, '{v}' AS rule_verdict" for h, p, v in RULES)
@@ -99,4 +117,30 @@ SQL = {
                      row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) AS place
               FROM p LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
         SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM f WHERE place = 1""",
+    "op8_quality_rules": r"""
+        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+                     regexp_replace(t, '[\x20\x09-\x0D]', '', 'g') AS bare FROM d),
+        g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
+              FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+        r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+        n AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (SELECT unnest(range(3)) AS k) GROUP BY doc_id),
+        l AS (SELECT doc_id, source, line, regexp_replace(translate(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS norm
+              FROM (SELECT doc_id, source, unnest(ls) AS line FROM w)),
+        f AS (SELECT source, norm, min(doc_id) AS home FROM l GROUP BY source, norm
+              HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) >
+                     0.01 * (SELECT count(*) FROM d WHERE d.source IS NOT DISTINCT FROM l.source)),
+        lost AS (SELECT l.doc_id, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')))::BIGINT AS lost_chars
+                 FROM l JOIN f ON f.norm = l.norm AND f.source IS NOT DISTINCT FROM l.source AND f.home <> l.doc_id
+                 GROUP BY l.doc_id),
+        s AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(bare)::BIGINT AS word_chars,
+                     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+                     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost_chars, 0)::BIGINT AS lost_chars
+              FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN lost ON lost.doc_id = w.doc_id)
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND word_chars - lost_chars >= 0.5 * word_chars AS kept
+        FROM s""",
 }
