@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweave.llm import chat, exact_dedup, licenses, mixing, pieces, quality, urls, warc
+from postweave.llm import chat, exact_dedup, licenses, minhash, mixing, pieces, quality, urls, warc
 from postweave.llm.common import table
 from postweave.session import scratch_path
 
@@ -64,13 +64,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_components(table(spark, sf_dir, "documents")).drop("_text")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in [
     op1_exact_dedup, op2_warc, op3_mixing, op4_license_scan, op5_chat_format, op6_url_filter, op8_quality_rules,
-    op10_sentencepiece]}
+    op9_near_dedup, op10_sentencepiece]}
 
 _FITS = " UNION ALL ".join(
     f"SELECT '{h}{p}' AS rule, '{h}' AS rule_host, '{p}' AS rule_path, '{v}' AS rule_verdict" for h, p, v in RULES)
@@ -143,4 +147,21 @@ SQL = {
         SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND word_chars - lost_chars >= 0.5 * word_chars AS kept
         FROM s""",
+    "op9_near_dedup": r"""
+        WITH RECURSIVE
+        w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+                     lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+              FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS hits FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
+              GROUP BY a.doc_id, b.doc_id),
+        l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+              WHERE 100 * hits >= 75 * (p.n + q.n - hits)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.other = e.x),
+        m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+        SELECT m.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, m.doc_id = component_id AS kept
+        FROM m LEFT JOIN n ON n.doc_id = m.doc_id""",
 }
