@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweave.llm import chat, exact_dedup, licenses, minhash, mixing, pieces, quality, urls, warc
+from postweave.llm import chat, exact_dedup, licenses, minhash, mixing, pieces, pii, quality, urls, warc
 from postweave.llm.common import table
 from postweave.session import scratch_path
 
@@ -60,6 +60,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_personal_data(docs, pii.fit_field(pii.training_texts(docs)))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"))
 
@@ -73,8 +78,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in [
-    op1_exact_dedup, op2_warc, op3_mixing, op4_license_scan, op5_chat_format, op6_url_filter, op8_quality_rules,
-    op9_near_dedup, op10_sentencepiece]}
+    op1_exact_dedup, op2_warc, op3_mixing, op4_license_scan, op5_chat_format, op6_url_filter, op7_personal_data,
+    op8_quality_rules, op9_near_dedup, op10_sentencepiece]}
 
 _FITS = " UNION ALL ".join(
     f"SELECT '{h}{p}' AS rule, '{h}' AS rule_host, '{p}' AS rule_path, '{v}' AS rule_verdict" for h, p, v in RULES)
