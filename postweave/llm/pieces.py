@@ -16,7 +16,7 @@ The vocabulary is read on the driver from ``model_file`` and broadcast: it is a
 
 Defined cases: null and empty texts have no pieces and decode to the empty text; a null key is a key of
 its own; repeated rows give equal pieces; empty tables give empty results. Texts of any length are encoded
-whole, in slices of chunks. Other columns of the input are kept or dropped as the caller names them.
+whole, in slices of chunks. Of the input's columns those stay that the caller names, unless a result has the name.
 """
 
 from __future__ import annotations
@@ -273,7 +273,7 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", kee
            model_file: str = MODEL_FILE, alpha: float = 1.0, seed: int = 0, check: bool = True) -> DataFrame:
     """The kept columns (default: the key) with n_pieces, piece_ids and, if ``check``, lossless: whether
     the decoded pieces equal the text."""
-    keep = keep or [key_col]
+    keep = [c for c in keep or [key_col] if c not in ("n_pieces", "piece_ids", "lossless")]
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model_file))
     rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)],
                        F.col(key_col).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))

@@ -49,8 +49,7 @@ def lines_of(text: Column) -> Column:
 
 
 def line_hash(line: Column) -> Column:
-    bare = ascii_lower(F.translate(line, SPACES, ""))
-    return F.xxhash64(F.translate(bare, "123456789", "000000000"))
+    return F.xxhash64(ascii_lower(F.translate(line, SPACES, "")))
 
 
 def repeated_words(words: Column, width: int = 3) -> Column:

@@ -135,8 +135,8 @@ SQL = {
               FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
         r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
         n AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (SELECT unnest(range(3)) AS k) GROUP BY doc_id),
-        l AS (SELECT doc_id, source, line, regexp_replace(translate(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'),
-                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS norm
+        l AS (SELECT doc_id, source, line, translate(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
               FROM (SELECT doc_id, source, unnest(ls) AS line FROM w)),
         f AS (SELECT source, norm, min(doc_id) AS home FROM l GROUP BY source, norm
               HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) >

@@ -47,11 +47,11 @@ READ_SCHEMA = ("file string, offset long, record_type string, page_id long, url
                "payload_bytes long, payload_digest string, refers_to long, block_digest_ok boolean")
 
 
-def assign_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
+def assign_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                     min_bytes: int = 1000) -> DataFrame:
-    """Pages with _digest, _bytes and _response: the id of the record that holds the payload."""
+    """Id, URL and html of pages with _digest, _bytes and _response: the id of the record that holds the payload."""
     payload = F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b""))
-    rows = pages.withColumn("_digest", F.sha1(payload)).withColumn("_bytes", F.octet_length(payload).cast("long"))
+    rows = pages.select(id_col, url_col, html_col).withColumn("_digest", F.sha1(payload)).withColumn("_bytes", F.octet_length(payload).cast("long"))
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int"))
     keys = rows.filter(F.col("_bytes") >= min_bytes).select("_digest", F.col(id_col).alias("_id"))
     repeated = (keys.groupBy("_digest").agg(F.count("*").alias("_n"), F.max("_id").alias("_response"))
