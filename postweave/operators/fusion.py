@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,9 @@ def fuse_concat(df: DataFrame, first: str, second: str, out: str = "fused") -> D
     return df.withColumn(out, F.concat(first, second))
 
 
+# Parts that the rows of a key are dealt to where constants of the key are joined back.
+SALTS = 16
+
 # Scores are summed by level of this width before they are scaled to the key's maximum:
 # exp of the width is far from overflow, and nearly all keys have one or two levels.
 LEVEL_WIDTH = 256
@@ -58,9 +62,11 @@ def softmax_stats(scored: DataFrame, key: str, score: str = "_score") -> DataFra
     )
 
 
-def attention_score(vec: Column, weights, bias, query: Sequence[float]) -> Column:
+def attention_score(
+    vec: Column, weights, bias, query: Sequence[float], batches: bool = False
+) -> Column:
     """``gelu(weights . x + bias) . query``."""
-    return PF.dot(PF.gelu(PF.project(vec, weights, bias)), PF.array_literal(query))
+    return PF.dot(PF.gelu(PF.project(vec, weights, bias, batches)), PF.array_literal(query))
 
 
 def batch_attention(
@@ -69,18 +75,21 @@ def batch_attention(
     bias,
     query: Sequence[float],
     scope: str | None = "batch_id",
-    bounded: bool = True,
+    bounded: bool = False,
     col: str = "features",
     out: str = "attended",
     weight: str = "weight",
+    batches: bool = False,
 ) -> DataFrame:
     """Weigh each vector by the softmax of its score over the rows of its scope.
 
-    ``scope`` is a batch or key column, or None for the whole table. Batches are
-    small and use a window. A key that may hold any number of rows needs
-    ``bounded=False``: then only its two softmax constants are joined back.
+    ``scope`` is a batch or key column, or None for the whole table; rows without a
+    scope value are a scope of their own. Only the two softmax constants of a key are
+    joined back, in salted copies, so a key may hold any number of rows.
+    ``bounded=True`` promises that no key has more rows than a task can sort, as with
+    batches, and uses a window instead.
     """
-    scored = df.withColumn("_score", attention_score(F.col(col), weights, bias, query))
+    scored = df.withColumn("_score", attention_score(F.col(col), weights, bias, query, batches))
     power = F.exp(F.col("_score") - F.col("_top"))
     if scope is None:
         # Every row shares the constant, so it comes from one result row.
@@ -96,26 +105,39 @@ def batch_attention(
         )
     else:
         stats = softmax_stats(scored.select(scope, "_score"), scope)
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        copies = stats.select(F.col(scope).alias("_scope"), "_top", "_mass", salts.alias("_copy"))
+        salted = scored.withColumn("_salt", F.pmod(F.xxhash64(col), F.lit(SALTS)).cast("int"))
+        same = salted[scope].eqNullSafe(copies["_scope"]) & (salted["_salt"] == copies["_copy"])
         weighted = (
-            scored.join(stats, scope)
+            salted.join(copies, same)
             .withColumn(weight, power / F.col("_mass"))
-            .drop("_top", "_mass")
+            .drop("_top", "_mass", "_scope", "_copy", "_salt")
         )
     scaled = PF.bind(F.col(weight), lambda w: F.transform(col, lambda x: x * w))
     return weighted.withColumn(out, scaled).drop("_score")
 
 
 def _scored_pairs(
-    texts: DataFrame, images: DataFrame, on: str, query, key, text_col: str, image_col: str
+    texts: DataFrame,
+    images: DataFrame,
+    on: str,
+    query,
+    key,
+    text_col: str,
+    image_col: str,
+    batches: bool,
 ) -> DataFrame:
     """Each image with the text of its own post and their score.
 
     The join is along the post key and texts are unique by it, so there is one pair
-    per image row.
+    per image row. A text without images has one pair without a score.
     """
-    asked = texts.withColumn("_q", PF.project(F.col(text_col), *query))
-    offered = images.withColumn("_k", PF.project(F.col(image_col), *key))
-    return asked.join(offered, on).withColumn("_score", PF.dot(F.col("_q"), F.col("_k")))
+    asked = texts.withColumn("_q", PF.project(F.col(text_col), *query, batches=batches))
+    offered = images.filter(F.col(image_col).isNotNull()).withColumn(
+        "_k", PF.project(F.col(image_col), *key, batches=batches)
+    )
+    return asked.join(offered, on, "left").withColumn("_score", PF.dot(F.col("_q"), F.col("_k")))
 
 
 def cross_attention(
@@ -128,17 +150,23 @@ def cross_attention(
     text_col: str = "text_features",
     image_col: str = "features",
     out: str = "attended",
+    batches: bool = False,
 ) -> DataFrame:
     """``on, out``: text vector plus the attention-weighted sum of its images' values.
 
     ``query``, ``key`` and ``value`` are ``(weights, bias)`` pairs; the value width
     must equal the text width. With one image the weight is 1 and the result is
-    value plus text. The sums are formed per task and score level, so a post with
+    value plus text; a text without images keeps its own vector. The sums are formed per task and score level, so a post with
     very many images does not gather in one task.
     """
-    offered = images.withColumn("_v", PF.project(F.col(image_col), *value))
+    offered = images.withColumn("_v", PF.project(F.col(image_col), *value, batches=batches))
     pairs = _scored_pairs(
-        texts.select(on, text_col), offered, on, query, key, text_col, image_col
+        texts.select(on, text_col), offered, on, query, key, text_col, image_col, batches
+    )
+    # Without an image the value is zero and its weight 1.
+    nothing = PF.array_literal(np.zeros(np.asarray(value[0]).shape[0]))
+    pairs = pairs.withColumns(
+        {"_score": F.coalesce("_score", F.lit(0.0)), "_v": F.coalesce("_v", nothing)}
     )
     level = _level(F.col("_score"))
     power = F.exp(F.col("_score") - level)
@@ -183,11 +211,12 @@ def cross_attention_weights(
     key: tuple,
     text_col: str = "text_features",
     image_col: str = "features",
+    batches: bool = False,
 ) -> DataFrame:
     """``on, image_id, weight`` for every image of a post."""
     pairs = _scored_pairs(
-        texts.select(on, text_col), images, on, query, key, text_col, image_col
-    ).select(on, image_id, "_score")
+        texts.select(on, text_col), images, on, query, key, text_col, image_col, batches
+    ).filter(F.col("_score").isNotNull()).select(on, image_id, "_score")
     weight = F.exp(F.col("_score") - F.col("_top")) / F.col("_mass")
     return pairs.join(softmax_stats(pairs, on), on).select(on, image_id, weight.alias("weight"))
 

@@ -1,10 +1,11 @@
 """Row positions: dense index, row lookup, ordered split, seeded shuffle, batches.
 
 Spark rows have no order, so an order key is always given; it should be unique.
-No operator here sorts the whole table in one task. A table above
-``SINGLE_TASK_ROWS`` is cut into key ranges by fixed boundary rows taken from a
-sample. The range of a row depends on its key and the boundaries only, not on how a
-stage was partitioned, so a stage that is run again numbers its rows alike.
+A table is cut into key ranges of about ``rows_per_range`` rows by fixed boundary rows
+taken from a sample; a small table is one range. The range of a row depends on its key
+and the boundaries only, not on how a stage was partitioned, so a stage that is run
+again numbers its rows alike. Rows of equal keys cannot be told apart by ranges: where
+they fill a range far beyond its size, the operators ask for a further key.
 """
 
 from __future__ import annotations
@@ -20,11 +21,14 @@ from pyspark.sql import functions as F
 
 from postweave.functions import bind, seeded_hash
 
-SINGLE_TASK_ROWS = 50_000
-TOP_ROWS = 1_000
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 10_000
 SAMPLE_PER_RANGE = 20
+#: A range may hold so many times the rows it should before equal keys are refused.
+MOST_UNEVEN = 20
+#: Ranges that one lookup of a key cuts what is left into.
+LOOKUP_RANGES = 100
+#: Key rows among which a lookup picks its own; only these reach the driver.
+LOOKUP_ROWS = 10_000
 
 _RANGE = "_key_range"
 
@@ -102,20 +106,29 @@ def _range_by_search(df: DataFrame, keys: Sequence[str], cuts: Sequence[Row]) ->
     return bind(key, search) if known else F.lit(0)
 
 
+def _sizes(df: DataFrame, of_row: Column) -> list[int]:
+    """Rows per range; one number per range reaches the driver."""
+    found = {r[_RANGE]: r["count"] for r in df.groupBy(of_row.alias(_RANGE)).count().collect()}
+    return [found.get(i, 0) for i in range(max(found, default=0) + 1)]
+
+
 def _ranges(
     df: DataFrame,
     keys: Sequence[str],
     rows: int,
+    rows_per_range: int,
     spread: Callable[[int], Column] | None = None,
 ) -> _Ranges:
-    count = min(MAX_RANGES, max(2, math.ceil(rows / ROWS_PER_RANGE)))
+    count = max(1, math.ceil(rows / rows_per_range))
+    if count == 1:
+        return _Ranges(F.lit(0), [0], [rows])
     if spread is not None:
         of_row = spread(count)
     else:
         of_row = _range_by_search(df, keys, _boundaries(df, keys, rows, count))
-    counted = df.groupBy(of_row.alias(_RANGE)).count().collect()  # at most MAX_RANGES rows
-    found = {r[_RANGE]: r["count"] for r in counted}
-    sizes = [found.get(i, 0) for i in range(max(found, default=0) + 1)]
+    sizes = _sizes(df, of_row)
+    if max(sizes) > MOST_UNEVEN * rows_per_range:
+        raise ValueError("too many rows with equal order keys; add a key that tells them apart")
     starts = [0] * len(sizes)
     for i in range(1, len(sizes)):
         starts[i] = starts[i - 1] + sizes[i - 1]
@@ -127,6 +140,7 @@ def dense_index(
     order_by: str | Sequence[str],
     out: str = "row_idx",
     spread: Callable[[int], Column] | None = None,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Add the 0-based position of each row in key order.
 
@@ -134,54 +148,64 @@ def dense_index(
     distribution is known (it must grow with the key).
     """
     keys = _key_list(order_by)
-    rows = df.count()
-    position = F.row_number()
-    if rows <= SINGLE_TASK_ROWS:
-        order = Window.partitionBy(F.lit(0)).orderBy(*keys)
-        return df.withColumn(out, (position.over(order) - 1).cast("bigint"))
-    ranges = _ranges(df, keys, rows, spread)
+    ranges = _ranges(df, keys, df.count(), rows_per_range, spread)
     starts = F.expr("array(" + ",".join(f"{s}L" for s in ranges.starts) + ")")
     order = Window.partitionBy(_RANGE).orderBy(*keys)
     return (
         df.withColumn(_RANGE, ranges.of_row)
         .repartitionById(len(ranges.starts), F.col(_RANGE))
-        .withColumn(out, F.get(starts, F.col(_RANGE)) + position.over(order) - 1)
+        .withColumn(out, F.get(starts, F.col(_RANGE)) + F.row_number().over(order) - 1)
         .drop(_RANGE)
     )
 
 
 def key_at(
-    df: DataFrame, i: int, order_by: str | Sequence[str], rows: int | None = None
+    df: DataFrame,
+    i: int,
+    order_by: str | Sequence[str],
+    rows: int | None = None,
+    lookup_rows: int = LOOKUP_ROWS,
 ) -> Row | None:
     """The order key of the row at position ``i``; None past the end.
 
-    On a large table only the key range that holds the position is sorted. ``rows``
-    saves counting the table where its row count is known.
+    The range that holds the position is cut again and again, until it has at most
+    ``lookup_rows`` rows or one key only; nothing larger is sorted. ``rows`` saves
+    counting the table where its row count is known.
     """
     keys = _key_list(order_by)
     if i < 0:
         raise ValueError("position must not be negative")
-    slim = df.select(*keys)
-    # Every task sends its first i + 1 keys to the one that merges them.
-    if i > TOP_ROWS and rows is None:
-        rows = slim.count()
-    if i <= TOP_ROWS or rows <= SINGLE_TASK_ROWS:
-        found = slim.orderBy(*keys).offset(i).limit(1).collect()
-        return found[0] if found else None
+    inside = df.select(*keys)
+    rows = inside.count() if rows is None else rows
     if i >= rows:
         return None
-    ranges = _ranges(slim, keys, rows)
-    hit = max(r for r, s in enumerate(ranges.starts) if s <= i and ranges.sizes[r] > 0)
-    inside = slim.filter(ranges.of_row == hit)
-    return inside.orderBy(*keys).offset(i - ranges.starts[hit]).limit(1).collect()[0]
-
-
-def row_at(df: DataFrame, i: int, order_by: str | Sequence[str]) -> DataFrame:
+    while rows > lookup_rows:
+        cuts = _boundaries(inside, keys, rows, LOOKUP_RANGES)
+        ends = inside.agg(F.min(_key_struct(keys)).alias("low"), F.max(_key_struct(keys)).alias("high")).first()
+        if ends["low"] == ends["high"]:
+            return ends["low"]
+        if not cuts or cuts == [ends["low"]]:
+            cuts = [ends["high"]]  # the sample saw one key; the last one splits for certain
+        of_row = _range_by_search(inside, keys, cuts)
+        sizes, hit = _sizes(inside, of_row), 0
+        while i >= sizes[hit]:
+            i -= sizes[hit]
+            hit += 1
+        if sizes[hit] == rows:  # the sample missed the other keys again
+            of_row = _range_by_search(inside, keys, [ends["high"]])
+            sizes, hit = _sizes(inside, of_row), 0
+            if i >= sizes[0]:
+                i, hit = i - sizes[0], 1
+        inside, rows = inside.filter(of_row == hit), sizes[hit]
+    return inside.orderBy(*keys).limit(i + 1).offset(i).collect()[0]
+
+
+def row_at(
+    df: DataFrame, i: int, order_by: str | Sequence[str], lookup_rows: int = LOOKUP_ROWS
+) -> DataFrame:
     """The row at position ``i`` in key order."""
     keys = _key_list(order_by)
-    if i == 0:
-        return df.orderBy(*keys).limit(1)
-    key = key_at(df, i, keys)
+    key = key_at(df, i, keys, lookup_rows=lookup_rows)
     if key is None:
         return df.limit(0)
     return df.filter(reduce(and_, [F.col(k).eqNullSafe(key[k]) for k in keys]))
@@ -193,6 +217,7 @@ def ordered_split(
     order_by: str | Sequence[str],
     out: str = "split",
     rows: int | None = None,
+    lookup_rows: int = LOOKUP_ROWS,
 ) -> DataFrame:
     """First ``n`` rows in key order are ``train``, the others ``valid``.
 
@@ -200,7 +225,7 @@ def ordered_split(
     with it, without a shuffle.
     """
     keys = _key_list(order_by)
-    cut = key_at(df, n, keys, rows)
+    cut = key_at(df, n, keys, rows, lookup_rows)
     if cut is None:
         return df.withColumn(out, F.lit("train"))
     return df.withColumn(
@@ -209,15 +234,24 @@ def ordered_split(
 
 
 def share_split(
-    df: DataFrame, parts: tuple[int, int], order_by: str | Sequence[str], out: str = "split"
+    df: DataFrame,
+    parts: tuple[int, int],
+    order_by: str | Sequence[str],
+    out: str = "split",
+    lookup_rows: int = LOOKUP_ROWS,
 ) -> DataFrame:
     """``ordered_split`` at a share of the rows, such as ``(7, 10)``, rounded down."""
     rows = df.count()
-    return ordered_split(df, rows * parts[0] // parts[1], order_by, out, rows)
+    return ordered_split(df, rows * parts[0] // parts[1], order_by, out, rows, lookup_rows)
 
 
 def seeded_shuffle(
-    df: DataFrame, seed: int, epoch: int, id_col: str, out: str = "shuffle_pos"
+    df: DataFrame,
+    seed: int,
+    epoch: int,
+    id_col: str,
+    out: str = "shuffle_pos",
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Add each row's position in a reproducible random order of the epoch."""
     mixed = df.withColumn("_mix", seeded_hash(seed, F.lit(epoch), F.col(id_col)))
@@ -226,7 +260,7 @@ def seeded_shuffle(
         head = F.conv(F.substring("_mix", 1, 8), 16, 10).cast("bigint")
         return F.floor(head * F.lit(ranges) / F.lit(2**32)).cast("int")
 
-    return dense_index(mixed, ["_mix", id_col], out, spread).drop("_mix")
+    return dense_index(mixed, ["_mix", id_col], out, spread, rows_per_range).drop("_mix")
 
 
 def assign_batches(

@@ -20,7 +20,8 @@ from postweave.schema import MAX_TOKENS
 SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
 PAD, UNK, CLS, SEP = range(len(SPECIALS))
 
-# A vocabulary within both bounds is sent to every task; of a larger one only so many entries.
+# What may be sent to every task: the whole vocabulary of a lookup in batches, or the
+# most frequent entries of a lookup by joins.
 BROADCAST_ENTRIES = 100_000
 BROADCAST_BYTES = 64 * 2**20
 
@@ -58,11 +59,11 @@ def fit_vocab(df: DataFrame, size: int, min_count: int = 1, col: str = "tweet")
     return specials.unionByName(ranked)
 
 
-def _small_vocab(vocab: DataFrame) -> tuple[pa.Array, pa.Array] | None:
-    """Tokens and ids of a vocabulary within the broadcast bounds; None beyond them."""
+def _sent_vocab(vocab: DataFrame) -> tuple[pa.Array, pa.Array]:
+    """Tokens and ids of a vocabulary; refused beyond the broadcast bounds."""
     sized = vocab.agg(F.count("*").alias("n"), F.sum(F.octet_length("token")).alias("b")).first()
     if sized["n"] > BROADCAST_ENTRIES or (sized["b"] or 0) > BROADCAST_BYTES:
-        return None
+        raise ValueError("the vocabulary is too large to send to every task; use lookup='join'")
     rows = vocab.select("token", "id").collect()
     return pa.array([r["token"] for r in rows], "string"), pa.array([r["id"] for r in rows], "int32")
 
@@ -84,13 +85,17 @@ def _map_entries(kind: str, keys: pa.Array, values: pa.Array, default):
 def _join_entries(
     df: DataFrame, vocab: DataFrame, id_col: str, col: str, on: str, value: str, default
 ) -> DataFrame:
-    """``id, _mapped`` by joins, for a vocabulary too large to send whole.
+    """``id, _mapped`` by joins, for a vocabulary of any size.
 
     Ids go by frequency, so the first entries hold the hot tokens; they are joined by
     broadcast, within both bounds. Only tokens beyond them, rare or very long, are
-    shuffled.
+    shuffled. Rows with the same id and the same entries are counted, looked up once
+    and repeated; rows with the same id and other entries stay apart.
     """
-    rows = df.select(id_col, F.posexplode_outer(col).alias("pos", on))
+    given = df.groupBy(id_col, col).agg(F.count("*").alias("_copies"))
+    rows = given.select(
+        id_col, F.xxhash64(col).alias("_entries"), "_copies", F.posexplode_outer(col).alias("pos", on)
+    )
     short = F.octet_length("token") <= BROADCAST_BYTES // BROADCAST_ENTRIES
     in_head = (F.col("id") < BROADCAST_ENTRIES) & short
     head = vocab.filter(in_head).select(on, F.col(value).alias("_head"))
@@ -100,7 +105,7 @@ def _join_entries(
     first = rows.join(F.broadcast(head), on, "left")
     # Found and empty entries leave the second key: they get keys of their own, which
     # match nothing, so that they do not meet in one task.
-    own = F.concat(F.lit("\u0000"), F.col(id_col).cast("string"))
+    own = F.concat(F.lit("\u0000"), F.col("_entries").cast("string"))
     rest = F.col("_head").isNull() & F.col("pos").isNotNull()
     keyed = first.withColumn("_rare", F.when(rest, F.col(on).cast("string")).otherwise(own))
     joined = keyed.join(tail, "_rare", "left")
@@ -108,8 +113,20 @@ def _join_entries(
         F.col("pos").isNotNull(),
         F.struct("pos", F.coalesce("_head", "_tail", F.lit(default)).alias("value")),
     )
-    grouped = joined.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("_t"))
-    return grouped.select(id_col, F.transform("_t", lambda e: e["value"]).alias("_mapped"))
+    grouped = joined.groupBy(id_col, "_entries", "_copies").agg(
+        F.array_sort(F.collect_list(entry)).alias("_t")
+    )
+    each = grouped.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return each.select(id_col, F.transform("_t", lambda e: e["value"]).alias("_mapped"))
+
+
+LOOKUPS = ["batch", "join"]
+
+
+def _looked_up(lookup: str) -> bool:
+    if lookup not in LOOKUPS:
+        raise ValueError(f"lookup must be one of {LOOKUPS}")
+    return lookup == "batch"
 
 
 def encode_text(
@@ -119,19 +136,22 @@ def encode_text(
     id_col: str = "post_id",
     col: str = "tweet",
     missing_text: str = "nan",
+    lookup: str = "batch",
 ) -> DataFrame:
     """``id, input_ids, attention_mask`` with exactly ``max_len`` entries.
 
     ``[CLS] tokens [SEP]`` is cut to ``max_len`` with the specials kept, then padded;
-    unknown tokens are ``[UNK]``. A vocabulary within the broadcast bounds is looked up
-    in Arrow batches, without a shuffle; beyond them ``id_col`` must be unique.
+    unknown tokens are ``[UNK]``. ``lookup`` is ``batch``, in Arrow batches without a
+    shuffle, for a vocabulary that fits every task, or ``join``, for one of any size.
+    Both give one row per row of ``df``, ids that repeat included.
     """
     text = PF.text_or_nan(F.col(col), missing_text)
     kept = F.slice(PF.tokens(text), 1, max_len - 2)
     words = df.select(id_col, kept.alias("_kept"))
-    small = _small_vocab(vocab)
-    if small is not None:
-        ids = words.select(id_col, _map_entries("int", *small, UNK)("_kept").alias("_mapped"))
+    if _looked_up(lookup):
+        ids = words.select(
+            id_col, _map_entries("int", *_sent_vocab(vocab), UNK)("_kept").alias("_mapped")
+        )
     else:
         ids = _join_entries(words, vocab, id_col, "_kept", "token", "id", UNK)
     used = F.size("_mapped") + 2
@@ -150,14 +170,20 @@ def encode_text(
 
 
 def decode_tokens(
-    df: DataFrame, vocab: DataFrame, id_col: str = "post_id", col: str = "input_ids"
+    df: DataFrame,
+    vocab: DataFrame,
+    id_col: str = "post_id",
+    col: str = "input_ids",
+    lookup: str = "batch",
 ) -> DataFrame:
-    """``id, tokens``: the token of each id, the empty string for an unknown id."""
-    small = _small_vocab(vocab)
-    if small is not None:
-        tokens, ids = small
+    """``id, tokens``: the token of each id, the empty string for an unknown id.
+
+    ``lookup`` as in ``encode_text``.
+    """
+    if _looked_up(lookup):
+        tokens, ids = _sent_vocab(vocab)
         return df.select(id_col, _map_entries("string", ids, tokens, "")(col).alias("tokens"))
-    mapped = _join_entries(df, vocab, id_col, col, "id", "token", "")
+    mapped = _join_entries(df.select(id_col, col), vocab, id_col, col, "id", "token", "")
     return mapped.withColumnRenamed("_mapped", "tokens")
 
 

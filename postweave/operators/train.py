@@ -11,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postweave import functions as PF
@@ -143,70 +143,42 @@ class SoftmaxHead:
         return cls(np.array([r["weights"] for r in rows]), np.array([r["bias"] for r in rows]))
 
 
-def softmax_gradient(
-    df: DataFrame,
-    weights,
-    bias=None,
-    col: str = "features",
-    label: str = "label",
-) -> DataFrame:
-    """``pos`` and per class ``g0..``: the data pass of one full-batch step.
+def _sums_per_task(weights: np.ndarray, bias: np.ndarray):
+    """Arrow task body over ``x, y, is_train, weight``: a task's sums.
 
-    Entries are means of ``(p - y) * x``; position -1 is the bias, and its row also
-    has the mean loss. A task sends one row per position.
+    One row per input, the bias as the last; two more rows carry loss, correct rows and
+    weight of the train and of the other rows.
     """
-    classes = len(weights)
-    logits = PF.project(F.col(col), weights, bias)
-    known = df.select(logits.alias("_l"), F.col(label).alias("_y"), F.col(col).alias("_x"))
-    known = known.filter(F.col("_y").isNotNull() & F.col("_x").isNotNull())
-    error = F.zip_with(
-        PF.softmax(F.col("_l")),
-        F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.col("_y") == k),
-        lambda p, hit: p - hit.cast("double"),
-    )
-    loss = PF.cross_entropy(F.col("_l"), F.col("_y"))
-    inputs = F.array_insert("_x", 1, F.lit(1.0))
-    wide = known.select(
-        error.alias("_e"), loss.alias("_loss"), F.posexplode(inputs).alias("_p", "_v")
-    )
-    sums = [F.avg(F.get("_e", k) * F.col("_v")).alias(f"g{k}") for k in range(classes)]
-    return wide.groupBy((F.col("_p") - 1).alias("pos")).agg(
-        *sums, F.avg(F.when(F.col("_p") == 0, F.col("_loss"))).alias("loss")
-    )
-
-
-def _sums_per_task(weights: np.ndarray, bias: np.ndarray, labels: list[str]):
-    """Arrow task body: gradient, loss and accuracy sums over a task's batches."""
     classes, width = weights.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gradient = np.zeros((width + 1, classes))
-        totals = {s: np.zeros(3) for s in labels}  # loss, correct, rows
+        totals = {s: np.zeros(3) for s in ("train", "valid")}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype("float64")
             x = x.reshape(batch.num_rows, width)
             y = batch.column(1).to_numpy(zero_copy_only=False)
             train = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            weight = batch.column(3).to_numpy(zero_copy_only=False)
             logits = x @ weights.T + bias
             top = logits.max(axis=1, keepdims=True)
             power = np.exp(logits - top)
             mass = power.sum(axis=1, keepdims=True)
             rows = np.arange(len(y))
-            loss = (top + np.log(mass)).ravel() - logits[rows, y]
-            hit = logits.argmax(axis=1) == y
+            loss = ((top + np.log(mass)).ravel() - logits[rows, y]) * weight
+            hit = (logits.argmax(axis=1) == y) * weight
             error = power / mass
             error[rows, y] -= 1.0
+            error *= weight[:, None]
             gradient[:width] += x[train].T @ error[train]
             gradient[width] += error[train].sum(axis=0)
             for name, part in (("train", train), ("valid", ~train)):
-                totals[name] += [loss[part].sum(), hit[part].sum(), part.sum()]
+                totals[name] += [loss[part].sum(), hit[part].sum(), weight[part].sum()]
         if sum(t[2] for t in totals.values()) == 0:
             return
-        # Position ``width`` is the bias; two more rows carry the sums of the splits.
-        extra = np.zeros((2, classes))
-        table = np.vstack([gradient, extra])
+        table = np.vstack([gradient, np.zeros((2, classes))])
         side = np.zeros((width + 3, 3))
         side[width + 1], side[width + 2] = totals["train"], totals["valid"]
         arrays = [pa.array(np.arange(width + 3, dtype="int64"))]
@@ -218,15 +190,66 @@ def _sums_per_task(weights: np.ndarray, bias: np.ndarray, labels: list[str]):
     return run
 
 
+def _training_rows(data: DataFrame, classes: int, col: str, label: str, is_train, weight) -> DataFrame:
+    """``x, y, is_train, weight`` of the rows with a vector and a label of the classes."""
+    known = F.col(label).between(0, classes - 1) & F.col(col).isNotNull()
+    return data.filter(known).select(
+        F.col(col).alias("x"),
+        F.col(label).cast("int").alias("y"),
+        is_train.alias("is_train"),
+        (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("weight"),
+    )
+
+
+def _summed(data: DataFrame, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
+    """The sums of all tasks: ``inputs + 3`` rows."""
+    sums = [f"g{k}" for k in range(len(weights))] + ["loss", "correct", "n"]
+    schema = "pos bigint, " + ", ".join(f"{s} double" for s in sums)
+    partial = data.mapInArrow(_sums_per_task(weights, bias), schema)
+    return partial.groupBy("pos").agg(*[F.sum(s).alias(s) for s in sums])
+
+
+def softmax_gradient(
+    df: DataFrame,
+    weights,
+    bias=None,
+    col: str = "features",
+    label: str = "label",
+    weight: str | None = None,
+) -> DataFrame:
+    """``pos`` and per class ``g0..``: the data pass of one full-batch step.
+
+    Entries are means of ``(p - y) * x``, weighted if ``weight`` is given; position -1 is
+    the bias, and its row also has the mean loss. A task sends one row per position. Rows
+    without a vector or a label of the classes are left out.
+    """
+    matrix = np.asarray(weights, dtype="float64")
+    classes, width = matrix.shape
+    shift = np.zeros(classes) if bias is None else np.asarray(bias, dtype="float64")
+    sums = _summed(_training_rows(df, classes, col, label, F.lit(True), weight), matrix, shift)
+    everywhere = Window.partitionBy(F.lit(0))  # ``inputs + 3`` rows
+    totals = F.col("pos") == width + 1
+    with_totals = sums.withColumns(
+        {
+            "_n": F.max(F.when(totals, F.col("n"))).over(everywhere),
+            "_loss": F.max(F.when(totals, F.col("loss"))).over(everywhere),
+        }
+    )
+    is_bias = F.col("pos") == width
+    return with_totals.filter(F.col("pos") <= width).select(
+        F.when(is_bias, F.lit(-1)).otherwise(F.col("pos").cast("int")).alias("pos"),
+        *[(F.col(f"g{k}") / F.col("_n")).alias(f"g{k}") for k in range(classes)],
+        F.when(is_bias, F.col("_loss") / F.col("_n")).alias("loss"),
+    )
+
+
 def _data_pass(data: DataFrame, weights: np.ndarray, bias: np.ndarray):
     """One job over train and valid rows; only ``inputs + 3`` sum rows reach the driver."""
     classes, width = weights.shape
     sums = [f"g{k}" for k in range(classes)] + ["loss", "correct", "n"]
-    schema = "pos bigint, " + ", ".join(f"{s} double" for s in sums)
-    partial = data.mapInArrow(_sums_per_task(weights, bias, ["train", "valid"]), schema)
-    rows = partial.groupBy("pos").agg(*[F.sum(s).alias(s) for s in sums]).collect()
+    rows = _summed(data, weights, bias).collect()
     if not rows:
-        raise ValueError("no labelled rows")
+        raise ValueError("no rows with a vector and a label of the classes")
     table = np.array([[r[s] for s in sums] for r in sorted(rows, key=lambda r: r["pos"])])
     gradient = table[: width + 1, :classes]
     return gradient, table[width + 1, classes:], table[width + 2, classes:]
@@ -254,17 +277,12 @@ def train_epochs(
     The returned layer holds the saved weights (the last ones if none was saved).
 
     One pass gives the valid values of an epoch and the gradient of the next, so
-    there is one job per epoch. Rows without label or vector are left out.
+    there is one job per epoch. Rows without a vector or a label of the classes are left
+    out; without any train row there is nothing to fit, and that is an error.
     """
-    rows = (
-        data.filter(F.col(label).isNotNull() & F.col(col).isNotNull())
-        .select(
-            F.col(col).cast("array<double>").alias("x"),
-            F.col(label).cast("int").alias("y"),
-            (F.col(split_col) == F.lit("train")).alias("is_train"),
-        )
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    is_train = F.col(split_col) == F.lit("train")
+    rows = _training_rows(data, classes, col, label, is_train, None)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _epoch_loop(rows, classes, width, model, epochs, lr, patience, threshold)
     finally:
@@ -277,6 +295,8 @@ def _epoch_loop(rows, classes, width, model, epochs, lr, patience, threshold) ->
     head = SoftmaxHead(params[:width].T, params[width])
     best_loss, waited = float("inf"), 0
     gradient, train, _ = _data_pass(rows, params[:width].T, params[width])
+    if not train[2]:
+        raise ValueError("no train rows with a vector and a label of the classes")
     for epoch in range(1, epochs + 1):
         step = gradient / train[2]
         moment = BETA_1 * moment + (1 - BETA_1) * step

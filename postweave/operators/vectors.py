@@ -15,12 +15,18 @@ from postweave import functions as PF
 def fit_standardizer(train: DataFrame, col: str = "features") -> DataFrame:
     """``pos, mean, std`` (population deviation) per vector position.
 
-    The exploded rows are summed per task; a task sends one row per position.
+    Each task keeps one running summary; vectors are not taken apart.
     """
-    return (
-        train.select(F.posexplode(col).alias("pos", "x"))
-        .groupBy("pos")
-        .agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    summary = Summarizer.metrics("count", "mean", "std").summary(array_to_vector(F.col(col)))
+    stats = train.filter(F.col(col).isNotNull()).select(summary.alias("s")).select(
+        vector_to_array("s.mean").alias("m"), vector_to_array("s.std").alias("d"),
+        F.col("s.count").alias("n"),
+    )
+    # The summary has the sample deviation.
+    back = F.sqrt((F.col("n") - 1) / F.col("n"))
+    pairs = F.arrays_zip(F.col("m").alias("m"), F.col("d").alias("d"))
+    return stats.select("n", F.posexplode(pairs).alias("pos", "p")).select(
+        "pos", F.col("p.m").alias("mean"), (F.col("p.d") * back).alias("std")
     )
 
 
@@ -106,10 +112,15 @@ def first_pool(
 
 
 def linear_project(
-    df: DataFrame, weights, bias=None, col: str = "features", out: str = "projected"
+    df: DataFrame,
+    weights,
+    bias=None,
+    col: str = "features",
+    out: str = "projected",
+    batches: bool = False,
 ) -> DataFrame:
-    """Add ``weights . x + bias``."""
-    return df.withColumn(out, PF.project(F.col(col), weights, bias))
+    """Add ``weights . x + bias``; ``batches`` for wide matrices, with the same result."""
+    return df.withColumn(out, PF.project(F.col(col), weights, bias, batches))
 
 
 def activate(df: DataFrame, fn: str, col: str = "features", out: str = "activated") -> DataFrame:

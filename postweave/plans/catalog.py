@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,9 @@ SQL: dict[str, str] = {}
 
 MEDIA_ROOT = "media"
 BATCH = 12
-VOCAB = 2000
+VOCAB = 20_000
+TEXT_VOCAB = 2_000
+RANGE_ROWS = 250
 PATIENCE, THRESHOLD = 5, 0.39
 MODELS = ["view", "click", "signup", "purchase", "error"]
 
@@ -80,6 +83,7 @@ def _joined(items: str) -> Column:
 
 POSTS = f"WITH {T.POSTS_SQL}"
 CLEAN = f"{POSTS}, {T.CLEAN_SQL}"
+GAPS = f"WITH {T.GAPS_SQL}, {T.CLEAN_SQL}"
 VECTORS = f"WITH {T.VECTORS_SQL}"
 PREDICTIONS = f"WITH {T.PREDICTIONS_SQL}"
 HISTORY = f"WITH {T.HISTORY_SQL}"
@@ -102,9 +106,13 @@ def read_manifest_parquet(spark, folder):
     return read_manifest(spark, path, "parquet")
 
 
-@query()
+@query("SELECT DISTINCT concat('label=', label) AS folder FROM embeddings")
 def scan_media_files(spark, folder):
-    return scan_media(spark, folder, "*.parquet").select("image", "length")
+    """The vectors as a tree with one folder per label, and what the listing finds there."""
+    root = scratch_path(spark, "tree")
+    vectors = {"vectors": T.table(spark, folder, "embeddings")}
+    written = write_tables(vectors, root, partition_by={"vectors": ["label"]})
+    return scan_media(spark, written["vectors"], "*.parquet").select("folder").distinct()
 
 
 @query("SELECT label, count(*) AS n_rows, count(*) AS n_same FROM embeddings GROUP BY label")
@@ -137,9 +145,9 @@ def write_result_tables(spark, folder):
 # --- projections ------------------------------------------------------------------
 
 
-@query(f"{CLEAN} SELECT post_id, label FROM coded")
+@query(f"{GAPS} SELECT post_id, label FROM coded")
 def encode_label(spark, folder):
-    return prepare.encode_label(T.posts(spark, folder)).select("post_id", "label")
+    return prepare.encode_label(T.posts(spark, folder, gaps=True)).select("post_id", "label")
 
 
 @query(f"{CLEAN} SELECT c.post_id, p.label AS dir FROM clean c JOIN posts p USING (post_id)")
@@ -148,11 +156,11 @@ def decode_label(spark, folder):
 
 
 @query(
-    f"""{CLEAN} SELECT post_id, CASE label WHEN 0 THEN 'ND' WHEN 1 THEN 'DI' WHEN 2 THEN 'DN'
+    f"""{GAPS} SELECT post_id, CASE label WHEN 0 THEN 'ND' WHEN 1 THEN 'DI' WHEN 2 THEN 'DN'
     WHEN 3 THEN 'Fires' WHEN 4 THEN 'Flood' WHEN 5 THEN 'HD' END AS display FROM coded"""
 )
 def display_label(spark, folder):
-    return prepare.display_label(T.coded_posts(spark, folder)).select("post_id", "display")
+    return prepare.display_label(T.coded_posts(spark, folder, gaps=True)).select("post_id", "display")
 
 
 @query(f"{POSTS} SELECT post_id, replace(image, '.JPG', '.jpg') AS image FROM posts")
@@ -176,43 +184,48 @@ def project_posts(spark, folder):
     return prepare.project_posts(T.coded_posts(spark, folder))
 
 
-@query(f"{POSTS} SELECT post_id, coalesce(tweet, 'nan') AS tweet FROM posts")
+@query(f"{GAPS} SELECT post_id, coalesce(tweet, 'nan') AS tweet FROM posts")
 def text_or_nan(spark, folder):
-    return prepare.text_or_nan(T.texts(spark, folder)).select("post_id", "tweet")
+    return prepare.text_or_nan(T.texts(spark, folder, gaps=True)).select("post_id", "tweet")
 
 
 # --- filters and row access -------------------------------------------------------
 
 
-@query(f"{CLEAN} SELECT * FROM coded WHERE label IS NULL OR image IS NULL OR tweet IS NULL")
+@query(f"{GAPS} SELECT * FROM coded WHERE label IS NULL OR image IS NULL OR tweet IS NULL")
 def null_rows(spark, folder):
-    return prepare.null_rows(T.coded_posts(spark, folder))
+    return prepare.null_rows(T.coded_posts(spark, folder, gaps=True))
 
 
 @query(
-    f"""{CLEAN} SELECT count(*) AS n_rows, count(*) - count(label) AS missing_label,
+    f"""{GAPS} SELECT count(*) AS n_rows, count(*) - count(label) AS missing_label,
     count(*) - count(image) AS missing_image, count(*) - count(tweet) AS missing_tweet,
     count(*) FILTER (label IS NULL OR image IS NULL OR tweet IS NULL) AS rows_with_missing
     FROM coded"""
 )
 def null_profile(spark, folder):
-    return prepare.null_profile(T.coded_posts(spark, folder), ["label", "image", "tweet"])
+    return prepare.null_profile(T.coded_posts(spark, folder, gaps=True), ["label", "image", "tweet"])
 
 
-@query(f"{CLEAN} SELECT post_id, label, image, tweet FROM clean")
+@query(f"{GAPS} SELECT post_id, label, image, tweet FROM clean")
 def drop_missing(spark, folder):
-    return prepare.drop_missing(T.coded_posts(spark, folder))
+    return prepare.drop_missing(T.coded_posts(spark, folder, gaps=True))
 
 
 @query(f"{CLEAN} SELECT post_id, row_idx FROM split_posts")
 def dense_index(spark, folder):
     slim = T.clean_posts(spark, folder).select("post_id")
-    return ordering.dense_index(slim, "post_id")
+    return ordering.dense_index(slim, "post_id", rows_per_range=RANGE_ROWS)
 
 
-@query(f"{CLEAN} SELECT post_id, label, image, tweet FROM split_posts WHERE row_idx = 0")
+@query(
+    f"""{CLEAN} SELECT post_id, label, image, tweet FROM split_posts
+    WHERE row_idx = (SELECT count(*) // 3 FROM clean)"""
+)
 def row_at(spark, folder):
-    return ordering.row_at(T.clean_posts(spark, folder), 0, "post_id")
+    rows = T.clean_posts(spark, folder)
+    place = rows.count() // 3
+    return ordering.row_at(rows, place, "post_id", lookup_rows=RANGE_ROWS)
 
 
 _MEDIA = f"{CLEAN}, media AS (SELECT 'img_' || vec_id || '.jpg' AS image FROM embeddings)"
@@ -245,7 +258,8 @@ def missing_media(spark, folder):
 
 @query(f"{CLEAN} SELECT post_id, split FROM split_posts")
 def ordered_split(spark, folder):
-    return T.split_posts(spark, folder).select("post_id", "split")
+    slim = T.clean_posts(spark, folder).select("post_id")
+    return ordering.share_split(slim, T.TRAIN_SHARE, "post_id", lookup_rows=RANGE_ROWS)
 
 
 def _shuffled_sql(epoch: int) -> str:
@@ -258,7 +272,7 @@ def _shuffled_sql(epoch: int) -> str:
 def seeded_shuffle(spark, folder):
     slim = T.clean_posts(spark, folder).select("post_id")
     first, second = (
-        ordering.seeded_shuffle(slim, T.SEED, e, "post_id").select(
+        ordering.seeded_shuffle(slim, T.SEED, e, "post_id", rows_per_range=RANGE_ROWS).select(
             F.lit(e).alias("epoch"), "post_id", "shuffle_pos"
         )
         for e in (1, 2)
@@ -433,6 +447,13 @@ def encode_text(spark, folder):
     return rows.select("post_id", _joined("input_ids"), _joined("attention_mask"))
 
 
+@query(SQL["encode_text"])
+def encode_text_by_join(spark, folder):
+    vocab = _train_vocab(spark, folder)
+    rows = text.encode_text(T.texts(spark, folder), vocab, lookup="join")
+    return rows.select("post_id", _joined("input_ids"), _joined("attention_mask"))
+
+
 @query(
     f"""{_ENCODED}, ids AS (SELECT post_id, unnest(range(300)) AS pos, unnest(input_ids) AS id
       FROM padded)
@@ -445,6 +466,13 @@ def decode_tokens(spark, folder):
     return text.decode_tokens(encoded, vocab).select("post_id", _joined("tokens"))
 
 
+@query(SQL["decode_tokens"])
+def decode_tokens_by_join(spark, folder):
+    vocab = _train_vocab(spark, folder)
+    encoded = text.encode_text(T.texts(spark, folder), vocab)
+    return text.decode_tokens(encoded, vocab, lookup="join").select("post_id", _joined("tokens"))
+
+
 def _tfidf_sql(rows: str, fit: str = "split_posts") -> str:
     """TF-IDF entries of the posts in ``rows``; fitted on the train split of ``fit``."""
     return f"""{_vocab_sql(T.TEXT_DIMS + 4, fit)},
@@ -557,7 +585,7 @@ def linear_project(spark, folder):
 
 @query(f"{_WIDE} SELECT vec_id, out, round(y, 6) + 0.0 AS value FROM projected")
 def linear_project_wide(spark, folder):
-    rows = vec.linear_project(T.vectors(spark, folder), T.fixed_weights(80, 64))
+    rows = vec.linear_project(T.vectors(spark, folder), T.fixed_weights(80, 64), batches=True)
     return _long(rows, ["vec_id"], "projected", "out")
 
 
@@ -659,7 +687,7 @@ def batch_attention(spark, folder):
 
 @query(_attention_sql("", ""))
 def batch_attention_all(spark, folder):
-    return _attended(T.vectors(spark, folder), None, True, [])
+    return _attended(T.vectors(spark, folder), None, False, [])
 
 
 @query(_attention_sql("PARTITION BY label", "w.label,"))
@@ -694,14 +722,17 @@ def _cross_inputs(spark, folder):
 
 
 @query(
-    f"""{_CROSS} SELECT t.post_id, CAST(t.pos AS INT) AS pos, round(sum(w.weight * v.y) + max(t.x), 6)
-    + 0.0 AS value FROM w JOIN v USING (post_id, vec_id) JOIN text_entries t
-    ON t.post_id = w.post_id AND t.pos = v.pos GROUP BY t.post_id, t.pos"""
+    f"""{_CROSS} SELECT t.post_id, CAST(t.pos AS INT) AS pos,
+    round(coalesce(sum(w.weight * v.y), 0) + max(t.x), 6) + 0.0 AS value
+    FROM text_entries t LEFT JOIN v ON v.post_id = t.post_id AND v.pos = t.pos
+    LEFT JOIN w ON w.post_id = v.post_id AND w.vec_id = v.vec_id GROUP BY t.post_id, t.pos"""
 )
 def cross_attention(spark, folder):
     texts, images, query_layer, key_layer = _cross_inputs(spark, folder)
     value_layer = (T.fixed_weights(T.TEXT_DIMS, 64), None)
-    rows = fusion.cross_attention(texts, images, "post_id", query_layer, key_layer, value_layer)
+    rows = fusion.cross_attention(
+        texts, images, "post_id", query_layer, key_layer, value_layer, batches=True
+    )
     return _long(rows, ["post_id"], "attended")
 
 
@@ -709,7 +740,7 @@ def cross_attention(spark, folder):
 def cross_attention_weights(spark, folder):
     texts, images, query_layer, key_layer = _cross_inputs(spark, folder)
     rows = fusion.cross_attention_weights(
-        texts, images, "post_id", "vec_id", query_layer, key_layer
+        texts, images, "post_id", "vec_id", query_layer, key_layer, batches=True
     )
     return rows.select("post_id", "vec_id", _r("weight", "weight"))
 
@@ -736,7 +767,7 @@ def attention_table(spark, folder):
 def attention_matrix(spark, folder):
     texts, images, query_layer, key_layer = _cross_inputs(spark, folder)
     weights = fusion.cross_attention_weights(
-        texts, images, "post_id", "vec_id", query_layer, key_layer
+        texts, images, "post_id", "vec_id", query_layer, key_layer, batches=True
     )
     named = weights.withColumn(
         "image", F.concat(F.lit("image_"), (F.col("vec_id") % 2).cast("string"))
@@ -748,46 +779,103 @@ def attention_matrix(spark, folder):
 # --- training ---------------------------------------------------------------------
 
 
-def _valid_confusion(model, rows: DataFrame) -> DataFrame:
-    return evaluate.confusion_counts(score.score_split(model, rows.filter("split = 'valid'")))
+def _residual(
+    rows: DataFrame,
+    weights,
+    bias,
+    reg: float,
+    weight: str | None = None,
+    col: str = "features",
+    digits: int = 2,
+) -> DataFrame:
+    """Per class the largest entry of the gradient of the penalised loss, to a few digits.
+
+    A convex fit is the right one where this gradient is zero. The penalty acts on
+    standardised inputs, so it counts by the variance of each; the bias has none.
+    """
+    matrix = weights.toArray()
+    classes, width = matrix.shape
+    gradient = train.softmax_gradient(rows, matrix, bias.toArray(), col=col, weight=weight)
+    weighted = rows.select(col, F.lit(1.0).alias("_w") if weight is None else F.col(weight).alias("_w"))
+    entries = weighted.select("_w", F.posexplode(col).alias("pos", "x")).groupBy("pos").agg(
+        F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("x")).alias("s"),
+        F.sum(F.col("_w") * F.col("x") * F.col("x")).alias("q"), F.count("*").alias("rows"),
+    )
+    mean = F.col("s") / F.col("n")
+    variance = (F.col("q") / F.col("n") - mean * mean) * (F.col("rows") / (F.col("rows") - 1))
+    spread = entries.select("pos", variance.alias("variance"))
+    layer = rows.sparkSession.createDataFrame(
+        [(p, matrix[:, p].tolist()) for p in range(width)], "pos int, w array<double>"
+    )
+    joined = gradient.join(spread, "pos", "left").join(layer, "pos", "left")
+    penalty = [F.coalesce(F.get("w", k) * F.col("variance") * reg, F.lit(0.0)) for k in range(classes)]
+    largest = joined.agg(
+        *[F.max(F.abs(F.col(f"g{k}") + penalty[k])).alias(f"m{k}") for k in range(classes)]
+    )
+    each = F.array(*[F.struct(F.lit(k).alias("class"), F.col(f"m{k}").alias("m")) for k in range(classes)])
+    return largest.select(F.inline(each)).select(
+        "class", (F.round("m", digits) + F.lit(0.0)).alias("residual")
+    )
+
 
+def _zeros(classes: int) -> str:
+    return f"SELECT CAST(k.i AS INT) AS class, 0.0::DOUBLE AS residual FROM range({classes}) k(i)"
 
-@query()
+
+@query(_zeros(10))
 def fit_linear_probe(spark, folder):
-    rows = T.split_vectors(spark, folder)
-    return _valid_confusion(train.fit_linear_probe(rows.filter("split = 'train'"), reg=0.01), rows)
+    rows = T.split_vectors(spark, folder).filter("split = 'train'")
+    fitted = train.fit_linear_probe(rows, reg=0.01)
+    return _residual(rows, fitted.coefficientMatrix, fitted.interceptVector, 0.01)
 
 
-@query()
+@query(_zeros(10))
 def fit_weighted_probe(spark, folder):
-    rows = T.split_vectors(spark, folder)
-    fit_rows = rows.filter("split = 'train'")
-    weights = stats.class_weights(fit_rows).select("label", "weight")
-    weighted = fit_rows.join(weights, "label")
-    return _valid_confusion(train.fit_linear_probe(weighted, weight="weight", reg=0.01), rows)
+    rows = T.split_vectors(spark, folder).filter("split = 'train'")
+    weights = stats.class_weights(rows).select("label", "weight")
+    weighted = rows.join(weights, "label")
+    fitted = train.fit_linear_probe(weighted, weight="weight", reg=0.01)
+    return _residual(weighted, fitted.coefficientMatrix, fitted.interceptVector, 0.01, "weight")
 
 
-@query()
+@query(
+    f"""{VECTORS} SELECT label, count(*) AS n_rows, count(*) AS n_same FROM vectors
+    WHERE split = 'valid' GROUP BY label"""
+)
 def fit_mlp_head(spark, folder):
+    """A forward pass from the fitted weights predicts every held-out row as the model does."""
     rows = T.split_vectors(spark, folder)
-    fit_rows = rows.filter("split = 'train'")
-    return _valid_confusion(train.fit_mlp_head(fit_rows, 10, hidden=32, max_iter=30), rows)
-
-
-@query()
+    hidden, classes, width = 32, 10, 64
+    fitted = train.fit_mlp_head(rows.filter("split = 'train'"), classes, hidden=hidden)
+    flat = fitted.weights.toArray()
+    cut = (width + 1) * hidden
+    first = flat[: width * hidden].reshape(hidden, width, order="F")
+    second = flat[cut : cut + hidden * classes].reshape(classes, hidden, order="F")
+    valid = score.score_split(fitted, rows.filter("split = 'valid'"), ["vec_id", "features"])
+    inner = PF.project(F.col("features"), first, flat[width * hidden : cut])
+    inner = F.transform(inner, lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x)))
+    logits = PF.project(inner, second, flat[cut + hidden * classes :])
+    same = F.count_if(F.col("prediction") == PF.argmax(logits))
+    return valid.groupBy("label").agg(F.count("*").alias("n_rows"), same.alias("n_same"))
+
+
+@query(_zeros(6))
 def fit_text_classifier(spark, folder):
     rows = T.split_posts(spark, folder).select("post_id", "label", "tweet", "split")
-    fitted = train.fit_text_classifier(
-        rows.filter("split = 'train'"), vocab_size=VOCAB, max_iter=20
-    )
-    return _valid_confusion(fitted, rows)
+    fit_rows = rows.filter("split = 'train'")
+    fitted = train.fit_text_classifier(fit_rows, vocab_size=TEXT_VOCAB)
+    *stages, head = fitted.stages
+    tfidf = text.tfidf_features(fit_rows, PipelineModel(stages=stages), "features")
+    slim = tfidf.select("label", "features")
+    return _residual(slim, head.coefficientMatrix, head.interceptVector, 0.01, digits=1)
 
 
-@query()
+@query(_zeros(6))
 def fit_fused_classifier(spark, folder):
-    rows = _aligned(spark, folder)
-    fitted = train.fit_fused_classifier(rows.filter("split = 'train'"), max_iter=50)
-    return _valid_confusion(fitted, train.fused_inputs(rows))
+    rows = _aligned(spark, folder).filter("split = 'train'")
+    fitted = train.fit_fused_classifier(rows)
+    fused = fusion.fuse_concat(rows, "features", "text_features").select("label", "fused")
+    return _residual(fused, fitted.coefficientMatrix, fitted.interceptVector, 0.01, col="fused")
 
 
 _EPOCHS, _RATE = 4, 0.05
@@ -1034,7 +1122,7 @@ def learning_curves(spark, folder):
 def stream_scores(spark, folder):
     """Confusion counts kept by a stream over the vector files."""
     schema = T.table(spark, folder, "embeddings").schema
-    logits = F.slice(F.col("embedding").cast("array<double>"), 1, 10)
+    logits = PF.project(F.col("embedding").cast("array<double>"), T.fixed_weights(10, 64))
 
     def scored(rows: DataFrame) -> DataFrame:
         return rows.select("label", PF.argmax(logits).alias("prediction"))
@@ -1063,7 +1151,7 @@ _BASIC = f"""{_ALIGNED}, batched AS (SELECT post_id, label, split, (row_number()
       THEN md5(concat_ws('|', '{T.SEED}', '1', CAST(post_id AS VARCHAR))) END, post_id) - 1)
       // {BATCH} AS batch_id FROM pairs),
     sides AS (SELECT 'image' AS side, post_id, pos, x, 8.0::DOUBLE AS r FROM image_entries
-      UNION ALL SELECT 'text', post_id, pos, x, 4.0::DOUBLE FROM text_entries),
+      UNION ALL SELECT 'text', post_id, pos, x, {T.TEXT_DIMS**0.5!r}::DOUBLE FROM text_entries),
     hidden AS (SELECT side, post_id, o.i AS out, sum(x * sin(31 * o.i + pos) / r) AS y
       FROM sides CROSS JOIN range(8) o(i) GROUP BY 1, 2, 3),
     scores AS (SELECT side, post_id, sum({_gelu_sql('y')} * cos(out)) AS s FROM hidden

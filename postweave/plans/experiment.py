@@ -18,6 +18,7 @@ from postweave.operators import evaluate, fusion, history, ordering, prepare, sc
 from postweave.operators import vectors as vec
 from postweave.operators.train import SoftmaxHead, train_epochs
 from postweave.schema import DISPLAY_NAMES, LABEL_CODES
+from postweave.session import scratch_path
 from postweave.sources import LOAD_ORDER, read_manifest, save_checkpoint, write_tables
 
 KINDS = ["concat", "basic_attention", "cross_attention"]
@@ -53,9 +54,11 @@ class Run:
         return evaluate.summary_metrics(self.scored(split))
 
     def tables(self, split: str) -> dict[str, DataFrame]:
-        """Everything a run reports, as tables."""
-        past = self.head.history_table(self.rows.sparkSession)
-        pairs = self.scored(split)
+        """Everything a run reports, as tables; predictions are written once and read back."""
+        spark = self.rows.sparkSession
+        past = self.head.history_table(spark)
+        stored = write_tables({"scored": self.scored(split)}, scratch_path(spark, "run"))
+        pairs = spark.read.parquet(stored["scored"])
         return {
             "history": past,
             "learning_curves": history.learning_curves(past),
@@ -100,7 +103,8 @@ def fuse(
         for col, width in [("features", image_width), ("text_features", text_width)]:
             layer = _layer(attention_width, width)
             weighted = fusion.batch_attention(
-                weighted, layer, None, query, col=col, out=f"{col}_attended", weight=f"{col}_weight"
+                weighted, layer, None, query, bounded=True, col=col, out=f"{col}_attended",
+                weight=f"{col}_weight", batches=True,
             )
         return fusion.fuse_concat(weighted, "features_attended", "text_features_attended")
     if kind == "cross_attention":
@@ -113,6 +117,7 @@ def fuse(
             (_layer(attention_width, text_width), None),
             (_layer(attention_width, image_width), None),
             (_layer(text_width, image_width), None),
+            batches=True,
         )
         return fusion.fuse_concat(rows.join(attended, "post_id"), "attended", "features")
     raise ValueError(f"kind must be one of {KINDS}")
@@ -187,13 +192,15 @@ def split_manifests(train: DataFrame, test: DataFrame, train_rows: int) -> DataF
     """``post_id, label, image, tweet, split`` of both manifests, read ``with_order``.
 
     The first ``train_rows`` complete rows of the train manifest in load order are
-    train, its other complete rows valid; the test manifest is not cleaned.
+    train, its other complete rows valid; the test manifest is not cleaned. ``post_id`` is
+    the position in load order, test rows last, however the files were packed into tasks.
     """
     complete = prepare_manifest(train, clean=True)
     split = ordering.ordered_split(complete, train_rows, LOAD_ORDER)
     posts = split.unionByName(prepare_manifest(test, clean=False).withColumn("split", F.lit("test")))
-    post_id = F.concat_ws("/", (F.col("split") == "test").cast("string"), *LOAD_ORDER)
-    return posts.select(post_id.alias("post_id"), "label", "image", "tweet", "split")
+    posts = posts.withColumn("_test", F.col("split") == "test")
+    placed = ordering.dense_index(posts, ["_test", *LOAD_ORDER], "post_id")
+    return placed.select("post_id", "label", "image", "tweet", "split")
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -16,22 +16,29 @@ from postweave.schema import LABEL_CODES
 from postweave.sources import read_table
 
 SEED = 50
-TEXT_DIMS = 16
+TEXT_DIMS = 512
 TRAIN_SHARE = (7, 10)
 
 _NAME_CASES = " ".join(f"WHEN {c} THEN '{n}'" for n, c in LABEL_CODES.items())
 _CODE_CASES = " ".join(f"WHEN '{n}' THEN {c}" for n, c in LABEL_CODES.items())
 
-# Documents as posts. The label is that of the vector with the same id, if there is one.
-POSTS_SQL = f"""posts AS (
-  SELECT d.doc_id AS post_id,
-         CASE WHEN d.doc_id % 37 = 0 THEN NULL ELSE d.text END AS tweet,
-         CASE coalesce(e.label, CAST(d.doc_id % 10 AS INT)) {_NAME_CASES}
+def _posts_sql(gaps: bool) -> str:
+    tweet = "CASE WHEN d.doc_id % 37 = 0 THEN NULL ELSE d.text END" if gaps else "d.text"
+    code = "coalesce(e.label, CAST(d.doc_id % 10 AS INT))" + ("" if gaps else f" % {len(LABEL_CODES)}")
+    return f"""posts AS (
+  SELECT d.doc_id AS post_id, {tweet} AS tweet,
+         CASE {code} {_NAME_CASES}
               ELSE 'unlisted' END AS label,
          concat('img_', CAST(d.doc_id AS VARCHAR(20)),
                 CASE WHEN d.doc_id % 3 = 0 THEN '.JPG' ELSE '.jpg' END) AS image
   FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"""
 
+
+# Documents as posts. The label is that of the vector with the same id, if there is one.
+# Posts with gaps, for what is about missing values, lack some tweets and known labels.
+POSTS_SQL = _posts_sql(gaps=False)
+GAPS_SQL = _posts_sql(gaps=True)
+
 CLEAN_SQL = f"""coded AS (
   SELECT post_id, CAST(CASE label {_CODE_CASES} END AS INT) AS label,
          replace(image, '.JPG', '.jpg') AS image, tweet FROM posts),
@@ -51,7 +58,7 @@ PAIRS_SQL = """pairs AS (
               THEN 'train' ELSE 'valid' END AS split
   FROM clean c JOIN embeddings e ON e.vec_id = c.post_id)"""
 
-# Vectors with all ten labels; predictions take the first ten entries as logits.
+# Vectors with all ten labels; the logits of predictions are a fixed projection.
 VECTORS_SQL = """vectors AS (
   SELECT vec_id, label,
          CASE WHEN row_number() OVER (ORDER BY vec_id) - 1
@@ -66,7 +73,8 @@ entries AS (
 PREDICTIONS_SQL = (
     VECTORS_SQL
     + """,
-logits AS (SELECT vec_id, label, row_idx, pos, x FROM entries WHERE pos < 10),
+logits AS (SELECT vec_id, label, row_idx, CAST(o.i AS INT) AS pos, sum(x * sin(31 * o.i + pos)) AS x
+  FROM entries CROSS JOIN range(10) o(i) GROUP BY vec_id, label, row_idx, o.i),
 predictions AS (
   SELECT vec_id, label, row_idx, CAST(arg_min(pos, struct_pack(a := -x, b := pos)) AS INT)
          AS prediction, ln(sum(exp(x))) - max(CASE WHEN pos = label THEN x END) AS loss
@@ -85,42 +93,46 @@ HISTORY_SQL = """history AS (
   FROM events GROUP BY 1, 2)"""
 
 
-def table(
-    spark: SparkSession, folder: str, name: str, spread_by: str | None = None
-) -> DataFrame:
-    return read_table(spark, f"{folder}/{name}.parquet", spread_by)
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return read_table(spark, f"{folder}/{name}.parquet")
+
 
+def texts(spark: SparkSession, folder: str, gaps: bool = False) -> DataFrame:
+    """``post_id, tweet, image`` of every document: posts where labels are not needed.
 
-def texts(spark: SparkSession, folder: str) -> DataFrame:
-    """``post_id, tweet, image`` of every document: posts where labels are not needed."""
+    A session may name in ``spark.postweave.textTasks`` how many tasks work on the texts.
+    """
+    tasks = spark.conf.get("spark.postweave.textTasks", None)
+    docs = read_table(spark, f"{folder}/documents.parquet", int(tasks) if tasks else None, "doc_id")
     doc = F.col("doc_id")
     suffix = F.when(doc % 3 == 0, F.lit(".JPG")).otherwise(F.lit(".jpg"))
-    return table(spark, folder, "documents", "doc_id").select(
+    return docs.select(
         doc.alias("post_id"),
-        F.when(doc % 37 != 0, F.col("text")).alias("tweet"),
+        F.when(doc % 37 != 0, F.col("text")).alias("tweet") if gaps else F.col("text").alias("tweet"),
         F.concat(F.lit("img_"), doc.cast("string"), suffix).alias("image"),
     )
 
 
-def posts(spark: SparkSession, folder: str) -> DataFrame:
+def posts(spark: SparkSession, folder: str, gaps: bool = False) -> DataFrame:
     """``texts`` with label names."""
     labels = table(spark, folder, "embeddings").select(F.col("vec_id").alias("post_id"), "label")
     code = F.coalesce("label", (F.col("post_id") % 10).cast("int"))
+    named = code if gaps else code % len(LABEL_CODES)
     return (
-        texts(spark, folder)
+        texts(spark, folder, gaps)
         .join(labels, "post_id", "left")
-        .withColumn("label", F.coalesce(PF.decode_label(code), F.lit("unlisted")))
+        .withColumn("label", F.coalesce(PF.decode_label(named), F.lit("unlisted")))
     )
 
 
-def coded_posts(spark: SparkSession, folder: str) -> DataFrame:
+def coded_posts(spark: SparkSession, folder: str, gaps: bool = False) -> DataFrame:
     """Posts with label codes and normalized image names, not cleaned."""
-    coded = prepare.normalize_extension(prepare.encode_label(posts(spark, folder)))
+    coded = prepare.normalize_extension(prepare.encode_label(posts(spark, folder, gaps)))
     return coded.select("post_id", "label", "image", "tweet")
 
 
-def clean_posts(spark: SparkSession, folder: str) -> DataFrame:
-    return prepare.drop_missing(coded_posts(spark, folder))
+def clean_posts(spark: SparkSession, folder: str, gaps: bool = False) -> DataFrame:
+    return prepare.drop_missing(coded_posts(spark, folder, gaps))
 
 
 def split_posts(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,10 +163,9 @@ def split_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """``vec_id, label, logits`` of every vector."""
-    return vectors(spark, folder).select(
-        "vec_id", "label", F.slice("features", 1, 10).alias("logits")
-    )
+    """``vec_id, label, logits`` of every vector; every entry counts."""
+    logits = PF.project(F.col("features"), fixed_weights(10, 64))
+    return vectors(spark, folder).select("vec_id", "label", logits.alias("logits"))
 
 
 def history(spark: SparkSession, folder: str) -> DataFrame:

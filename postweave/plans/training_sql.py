@@ -27,7 +27,7 @@ def head_sql(inputs: str, classes: int, epochs: int, lr: float, prefix: str = ""
         parts += [
             f"""{x}z{t} AS MATERIALIZED (SELECT id, label, is_train, k, sum(x * w) AS z
               FROM {x}f JOIN {x}w{t} USING (pos) GROUP BY 1, 2, 3, 4)""",
-            f"""{x}t{t} AS (SELECT *, z - max(z) OVER (PARTITION BY id) AS d,
+            f"""{x}t{t} AS MATERIALIZED (SELECT *, z - max(z) OVER (PARTITION BY id) AS d,
               row_number() OVER (PARTITION BY id ORDER BY z DESC, k) AS place FROM {x}z{t})""",
             f"""{x}p{t} AS MATERIALIZED (SELECT *, exp(d) / sum(exp(d)) OVER (PARTITION BY id) AS p,
               ln(sum(exp(d)) OVER (PARTITION BY id)) - d AS nll FROM {x}t{t})""",
@@ -60,7 +60,7 @@ def head_sql(inputs: str, classes: int, epochs: int, lr: float, prefix: str = ""
     )
     parts += [
         f"{x}run AS MATERIALIZED ({runs})",
-        f"""{x}scored AS (SELECT id, label, is_train, prediction FROM ({scored})
+        f"""{x}scored AS MATERIALIZED (SELECT id, label, is_train, prediction FROM ({scored})
           WHERE epoch = (SELECT epoch FROM {x}run ORDER BY valid_loss, epoch LIMIT 1))""",
     ]
     return ", ".join(parts)

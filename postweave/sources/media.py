@@ -10,7 +10,9 @@ def scan_media(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """One row per file under ``root``: path below the root, folder, name, length.
 
     ``folder`` is the first directory below the root, or NULL for a flat tree. The
-    content column is pruned, so only the file listing is read.
+    content column is pruned, so only the file listing is read. The listing passes
+    through the driver; for a tree of very many files start from an inventory table with
+    the same columns instead.
     """
     base = root.rstrip("/")
     files = (
@@ -20,8 +22,10 @@ def scan_media(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
         .load(base)
         .select("path", "length")
     )
-    plain_root = base.split("://", 1)[-1].removeprefix("file:").lstrip("/")
-    below = F.substring_index(F.col("path"), plain_root + "/", -1)
+    # The listing gives qualified paths; what they begin with is the qualified root.
+    given = spark._jvm.org.apache.hadoop.fs.Path(base)
+    root_path = given.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(given)
+    below = F.substring(F.col("path"), len(root_path.toString()) + 2, F.length("path"))
     steps = F.split(below, "/")
     return files.select(
         F.concat(F.lit(base + "/"), below).alias("path"),

@@ -7,18 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
-    """Read a Parquet table.
+def read_table(
+    spark: SparkSession, path: str, tasks: int | None = None, by: str | None = None
+) -> DataFrame:
+    """Read a Parquet table; ``tasks`` deals its rows to so many tasks by the key ``by``.
 
-    A table of fewer scan tasks than cores would leave cores idle in costly work per
-    row, such as splitting texts. With ``spread_by``, a key with many values, such a
-    small table is spread over all cores; a larger one is left as it is scanned.
+    Dealing pays where a table lies in fewer scan tasks than there are cores and the
+    work per row is costly, such as splitting texts. It is the caller's decision.
     """
     df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by is None or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, spread_by)
+    return df if tasks is None else df.repartition(tasks, by)
 
 
 def write_tables(

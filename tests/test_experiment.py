@@ -54,7 +54,9 @@ def test_manifests_are_split_in_load_order(spark, files):
     fixed = [r[0].replace(".JPG", ".jpg") for r in complete(train_rows)]
     assert images["train"] == set(fixed[:70]) and images["valid"] == set(fixed[70:])
     assert len(images["test"]) == len(test_rows)
-    assert len({r["post_id"] for r in posts}) == len(posts)
+    assert sorted(r["post_id"] for r in posts) == list(range(len(posts)))
+    by_id = [r["image"] for r in sorted(posts, key=lambda r: r["post_id"])]
+    assert by_id == fixed + [r[0].replace(".JPG", ".jpg") for r in test_rows]
 
 
 @pytest.mark.parametrize("kind", experiment.KINDS)

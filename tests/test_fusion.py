@@ -45,6 +45,19 @@ def test_attention_over_a_scope(rows, scope, bounded):
     assert np.array([r["attended"] for r in got]) == pytest.approx(X * want[:, None])
 
 
+def test_rows_without_a_scope_are_one_scope(spark):
+    df = spark.createDataFrame(
+        [(i, None if i < 2 else "a", X[i].tolist()) for i in range(4)],
+        "post_id int, k string, features array<double>",
+    )
+    found = [
+        fusion.batch_attention(df, W, B, Q.tolist(), "k", bounded).orderBy("post_id").collect()
+        for bounded in (True, False)
+    ]
+    weights = [[r["weight"] for r in rows] for rows in found]
+    assert len(weights[1]) == 4 and weights[0] == pytest.approx(weights[1])
+
+
 def test_softmax_of_far_apart_scores(spark):
     values = [-2000.0, -1.5, 3.25, 900.0, 901.5]
     df = spark.createDataFrame([(1, v) for v in values], "k int, _score double")
@@ -73,8 +86,12 @@ def test_cross_attention(spark):
     got = fusion.cross_attention(t, i, "post_id", (wq, bq), (wk, bk), (wv, bv)).collect()
     weights = fusion.cross_attention_weights(t, i, "post_id", "image_id", (wq, bq), (wk, bk))
     by_image = {r["image_id"]: r["weight"] for r in weights.collect()}
-    assert {r["post_id"] for r in got} == {0, 1, 2, 3}
+    assert {r["post_id"] for r in got} == set(texts)
+    assert len(by_image) == len(images)
     for r in got:
+        if r["post_id"] > 3:  # no images
+            assert r["attended"] == pytest.approx(texts[r["post_id"]].tolist())
+            continue
         mine = [(n, v) for n, p, v in images if p == r["post_id"]]
         stack = np.array([v for _, v in mine])
         asked = wq @ texts[r["post_id"]] + bq

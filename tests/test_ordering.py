@@ -7,12 +7,7 @@ from pyspark.sql import functions as F
 from postweave.operators import ordering
 
 
-@pytest.fixture
-def small_ranges(monkeypatch):
-    """Make a small table take the path of a large one."""
-    monkeypatch.setattr(ordering, "SINGLE_TASK_ROWS", 20)
-    monkeypatch.setattr(ordering, "TOP_ROWS", 3)
-    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 50)
+RANGE = 50
 
 
 def numbers(spark, n=1000):
@@ -24,7 +19,7 @@ def numbers(spark, n=1000):
 
 
 def check_index(df, keys):
-    rows = ordering.dense_index(df, keys).collect()
+    rows = ordering.dense_index(df, keys, rows_per_range=RANGE).collect()
     ordered = sorted(rows, key=lambda r: [(r[k] is not None, r[k]) for k in keys])
     assert [r["row_idx"] for r in ordered] == list(range(len(rows)))
 
@@ -33,29 +28,29 @@ def test_index_small(spark):
     check_index(numbers(spark, 15), ["id"])
 
 
-def test_index_by_ranges(spark, small_ranges):
+def test_index_by_ranges(spark):
     check_index(numbers(spark), ["id"])
 
 
-def test_index_with_hot_first_key(spark, small_ranges):
+def test_index_with_hot_first_key(spark):
     check_index(numbers(spark), ["word", "id"])
 
 
-def test_index_with_missing_keys(spark, small_ranges):
+def test_index_with_missing_keys(spark):
     df = numbers(spark).withColumn("word", F.nullif("word", F.lit("hot")))
     check_index(df, ["word", "id"])
 
 
-def test_hot_key_is_spread_over_ranges(spark, small_ranges):
+def test_hot_key_is_spread_over_ranges(spark):
     df = numbers(spark)
-    found = ordering._ranges(df, ["word", "id"], 1000)
+    found = ordering._ranges(df, ["word", "id"], 1000, RANGE)
     assert len(found.sizes) > 10 and max(found.sizes) < 250
 
 
-def test_index_does_not_depend_on_partitions(spark, small_ranges):
+def test_index_does_not_depend_on_partitions(spark):
     df = numbers(spark)
-    one = ordering.dense_index(df.repartition(3), "id")
-    other = ordering.dense_index(df.repartition(17, "word"), "id")
+    one = ordering.dense_index(df.repartition(3), "id", rows_per_range=RANGE)
+    other = ordering.dense_index(df.repartition(17, "word"), "id", rows_per_range=RANGE)
     assert one.exceptAll(other).count() == 0
 
 
@@ -64,19 +59,19 @@ def test_index_of_nothing(spark):
 
 
 @pytest.mark.parametrize("i", [0, 1, 499, 999])
-def test_row_at(spark, small_ranges, i):
-    rows = ordering.row_at(numbers(spark), i, "id").collect()
+def test_row_at(spark, i):
+    rows = ordering.row_at(numbers(spark), i, "id", lookup_rows=RANGE).collect()
     assert [r["id"] for r in rows] == [i]
 
 
-def test_row_past_the_end(spark, small_ranges):
+def test_row_past_the_end(spark):
     assert ordering.row_at(numbers(spark), 1000, "id").count() == 0
     assert ordering.row_at(numbers(spark, 2), 2, "id").count() == 0
 
 
 @pytest.mark.parametrize("n", [0, 1, 700, 999, 1000, 5000])
-def test_ordered_split(spark, small_ranges, n):
-    rows = ordering.ordered_split(numbers(spark), n, "id").collect()
+def test_ordered_split(spark, n):
+    rows = ordering.ordered_split(numbers(spark), n, "id", lookup_rows=RANGE).collect()
     assert {r["id"] for r in rows if r["split"] == "train"} == set(range(min(n, 1000)))
 
 
@@ -94,12 +89,14 @@ def shuffle_order(ids, seed, epoch):
     return {i: pos for pos, i in enumerate(sorted(ids, key=mix))}
 
 
-def test_seeded_shuffle(spark, small_ranges):
+def test_seeded_shuffle(spark):
     df = numbers(spark)
     for epoch in (1, 2):
         want = shuffle_order(range(1000), 50, epoch)
         for parts in (2, 13):
-            rows = ordering.seeded_shuffle(df.repartition(parts), 50, epoch, "id").collect()
+            rows = ordering.seeded_shuffle(
+                df.repartition(parts), 50, epoch, "id", rows_per_range=RANGE
+            ).collect()
             assert {r["id"]: r["shuffle_pos"] for r in rows} == want
 
 
@@ -119,12 +116,12 @@ def test_batch_plan(spark, batch, iterations, epochs):
 
 
 @pytest.mark.parametrize("n", [100, 333, 334, 600])
-def test_split_by_two_keys_with_missing_values(spark, small_ranges, n):
+def test_split_by_two_keys_with_missing_values(spark, n):
     df = numbers(spark).withColumn("word", F.nullif("word", F.lit("hot")))
-    rows = ordering.ordered_split(df, n, ["word", "id"]).collect()
+    rows = ordering.ordered_split(df, n, ["word", "id"], lookup_rows=RANGE).collect()
     ordered = sorted(rows, key=lambda r: (r["word"] is not None, r["word"] or "", r["id"]))
     assert [r["split"] for r in ordered] == ["train"] * n + ["valid"] * (1000 - n)
-    found = ordering.row_at(df, n, ["word", "id"]).collect()
+    found = ordering.row_at(df, n, ["word", "id"], lookup_rows=RANGE).collect()
     assert [r["id"] for r in found] == [ordered[n]["id"]]
 
 
@@ -132,3 +129,13 @@ def test_split_by_share_rounds_down(spark):
     rows = ordering.share_split(numbers(spark, 19), (7, 10), "id").collect()
     assert {r["id"] for r in rows if r["split"] == "train"} == set(range(13))
     assert ordering.share_split(numbers(spark, 19).limit(0), (7, 10), "id").count() == 0
+
+
+def test_equal_keys_are_refused_by_the_index_and_found_by_the_lookup(spark):
+    same = spark.range(2000).select(F.lit(7).alias("k"))
+    with pytest.raises(ValueError):
+        ordering.dense_index(same, "k", rows_per_range=RANGE)
+    assert ordering.key_at(same, 1500, "k", lookup_rows=RANGE)["k"] == 7
+    nearly = same.union(spark.range(3).select((F.col("id") * 100).cast("int").alias("k")))
+    found = [ordering.key_at(nearly, i, "k", lookup_rows=RANGE)["k"] for i in (0, 1, 1999, 2001, 2002)]
+    assert found == [0, 7, 7, 100, 200]

@@ -2,14 +2,14 @@
 
 import pytest
 
-import __spark_entry__ as entry
 from conftest import plan_of
+from postweave.plans import catalog
 
 ROW_UDFS = ["BatchEvalPython", "PythonRDD"]
 PAIRS = ["CartesianProduct", "BroadcastNestedLoopJoin"]
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_pair_products_and_no_row_udfs(built, name):
     plan = plan_of(built(name))
     for word in [*ROW_UDFS, *PAIRS]:

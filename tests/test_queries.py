@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, differences
+from postweave.plans import catalog
 
-WITH_SQL = sorted(entry.oracle_sql())
-WITHOUT_SQL = sorted(set(entry.queries()) - set(WITH_SQL))
+WITH_SQL = sorted(catalog.SQL)
+WITHOUT_SQL = sorted(set(catalog.QUERIES) - set(WITH_SQL))
 
 
 @pytest.fixture(scope="module")

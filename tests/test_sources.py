@@ -111,20 +111,23 @@ def test_tables(spark, tmp_path):
     assert spark.read.parquet(paths["rows"]).count() == 2
 
 
-def test_small_tables_are_spread_and_large_ones_are_not(spark, tmp_path):
+def test_tables_are_dealt_to_the_tasks_asked_for(spark, tmp_path):
     from conftest import plan_of
 
     spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
-    spark.range(100).repartition(20).write.parquet(str(tmp_path / "many"))
-    cores = spark.sparkContext.defaultParallelism
-    one = read_table(spark, str(tmp_path / "one"), "id")
-    assert one.rdd.getNumPartitions() == cores and one.count() == 100
+    dealt = read_table(spark, str(tmp_path / "one"), 5, "id")
+    assert dealt.rdd.getNumPartitions() == 5 and dealt.count() == 100
     assert "Exchange" not in plan_of(read_table(spark, str(tmp_path / "one")))
-    spark.conf.set("spark.sql.files.openCostInBytes", str(128 * 2**20))
-    try:
-        assert "Exchange" not in plan_of(read_table(spark, str(tmp_path / "many"), "id"))
-    finally:
-        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("root", ["flood", "data"])
+def test_media_path_where_the_root_text_recurs(spark, tmp_path, root):
+    base = tmp_path / root
+    deep = base / f"{root}_{root}{base}" / "images"
+    deep.mkdir(parents=True)
+    (deep / "y.jpg").write_bytes(b"x")
+    row = scan_media(spark, str(base)).first()
+    assert row["path"] == str(deep / "y.jpg") and row["folder"].startswith(f"{root}_{root}")
 
 
 class FakeContext:

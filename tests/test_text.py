@@ -50,31 +50,48 @@ def test_encoding_with_a_vocabulary_too_long_to_send(posts, monkeypatch):
     want = sorted(map(str, text.encode_text(posts, vocab, 8).collect()))
     monkeypatch.setattr(text, "BROADCAST_BYTES", 30)
     monkeypatch.setattr(text, "BROADCAST_ENTRIES", 10)
-    assert sorted(map(str, text.encode_text(posts, vocab, 8).collect())) == want
+    assert sorted(map(str, text.encode_text(posts, vocab, 8, lookup="join").collect())) == want
+    with pytest.raises(ValueError):
+        text.encode_text(posts, vocab, 8)
+    with pytest.raises(ValueError):
+        text.encode_text(posts, vocab, 8, lookup="guess")
+
+
+@pytest.mark.parametrize("lookup", text.LOOKUPS)
+def test_repeated_ids_stay_apart(spark, posts, lookup):
+    vocab = text.fit_vocab(posts, 100)
+    rows = spark.createDataFrame(
+        [(1, "the fire"), (1, "the fire"), (1, "fire"), (2, None), (None, "the")], "post_id bigint, tweet string"
+    )
+    encoded = text.encode_text(rows, vocab, 5, lookup=lookup)
+    tokens = text.decode_tokens(encoded, vocab, lookup=lookup).collect()
+    got = sorted((str(r["post_id"]), [t for t in r["tokens"] if t[:1] != "["]) for r in tokens)
+    assert got == [("1", ["fire"]), ("1", ["the", "fire"]), ("1", ["the", "fire"]), ("2", []), ("None", ["the"])]
 
 
 @pytest.mark.parametrize("max_len", [2, 4, 10])
-@pytest.mark.parametrize("broadcast_entries", [100_000, 6])
-def test_encoding(posts, monkeypatch, max_len, broadcast_entries):
-    monkeypatch.setattr(text, "BROADCAST_ENTRIES", broadcast_entries)
+@pytest.mark.parametrize("lookup, entries", [("batch", 100_000), ("join", 100_000), ("join", 6)])
+def test_encoding(posts, monkeypatch, max_len, lookup, entries):
+    monkeypatch.setattr(text, "BROADCAST_ENTRIES", entries)
     vocab = text.fit_vocab(posts, 10)
     ids = python_vocab(TEXTS, 10)
-    rows = text.encode_text(posts, vocab, max_len).collect()
+    rows = text.encode_text(posts, vocab, max_len, lookup=lookup).collect()
     assert len(rows) == len(TEXTS)
     for r in rows:
         want = expected_ids(TEXTS[r["post_id"]], ids, max_len)
         assert (r["input_ids"], r["attention_mask"]) == want
 
 
-@pytest.mark.parametrize("broadcast_entries", [100_000, 6])
-def test_decoding(spark, posts, monkeypatch, broadcast_entries):
-    monkeypatch.setattr(text, "BROADCAST_ENTRIES", broadcast_entries)
+@pytest.mark.parametrize("lookup, entries", [("batch", 100_000), ("join", 100_000), ("join", 6)])
+def test_decoding(spark, posts, monkeypatch, lookup, entries):
+    monkeypatch.setattr(text, "BROADCAST_ENTRIES", entries)
     vocab = text.fit_vocab(posts, 100)
-    rows = text.decode_tokens(text.encode_text(posts, vocab, 10), vocab).collect()
+    encoded = text.encode_text(posts, vocab, 10, lookup=lookup)
+    rows = text.decode_tokens(encoded, vocab, lookup=lookup).collect()
     first = {r["post_id"]: r["tokens"] for r in rows}[0]
     assert first == ["[CLS]", "the", "fire", ",", "the", "fire", "!", "[SEP]", "[PAD]", "[PAD]"]
     odd = spark.createDataFrame([(1, [2, 999, 3])], "post_id bigint, input_ids array<int>")
-    assert text.decode_tokens(odd, vocab).first()["tokens"] == ["[CLS]", "", "[SEP]"]
+    assert text.decode_tokens(odd, vocab, lookup=lookup).first()["tokens"] == ["[CLS]", "", "[SEP]"]
 
 
 def test_tfidf(posts):

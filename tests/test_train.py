@@ -175,3 +175,15 @@ def test_cross_entropy(spark):
 def test_first_of_equal_logits_wins(spark):
     df = spark.createDataFrame([([1.0, 3.0, 3.0],), (None,)], "logits array<double>")
     assert [r["prediction"] for r in score.predict_class(df).collect()] == [1, None]
+
+
+def test_labels_outside_the_classes_do_not_train(spark):
+    good = [(i, [float(i % 2), 1.0], i % 2, "train" if i < 8 else "valid") for i in range(12)]
+    odd = [(20, [9.0, 9.0], -1, "train"), (21, [9.0, 9.0], 7, "train"), (22, [9.0, 9.0], None, "train")]
+    schema = "id int, features array<double>, label int, split string"
+    one = train.train_epochs(spark.createDataFrame(good, schema), 2, 2, epochs=3)
+    other = train.train_epochs(spark.createDataFrame(good + odd, schema), 2, 2, epochs=3)
+    assert np.array_equal(one.weights, other.weights) and one.history == other.history
+    valid = spark.createDataFrame([r for r in good if r[3] == "valid"], schema)
+    with pytest.raises(ValueError):
+        train.train_epochs(valid, 2, 2, epochs=3)

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from postweave import functions as PF
-from postweave.functions import vectors as vf
 from postweave.operators import vectors as vec
 
 RNG = np.random.default_rng(1)
@@ -83,17 +82,18 @@ def test_first_pool(rows):
     assert {r["k"]: r["features"] for r in known} == got
 
 
-@pytest.mark.parametrize("limit", [4096, 0])
-def test_projection_in_jvm_and_in_arrow_batches(spark, rows, monkeypatch, limit):
-    monkeypatch.setattr(vf, "JVM_MULTIPLY_ADDS", limit)
+@pytest.mark.parametrize("batches", [False, True])
+def test_projection_in_jvm_and_in_arrow_batches(spark, rows, batches):
     weights, bias = RNG.normal(size=(4, 6)), RNG.normal(size=4)
-    got = matrix(vec.linear_project(rows, weights, bias), "projected")
+    got = matrix(vec.linear_project(rows, weights, bias, batches=batches), "projected")
     assert got == pytest.approx(X @ weights.T + bias)
     missing = spark.createDataFrame(
-        [(1, None), (2, [1.0] * 6)], "post_id int, features array<double>"
+        [(1, None), (2, [1.0] * 6), (3, [1.0] * 5 + [None]), (4, [1.0] * 5), (5, [1.0] * 7), (6, [])],
+        "post_id int, features array<double>",
     )
-    first, second = vec.linear_project(missing, weights).orderBy("post_id").collect()
-    assert first["projected"] is None
+    rows = vec.linear_project(missing, weights, batches=batches).orderBy("post_id").collect()
+    first, second, *odd = rows
+    assert [r["projected"] for r in [first, *odd]] == [None] * 5
     assert second["projected"] == pytest.approx(weights.sum(1).tolist())
 
 
