@@ -277,11 +277,12 @@ def train_epochs(
     The returned layer holds the saved weights (the last ones if none was saved).
 
     One pass gives the valid values of an epoch and the gradient of the next, so
-    there is one job per epoch. Rows without a vector or a label of the classes are left
+    there is one job per epoch. Rows of other splits, such as test, and rows without a vector or a label of the classes are left
     out; without any train row there is nothing to fit, and that is an error.
     """
     is_train = F.col(split_col) == F.lit("train")
-    rows = _training_rows(data, classes, col, label, is_train, None)
+    seen = data.filter(F.col(split_col).isin("train", "valid"))
+    rows = _training_rows(seen, classes, col, label, is_train, None)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _epoch_loop(rows, classes, width, model, epochs, lr, patience, threshold)

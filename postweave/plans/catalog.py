@@ -28,6 +28,7 @@ from postweave.operators import vectors as vec
 from postweave.plans import experiment
 from postweave.plans import tables as T
 from postweave.plans.training_sql import head_sql, report_sql
+from postweave.schema import DISPLAY_NAMES
 from postweave.session import scratch_path
 from postweave.sources import (
     load_checkpoint,
@@ -1027,16 +1028,19 @@ def classification_report(spark, folder):
 
 # --- epoch history ----------------------------------------------------------------
 
-_BEST = f"""{HISTORY}, best AS (SELECT *, min(valid_loss) OVER (PARTITION BY model ORDER BY epoch)
+_BEST_OF = """best AS (SELECT *, min(valid_loss) OVER (PARTITION BY model ORDER BY epoch)
       AS best_loss, coalesce(valid_loss < coalesce(min(valid_loss) OVER (PARTITION BY model
       ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'infinity'::DOUBLE), false)
       AS improved FROM history)"""
-_COUNTED = f"""{_BEST}, islands AS (SELECT *, sum(improved::INT) OVER (PARTITION BY model
+_COUNTED_OF = f"""{_BEST_OF}, islands AS (SELECT *, sum(improved::INT) OVER (PARTITION BY model
       ORDER BY epoch) AS island FROM best),
     counted AS (SELECT * EXCLUDE (island), row_number() OVER (PARTITION BY model, island
       ORDER BY epoch) - CASE WHEN island = 0 THEN 0 ELSE 1 END AS counter FROM islands)"""
-_STOPS = f"""{_COUNTED}, causes AS (SELECT *, CASE WHEN train_acc > {THRESHOLD} THEN 'threshold'
-      WHEN counter >= {PATIENCE} THEN 'patience' END AS cause FROM counted),
+
+
+def _stops_sql(patience: int, threshold: float) -> str:
+    return f"""{_COUNTED_OF}, causes AS (SELECT *, CASE WHEN train_acc > {threshold} THEN 'threshold'
+      WHEN counter >= {patience} THEN 'patience' END AS cause FROM counted),
     stops AS (SELECT model, coalesce(min(epoch) FILTER (cause IS NOT NULL), max(epoch))
       AS stop_epoch FROM causes GROUP BY model),
     ran AS (SELECT c.*, stop_epoch FROM causes c JOIN stops USING (model) WHERE epoch <= stop_epoch),
@@ -1046,6 +1050,10 @@ _STOPS = f"""{_COUNTED}, causes AS (SELECT *, CASE WHEN train_acc > {THRESHOLD}
       FROM ran GROUP BY model, stop_epoch)"""
 
 
+_BEST, _COUNTED = f"{HISTORY}, {_BEST_OF}", f"{HISTORY}, {_COUNTED_OF}"
+_STOPS = f"{HISTORY}, {_stops_sql(PATIENCE, THRESHOLD)}"
+
+
 @query(f"{_BEST} SELECT * FROM best")
 def best_so_far(spark, folder):
     return epochs.best_so_far(T.history(spark, folder))
@@ -1088,11 +1096,55 @@ def winner_history(spark, folder):
     return epochs.winner_history(T.history(spark, folder), MODELS)
 
 
-@query(f"{HISTORY} SELECT * FROM history")
+# Limits within which the runs end by their rule.
+_LONG = 16
+_PATIENT, _LIMITED = (0.5, 3, 0.999), (0.05, 10, 0.25)
+_SERIES = ", ".join(f"round({c}, 6) AS {c}" for c in epochs.SERIES)
+
+
+@query(
+    f"""{VECTORS}, {head_sql(_VECTOR_INPUTS, 10, _EPOCHS, _RATE, 'a_')},
+    {head_sql(_VECTOR_INPUTS, 10, _EPOCHS, _RATE / 5, 'b_')}
+    SELECT 'fast' AS model, epoch, {_SERIES} FROM a_run
+    UNION ALL SELECT 'slow', epoch, {_SERIES} FROM b_run"""
+)
 def union_histories(spark, folder):
-    rows = T.history(spark, folder)
-    parts = {m: rows.filter(F.col("model") == m).drop("model") for m in MODELS}
-    return epochs.union_histories(parts).select(*rows.columns)
+    """Two heads of different rates, their histories in one table."""
+    rows = T.split_vectors(spark, folder)
+    parts = {
+        name: train.train_epochs(rows, 10, 64, epochs=_EPOCHS, lr=rate).history_table(spark).drop("model")
+        for name, rate in [("fast", _RATE), ("slow", _RATE / 5)]
+    }
+    both = epochs.union_histories(parts)
+    return both.select("model", "epoch", *[_r(c, c) for c in epochs.SERIES])
+
+
+def _stopped_run(spark, folder, lr: float, patience: int, threshold: float) -> DataFrame:
+    rows = T.split_vectors(spark, folder)
+    head = train.train_epochs(
+        rows, 10, 64, model="probe", epochs=_LONG, lr=lr, patience=patience, threshold=threshold
+    )
+    past = head.history_table(spark).withColumns({c: _r(c, c) for c in epochs.SERIES})
+    return past.withColumns(
+        {"reason": F.lit(head.stop_reason), "best_epoch": F.lit(head.best_epoch).cast("int")}
+    )
+
+
+def _stopped_sql(lr: float, patience: int, threshold: float) -> str:
+    return f"""{VECTORS}, {head_sql(_VECTOR_INPUTS, 10, _LONG, lr)},
+    history AS (SELECT 'probe' AS model, * FROM run), {_stops_sql(patience, threshold)}
+    SELECT model, epoch, {_SERIES}, reason, CAST(best_epoch AS INT) AS best_epoch
+    FROM ran JOIN (SELECT model, reason, best_epoch FROM stopped) USING (model)"""
+
+
+@query(_stopped_sql(*_PATIENT))
+def train_until_patience(spark, folder):
+    return _stopped_run(spark, folder, *_PATIENT)
+
+
+@query(_stopped_sql(*_LIMITED))
+def train_until_threshold(spark, folder):
+    return _stopped_run(spark, folder, *_LIMITED)
 
 
 @query(
@@ -1140,10 +1192,12 @@ def _fusion_run(spark, folder, kind: str) -> DataFrame:
     run = experiment.run_fusion(
         T.split_pairs(spark, folder), kind, _EPOCHS, _RATE, T.TEXT_DIMS
     )
-    return rounded_report(run.report("valid"))
+    return rounded_report(run.report("test"))
 
 
-_FUSED_INPUTS = "SELECT post_id AS id, label, split = 'train' AS is_train, pos, x FROM fused"
+# Test rows are of neither kind, so no epoch sees them.
+_SEEN = "CASE split WHEN 'train' THEN true WHEN 'valid' THEN false END AS is_train"
+_FUSED_INPUTS = f"SELECT post_id AS id, label, {_SEEN}, pos, x FROM fused"
 
 
 _BASIC = f"""{_ALIGNED}, batched AS (SELECT post_id, label, split, (row_number() OVER (
@@ -1162,7 +1216,7 @@ _BASIC = f"""{_ALIGNED}, batched AS (SELECT post_id, label, split, (row_number()
       FROM powers),
     attended AS (SELECT post_id, label, split, CASE side WHEN 'image' THEN pos ELSE 64 + pos END
       AS pos, x * weight AS x FROM sides JOIN weights USING (side, post_id))"""
-_BASIC_INPUTS = "SELECT post_id AS id, label, split = 'train' AS is_train, pos, x FROM attended"
+_BASIC_INPUTS = f"SELECT post_id AS id, label, {_SEEN}, pos, x FROM attended"
 
 # With one image per post the attention weight is 1.
 _CROSS_RUN = f"""{_ALIGNED}, value_entries AS (SELECT post_id, o.i AS pos,
@@ -1176,8 +1230,8 @@ _CROSS_RUN = f"""{_ALIGNED}, value_entries AS (SELECT post_id, o.i AS pos,
 
 def _run_sql(rows: str, inputs: str) -> str:
     return f"""{rows}, {head_sql(inputs, 6, _EPOCHS, _RATE)},
-    valid AS (SELECT label, prediction FROM scored WHERE NOT is_train),
-    {report_sql('valid', ['ND', 'DI', 'DN', 'Fires', 'Flood', 'HD'])} SELECT * FROM report"""
+    held AS (SELECT label, prediction FROM scored WHERE is_train IS NULL),
+    {report_sql('held', DISPLAY_NAMES)} SELECT * FROM report"""
 
 
 @query(_run_sql(_ALIGNED, _FUSED_INPUTS))

@@ -50,12 +50,15 @@ split_posts AS (
               THEN 'train' ELSE 'valid' END AS split
   FROM clean c)"""
 
-# Cleaned posts that have image features, split by themselves.
-PAIRS_SQL = """pairs AS (
+# Cleaned posts that have image features, split by themselves: 70 % train, 15 % valid, the
+# rest test.
+PAIRS_SQL = """parts AS (SELECT (count(*) * 7) // 10 AS n_train, (count(*) * 17) // 20 AS n_seen
+  FROM clean JOIN embeddings ON vec_id = post_id),
+pairs AS (
   SELECT c.post_id, c.label, c.tweet, e.embedding,
-         CASE WHEN row_number() OVER (ORDER BY post_id) - 1 < (SELECT (count(*) * 7) // 10
-                FROM clean JOIN embeddings ON vec_id = post_id)
-              THEN 'train' ELSE 'valid' END AS split
+         CASE WHEN row_number() OVER (ORDER BY post_id) - 1 < (SELECT n_train FROM parts) THEN 'train'
+              WHEN row_number() OVER (ORDER BY post_id) - 1 < (SELECT n_seen FROM parts) THEN 'valid'
+              ELSE 'test' END AS split
   FROM clean c JOIN embeddings e ON e.vec_id = c.post_id)"""
 
 # Vectors with all ten labels; the logits of predictions are a fixed projection.
@@ -157,9 +160,22 @@ def post_images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Cleaned posts with image features, the first 70 % by id as train."""
+    """Cleaned posts with image features by id: 70 % train, 15 % valid, the rest test."""
     pairs = fusion.align_modalities(clean_posts(spark, folder), post_images(spark, folder))
-    return ordering.share_split(pairs, TRAIN_SHARE, "post_id")
+    slim = clean_posts(spark, folder).select("post_id").join(
+        post_images(spark, folder).select("post_id"), "post_id"
+    )
+    rows = slim.count()
+    seen = ordering.key_at(slim, rows * 17 // 20, "post_id", rows)
+    first = ordering.key_at(slim, rows * 7 // 10, "post_id", rows)
+    if first is None or seen is None:
+        return pairs.withColumn("split", F.lit("train"))
+    return pairs.withColumn(
+        "split",
+        F.when(F.col("post_id") < first["post_id"], "train")
+        .when(F.col("post_id") < seen["post_id"], "valid")
+        .otherwise("test"),
+    )
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
