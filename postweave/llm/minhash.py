@@ -12,8 +12,8 @@ with equal sets form one class first, so copies cost one bucket entry. Buckets w
 become stars around one member; their connected components are the clusters.
 
 Verification. A cluster's full sets meet in one task, or in parts of bounded size, and exact
-intersections are computed for pairs whose sketches agree in 60 of 128 places (for J = 0.75 that
-is seven standard deviations below the mean) and that no link connects yet. No pairs leave a task,
+intersections are computed, over an inverted index of the part, for pairs whose sketches agree in 60 of
+128 places (for J = 0.75 that is seven standard deviations below the mean) and that no link connects yet. No pairs leave a task,
 only one root for each class. Of a cluster in several parts, some leaders go to every part; what
 then is outside the cluster's largest component is compared with every part, so a link between
 parts joins its components as well as any other. The work on a cluster that its leaders hold
@@ -44,8 +44,9 @@ BAND_ROWS = 4
 BANDS = COORDINATES // BAND_ROWS
 LEAST_AGREEMENT = 60
 LEADERS = 16
-#: Shingles that one verification task takes together (8 bytes each).
+#: Shingles (8 bytes each) and sets that one verification task takes together.
 PART_SHINGLES = 2_000_000
+PART_SETS = 2_000
 BROADCAST_BYTES = 48 << 20
 
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -170,6 +171,26 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+class _Overlaps:
+    """Exact intersection sizes of one set of a group with all others, over an inverted index."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.k = len(sets)
+        sizes = np.array([len(s) for s in sets])
+        self.ends = np.cumsum(sizes)
+        _, self.terms = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(self.terms, kind="stable")
+        self.owners = np.repeat(np.arange(self.k), sizes)[order]
+        self.counts = np.bincount(self.terms)
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def of(self, i: int) -> np.ndarray:
+        own = self.terms[(self.ends[i - 1] if i else 0):self.ends[i]]
+        lengths = self.counts[own]
+        begin = np.repeat(self.starts[own] - (np.cumsum(lengths) - lengths), lengths)
+        return np.bincount(self.owners[begin + np.arange(len(begin))], minlength=self.k)
+
+
 def solve(nodes: list[bytes], sets: list[np.ndarray], labels: list | None = None) -> list[bytes]:
     """The smallest node of each set's component under exact links. ``labels``: components known
     so far (equal label: connected)."""
@@ -177,20 +198,23 @@ def solve(nodes: list[bytes], sets: list[np.ndarray], labels: list | None = None
     known: dict = {}
     comp = np.array([known.setdefault(x, len(known)) for x in labels] if labels else range(k))
     sizes = np.array([len(s) for s in sets])
-    marks = np.stack([sketch(s).astype(np.uint8) for s in sets])
+    marks = np.stack([sketch(s).astype(np.uint8) for s in sets]) if k > 2 else None
+    overlaps = None
     for i in range(k - 1):
         rest = np.arange(i + 1, k)
         low, high = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
         rest = rest[(comp[rest] != comp[i]) & (100 * low >= PERCENT * high)]
+        if marks is not None and len(rest):
+            rest = rest[(marks[rest] == marks[i]).sum(axis=1) >= LEAST_AGREEMENT]
         if len(rest) == 0:
             continue
-        agree = (marks[rest] == marks[i]).sum(axis=1)
-        for j in rest[np.argsort(-agree)][: int((agree >= LEAST_AGREEMENT).sum())]:
-            if comp[i] == comp[j]:
-                continue
-            both = _common(sets[i], sets[j])
-            if 100 * both >= PERCENT * (sizes[i] + sizes[j] - both):
-                comp[comp == comp[j]] = comp[i]
+        if len(rest) > 4:
+            overlaps = overlaps or _Overlaps(sets)
+            both = overlaps.of(i)[rest]
+        else:
+            both = np.array([_common(sets[i], sets[j]) for j in rest])
+        linked = rest[100 * both >= PERCENT * (sizes[i] + sizes[rest] - both)]
+        comp[np.isin(comp, comp[linked])] = comp[i]
     least: dict[int, bytes] = {}
     for c, node in zip(comp.tolist(), nodes):
         least[c] = min(least.get(c, node), node)
@@ -208,7 +232,7 @@ def _solved(frame: pd.DataFrame) -> pd.DataFrame:
 _SOLVED = "_cluster long, _node binary, _root binary"
 
 
-def _across_parts(rows: DataFrame, part_shingles: int) -> DataFrame:
+def _across_parts(rows: DataFrame, part_shingles: int, part_sets: int) -> DataFrame:
     """(_node, _root) of clusters in several parts; rows: _cluster, _parts, _size, _node, _n, _words."""
     turn = F.xxhash64("_node")
     own = F.pmod(turn, F.col("_parts")).cast("int")
@@ -230,9 +254,9 @@ def _across_parts(rows: DataFrame, part_shingles: int) -> DataFrame:
                .agg(F.max_by("_root", F.struct("count", "_root")).alias("_main")))
     rows = rows.join(known.drop("_cluster").withColumnRenamed("_root", "_label"), "_node").join(
         F.broadcast(largest), "_cluster").withColumn("_away", F.col("_label") != F.col("_main"))
-    weights = rows.filter("_away").groupBy("_cluster").agg(F.sum("_n").alias("_loose"))
+    weights = rows.filter("_away").groupBy("_cluster").agg(F.sum("_n").alias("_loose"), F.count("*").alias("_sets"))
     rows = rows.join(F.broadcast(weights), "_cluster")  # a cluster without any is settled
-    groups = F.ceil(F.col("_loose") / part_shingles).cast("int")
+    groups = F.greatest(F.ceil(F.col("_loose") / part_shingles), F.ceil(F.col("_sets") / part_sets)).cast("int")
     all_groups = F.sequence(F.lit(0), groups - 1)
     own_group = F.pmod(F.xxhash64(F.xxhash64("_node"), F.lit(1)), groups).cast("int")
     pairs = lambda parts, some: F.flatten(F.transform(parts, lambda p: F.transform(
@@ -246,7 +270,7 @@ def _across_parts(rows: DataFrame, part_shingles: int) -> DataFrame:
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    part_shingles: int = PART_SHINGLES) -> DataFrame:
+                    part_shingles: int = PART_SHINGLES, part_sets: int = PART_SETS) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept; and _text, the text's hash."""
     text = text_of(text_col)
     raw = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_text"), text.alias("_raw"))
@@ -268,7 +292,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = classes.join(broadcast_within(clusters, 32, BROADCAST_BYTES), "_short").select(
         "_cluster", "_node", "_n", "_one._text", "_one._id")
     weights = members.groupBy("_cluster").agg(F.sum("_n").alias("_weight"), F.count("*").alias("_size"))
-    weights = weights.withColumn("_parts", F.ceil(F.col("_weight") / part_shingles)).drop("_weight")
+    weights = weights.withColumn("_parts", F.greatest(
+        F.ceil(F.col("_weight") / part_shingles), F.ceil(F.col("_size") / part_sets))).drop("_weight")
     members = stored(members.join(weights, "_cluster"), "members")
     there = broadcast_within(members, 120, BROADCAST_BYTES).withColumnRenamed("_text", "_t").withColumnRenamed("_id", "_i")
     texts = raw.join(there, (raw["_text"] == there["_t"]) & raw["_id"].eqNullSafe(there["_i"]))
@@ -278,7 +303,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = alone.select("_node", "_root")
     if members.filter("_parts > 1").limit(1).count():
         wide = stored(texts.filter("_parts > 1"), "wide")
-        roots = roots.union(_across_parts(wide, part_shingles))
+        roots = roots.union(_across_parts(wide, part_shingles, part_sets))
     roots = stored(roots, "roots")
 
     least = roots.join(classes, "_node").groupBy("_root").agg(F.min("_least").alias("_component"))
@@ -293,14 +318,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("_id").eqNullSafe(F.col("_component")).alias("kept"), "_text")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     part_shingles: int = PART_SHINGLES) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with one of each component, the one with the smallest id, with all their
     columns. Of rows that repeat that document all stay; exact dedup comes before.
 
     Documents that go are few beside those that stay: their keys are broadcast within a checked
     size, else joined."""
-    found = near_components(docs, id_col, text_col, part_shingles)
+    found = near_components(docs, id_col, text_col, **options)
     gone = stored(found.filter("not kept").select(F.col(id_col).alias("_gone"), F.col("_text").alias("_hash")).distinct(), "gone")
     gone = broadcast_within(gone, 40, BROADCAST_BYTES)
     same = docs[id_col].cast("long").eqNullSafe(gone["_gone"]) & (F.xxhash64(text_of(text_col)) == gone["_hash"])
