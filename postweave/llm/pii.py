@@ -345,9 +345,16 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def training_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> list[str]:
-    """At most ``train_docs`` texts that contain a digit or an at sign, by the smallest hash of id and text."""
-    chosen = docs.select(text_of(text_col).alias("t"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-    return [r["t"] for r in chosen.filter(F.col("t").rlike("[0-9]{2}|@")).orderBy("h", "t").limit(train_docs).collect()]
+    """At most ``train_docs`` texts that contain a digit or an at sign, by the smallest hash of id and text.
+
+    The hashes alone are ranked first, so tasks send no texts that are not used."""
+    hashed = docs.select(text_of(text_col).alias("t"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
+    hashed = hashed.filter(F.col("t").rlike("[0-9]{2}|@"))
+    last = hashed.select("h").distinct().orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    chosen = hashed.filter(F.col("h") <= last).groupBy("h").agg(F.min("t").alias("t"))
+    return [r["t"] for r in chosen.orderBy("h").limit(train_docs).collect()]
 
 
 def find_personal_data(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text",
