@@ -11,12 +11,13 @@ A BPE vocabulary gives ranks instead of probabilities; rank r weighs (r + 1) **
 of word frequencies. A larger alpha comes closer to the single best segmentation. Characters without a piece, the line feed
 and a literal ``▁`` are spelled as byte pieces, so every text comes back exactly.
 
-The vocabulary is read on the driver from ``model_file`` and broadcast: it is a file of fixed size
-(0.5 MB). Tasks keep filtered chunks up to ``MAX_STATES`` lattice states.
+Chunks of half a million characters are filtered together: the distinct ones as columns of arrays, all
+ends of pieces of one length at a time, then one place of all chunks at a time. The vocabulary is read
+on the driver from ``model_file`` and broadcast: it is a file of fixed size (0.5 MB).
 
 Defined cases: null and empty texts have no pieces and decode to the empty text; a null key is a key of
 its own; repeated rows give equal pieces; empty tables give empty results. Texts of any length are encoded
-whole, in slices of chunks. Of the input's columns those stay that the caller names, unless a result has the name.
+whole, in sections that end where a chunk does. Of the input's columns those stay that the caller names, unless a result has the name.
 """
 
 from __future__ import annotations
@@ -34,11 +35,11 @@ from pyspark.sql import functions as F
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MAX_PIECE = 16
-EDGES = 16
-MAX_STATES = 400_000
-SLICE = 50_000
+TABLE_BITS = 18
+GOLDEN = 0x9E3779B97F4A7C15
+CHAR_BASE = 0xD6E8FEB86659FD93
 #: Characters that are encoded together.
-GROUP = 1 << 20
+GROUP = 1 << 19
 #: Private characters that stand for single bytes within a chunk.
 BYTE_BASE = 0xF0000
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -61,105 +62,139 @@ def load_vocabulary(model_file: str = MODEL_FILE) -> dict:
     return {"pieces": pieces, "bytes": bytes_, "size": model.get_piece_size()}
 
 
-class Lattice:
-    """Filtered chunks as rows of a table: row base + p holds the edges that end at place p."""
-
-    def __init__(self, vocabulary: dict, alpha: float) -> None:
-        self.ids = vocabulary["pieces"]
-        ranks = {i: r for r, i in enumerate(sorted(self.ids.values()))}
-        self.weight = {name: float((ranks[i] + 1.0) ** -alpha) for name, i in self.ids.items()}
-        self.known = {name for name in self.ids if len(name) == 1}
-        for b, i in enumerate(vocabulary["bytes"]):
-            self.ids[chr(BYTE_BASE + b)] = i
-            self.weight[chr(BYTE_BASE + b)] = float((len(ranks) + 1.0) ** -alpha)
-        self.tails = {name[k:] for name in self.ids for k in range(len(name))}
-        self.clear()
-
-    def clear(self) -> None:
-        self.base: dict[str, int] = {}
-        self.ends: dict[str, int] = {}
-        self.upto = np.ones((MAX_STATES, EDGES), dtype=np.float32)
-        self.edge = np.zeros((MAX_STATES, EDGES), dtype=np.int32)
-        self.step = np.zeros((MAX_STATES, EDGES), dtype=np.int32)
-        self.states = 0
-
-    def spelled(self, chunk: str) -> str:
-        """The chunk with characters that have no piece spelled as bytes."""
-        known = self.known
-        if all(c in known or BYTE_BASE <= ord(c) for c in chunk):
-            return chunk
-        return "".join(c if c in known or BYTE_BASE <= ord(c) < BYTE_BASE + 256 else "".join(
-            chr(BYTE_BASE + b) for b in c.encode()) for c in chunk)
-
-    def add(self, chunk: str) -> tuple[int, int]:
-        """Forward filtering of a new chunk; (row of its start, row of its end)."""
-        text = self.spelled(chunk)
-        n, base = len(text), self.states
-        ids, weight, tails = self.ids, self.weight, self.tails
-        forward = [0.0] * (n + 1)
-        forward[0] = 1.0
-        upto, edge, step = self.upto, self.edge, self.step
-        for p in range(1, n + 1):
-            total, found = 0.0, []
-            for k in range(1, min(p, MAX_PIECE) + 1):
-                part = text[p - k:p]
-                if part in weight:
-                    if forward[p - k]:
-                        total += weight[part] * forward[p - k]
-                        found.append((total, ids[part], k))
-                elif part not in tails:
-                    break
-            if 0.0 < total < 1e-150:  # only ratios within one piece's reach matter
-                for q in range(max(0, p - MAX_PIECE), p):
-                    forward[q] *= 1e150
-                total *= 1e150
-                found = [(t * 1e150, i, k) for t, i, k in found]
-            forward[p] = total
-            row, scale = base + p, 1.0 / total
-            for j, (t, i, k) in enumerate(found):
-                upto[row, j], edge[row, j], step[row, j] = t * scale, i, k
-            upto[row, len(found) - 1:] = 1.0
-        self.states = base + n + 1
-        return base, base + n
-
-    def rows(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """First and last rows of chunks, filtering those not seen before."""
-        base, ends = self.base, self.ends
-        for chunk in dict.fromkeys(chunks):
-            if chunk not in base:
-                base[chunk], ends[chunk] = self.add(chunk)
-        n = len(chunks)
-        return (np.fromiter(map(base.__getitem__, chunks), np.int64, n),
-                np.fromiter(map(ends.__getitem__, chunks), np.int64, n))
-
-    def room(self, chunks: list[str]) -> bool:
-        """Whether all new chunks fit; bytes take at most four states for a character."""
-        need = sum(4 * len(c) + 1 for c in set(chunks) if c not in self.base)
-        return self.states + need <= MAX_STATES
-
-
 def _mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def sample(lattice: Lattice, chunks: list[str], keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Lattice:
+    """Piece weights, found by rolling hashes of the characters that they end at."""
+
+    def __init__(self, vocabulary: dict, alpha: float) -> None:
+        ids = dict(vocabulary["pieces"])
+        ranks = {i: r for r, i in enumerate(sorted(ids.values()))}
+        self.weight = {name: float((ranks[i] + 1.0) ** -alpha) for name, i in ids.items()}
+        for b, i in enumerate(vocabulary["bytes"]):
+            ids[chr(BYTE_BASE + b)] = i
+            self.weight[chr(BYTE_BASE + b)] = float((len(ranks) + 1.0) ** -alpha)
+        names = list(ids)
+        self.known = np.zeros(0x110000, dtype=bool)
+        self.known[[ord(name) for name in names if len(name) == 1]] = True
+        self.known[BYTE_BASE:BYTE_BASE + 256] = True
+        # The entry after the last stands for "no piece".
+        self.ids = np.array([ids[name] for name in names] + [0], dtype=np.int32)
+        self.weights = np.array([self.weight[name] for name in names] + [0.0])
+        keys, entries = [0] * (1 << TABLE_BITS), [len(names)] * (1 << TABLE_BITS)
+        powers = [pow(CHAR_BASE, k + 1, 1 << 64) for k in range(MAX_PIECE)]
+        for i, name in enumerate(names):
+            h = sum((ord(c) + 1) * power for c, power in zip(reversed(name), powers)) % (1 << 64)
+            slot = (h * GOLDEN % (1 << 64)) >> (64 - TABLE_BITS)
+            while keys[slot]:
+                if keys[slot] == h:
+                    raise ValueError("two pieces have the same hash")
+                slot = (slot + 1) % len(keys)
+            keys[slot], entries[slot] = h, i
+        self.keys, self.entries = np.array(keys, dtype=np.uint64), np.array(entries, dtype=np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash."""
+        slots = (hashes * np.uint64(GOLDEN) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        there = self.keys[slots]
+        out = np.where(there == hashes, self.entries[slots], len(self.weights) - 1)
+        todo = np.flatnonzero((there != hashes) & (there != 0))
+        while len(todo):
+            slots[todo] = (slots[todo] + 1) % len(self.keys)
+            there = self.keys[slots[todo]]
+            hit = there == hashes[todo]
+            out[todo[hit]] = self.entries[slots[todo[hit]]]
+            todo = todo[~hit & (there != 0)]
+        return out
+
+    def spelled(self, chunks: list[str]) -> list[str]:
+        """The chunks with characters that have no piece spelled as bytes."""
+        flat = _codes(chunks)
+        odd = np.flatnonzero(~self.known[flat])
+        if len(odd) == 0:
+            return chunks
+        ends = np.cumsum([len(c) for c in chunks])
+        out = list(chunks)
+        for i in np.unique(np.searchsorted(ends, odd, side="right")).tolist():
+            out[i] = "".join(c if self.known[ord(c)] else "".join(
+                chr(BYTE_BASE + b) for b in c.encode()) for c in chunks[i])
+        return out
+
+
+def _codes(chunks: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _char_hash(codes: np.ndarray, place: int) -> np.ndarray:
+    """What a character adds to the hash of a string whose last character is at place 0."""
+    power = np.uint64(pow(CHAR_BASE, place + 1, 1 << 64))
+    return (codes.astype(np.uint64) + np.uint64(1)) * power
+
+
+class Filtered:
+    """Forward filtering of distinct chunks. Row ``start + p - 1`` of a chunk holds, for the pieces of
+    1 to MAX_PIECE characters that end at place p, their cumulative shares and ids."""
+
+    def __init__(self, lattice: Lattice, chunks: list[str]) -> None:
+        chunks = lattice.spelled(chunks)
+        self.lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        codes = _codes(chunks)
+        total = len(codes)
+        offset = np.arange(total) - np.repeat(self.starts, self.lengths)
+        entries = np.full((total, MAX_PIECE), len(lattice.weights) - 1, dtype=np.int32)
+        rows, hashes = np.arange(total), np.zeros(total, dtype=np.uint64)
+        for k in range(MAX_PIECE):
+            inside = offset[rows] >= k
+            rows, hashes = rows[inside], hashes[inside]
+            if len(rows) == 0:
+                break
+            hashes = hashes + _char_hash(codes[rows - k], k)
+            entries[rows, k] = lattice.find(hashes)
+        self.entries, self.ids = entries, lattice.ids
+        self.shares = np.ones((total, MAX_PIECE), dtype=np.float32)
+        # State 0 of every chunk has weight 1; a piece of k characters comes from k states before.
+        base = self.starts + np.arange(len(chunks))
+        forward = np.zeros(total + len(chunks))
+        forward[base] = 1.0
+        longest_first = np.argsort(-self.lengths, kind="stable")
+        counts = np.searchsorted(-self.lengths[longest_first], -np.arange(self.lengths.max(initial=0)), side="left")
+        row, state = self.starts[longest_first], base[longest_first]
+        for p, live in enumerate(counts.tolist()):
+            row, state, width = row[:live], state[:live], min(p + 1, MAX_PIECE)
+            sums = lattice.weights[entries[row, :width]]
+            sums *= forward[state[:, None] - np.arange(width)]
+            np.cumsum(sums, axis=1, out=sums)
+            last = sums[:, -1]
+            forward[state + 1] = last
+            self.shares[row, :width] = sums / last[:, None]
+            if p % 32 == 31:  # only ratios within one piece's reach matter
+                low = state[last < 1e-100]
+                forward[(low + 1)[:, None] - np.arange(MAX_PIECE + 1)] *= 1e100
+            row, state = row + 1, state + 1
+
+
+def sample(table: Filtered, which: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Backward sampling of many chunks at once: (ids in order, number of ids per chunk).
 
-    ``keys`` and ``places`` give each chunk's row key and its start in the text."""
-    first, at = lattice.rows(chunks)
-    live = np.arange(len(chunks))
-    ids, owners, counts = [], [], np.zeros(len(chunks), dtype=np.int64)
+    ``which`` names the distinct chunk, ``keys`` and ``places`` the row key and the place in the text."""
+    first = table.starts[which]
+    at = first + table.lengths[which]
+    live = np.arange(len(which))
+    ids, owners, counts = [], [], np.zeros(len(which), dtype=np.int64)
     while len(live):
-        row = at[live]
-        draw = _mix64(keys[live] + (places[live] + (row - first[live])).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        row = at[live] - 1
+        draw = _mix64(keys[live] + (places[live] + (row - first[live])).astype(np.uint64) * np.uint64(GOLDEN))
         u = ((draw >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) / np.float32(1 << 24)
-        pick = (u[:, None] > lattice.upto[row]).sum(axis=1)
-        ids.append(lattice.edge[row, pick])
+        pick = (u[:, None] > table.shares[row]).sum(axis=1)
+        ids.append(table.ids[table.entries[row, pick]])
         owners.append(live)
         counts[live] += 1
-        at[live] = row - lattice.step[row, pick]
+        at[live] = row - pick
         live = live[at[live] > first[live]]
     out = np.empty(int(counts.sum()), dtype=np.int32)
     stop = np.cumsum(counts)
@@ -188,15 +223,6 @@ def prepared(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def chunked(section: str) -> list[str]:
-    """The chunks of a section; one too long for the table is filtered in parts."""
-    chunks = CHUNKS.findall(section)
-    if len(section) <= MAX_STATES // 8:
-        return chunks
-    room = MAX_STATES // 8
-    return [c[i:i + room] for c in chunks for i in range(0, len(c), room)]
-
-
 def encode_texts(lattice: Lattice, texts: list[str], keys: list[int]) -> list[np.ndarray]:
     """The sampled piece ids of each text; texts are taken together up to ``GROUP`` characters."""
     parts: list[list[np.ndarray]] = [[] for _ in texts]
@@ -204,30 +230,20 @@ def encode_texts(lattice: Lattice, texts: list[str], keys: list[int]) -> list[np
     owners: list[tuple[int, int, int]] = []  # (text, chunks, place of the first)
 
     def flush() -> None:
+        if not chunks:
+            return
+        distinct = {c: i for i, c in enumerate(dict.fromkeys(chunks))}
+        which = np.fromiter(map(distinct.__getitem__, chunks), np.int64, len(chunks))
         counts = np.array([n for _, n, _ in owners], dtype=np.int64)
         widths = 4 * np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1
-        ends = np.cumsum(widths)
-        begin = np.repeat((np.concatenate([[0], ends]))[np.cumsum(counts) - counts], counts)
-        base = np.repeat(np.array([place for _, _, place in owners], dtype=np.int64), counts)
-        places = ends - widths - begin + base
+        ends = np.concatenate([[0], np.cumsum(widths)])
+        base = np.array([place for _, _, place in owners], dtype=np.int64) - ends[np.cumsum(counts) - counts]
+        places = ends[:-1] + np.repeat(base, counts)
         own = np.repeat(np.array([keys[t] for t, _, _ in owners], dtype=np.uint64), counts)
-        ids, sizes, start = [], [], 0
-        while start < len(chunks):
-            stop, weight = start, 0
-            while stop < len(chunks) and stop - start < SLICE and (stop == start or weight + widths[stop] <= MAX_STATES):
-                weight += int(widths[stop])
-                stop += 1
-            part = chunks[start:stop]
-            if not lattice.room(part):
-                lattice.clear()
-            some, size = sample(lattice, part, own[start:stop], places[start:stop])
-            ids.append(some)
-            sizes.append(size)
-            start = stop
-        if chunks:
-            per = np.add.reduceat(np.concatenate(sizes), np.cumsum(counts) - counts)
-            for (t, _, _), some in zip(owners, np.split(np.concatenate(ids), np.cumsum(per)[:-1])):
-                parts[t].append(some)
+        ids, sizes = sample(Filtered(lattice, list(distinct)), which, own, places)
+        per = np.add.reduceat(sizes, np.cumsum(counts) - counts)
+        for (t, _, _), some in zip(owners, np.split(ids, np.cumsum(per)[:-1])):
+            parts[t].append(some)
         chunks.clear()
         owners.clear()
 
@@ -235,7 +251,7 @@ def encode_texts(lattice: Lattice, texts: list[str], keys: list[int]) -> list[np
     for t, text in enumerate(texts):
         place = 0
         for section in sections(prepared(text)) if text else ():
-            some = chunked(section)
+            some = CHUNKS.findall(section)
             owners.append((t, len(some), place))
             chunks.extend(some)
             place += 5 * len(section) + 1
