@@ -3,7 +3,8 @@
 Words are maximal runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z. The index
 holds, for every word of the licence templates, its positions in each. A first pass counts in
 how many documents each of these words occurs; words in more than ``max_share`` of all
-documents are left out of the lookup. The second pass takes a file's ``top`` licence words of
+documents are left out of the lookup, but for the ``KEEP`` rarest of each template, so that a
+notice is found however many documents carry it. The second pass takes a file's ``top`` licence words of
 highest inverse document frequency, turns each occurrence into (template, position in the file
 minus position in the template), and looks for the relative position that most occurrences
 agree on. A template is found when at least two and ``min_share`` of its looked-up positions
@@ -66,6 +67,7 @@ TEMPLATES = [
 ]
 
 TOP = 32
+KEEP = 8
 MAX_SHARE = 0.05
 MIN_SHARE = 0.5
 
@@ -88,14 +90,17 @@ def vocabulary() -> list[str]:
 
 def word_weights(docs: DataFrame, text_col: str = "text", max_share: float = MAX_SHARE) -> dict[str, float]:
     """Inverse document frequency of the licence words over all documents, without words that
-    more than ``max_share`` of them contain. Its size is bounded by the templates."""
+    more than ``max_share`` of them contain and that are not among the ``KEEP`` rarest of a
+    template. Its size is bounded by the templates."""
     known = F.array(*[F.lit(w) for w in vocabulary()])
     found = F.array_intersect(words_of(plain(text_of(text_col))), known)
     counts = docs.select(F.explode(F.array_append(found, F.lit(""))).alias("word")).groupBy("word").count()
     df = {r["word"]: r["count"] for r in counts.collect()}
     total = df.get("", 0)
+    rarest = {w for _, text, _ in TEMPLATES
+              for w in sorted(set(text.split()), key=lambda w: (df.get(w, 0), w))[:KEEP]}
     return {w: math.log((1 + total) / (1 + df.get(w, 0))) for w in vocabulary()
-            if df.get(w, 0) <= max(1, max_share * total)}
+            if w in rarest or df.get(w, 0) <= max(1, max_share * total)}
 
 
 def _phrase_places(words: Column, plain_text: Column, phrase: str) -> Column:

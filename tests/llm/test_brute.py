@@ -59,6 +59,20 @@ def test_license_method_finds_notices(spark):
     assert (found[900].n_base, found[900].first_word, found[900].last_word) == (4, 0, 8)
 
 
+def test_license_notice_in_a_third_of_the_rows(spark):
+    """A notice is found however common it is, and in a table of two rows that both carry it."""
+    noise = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor"
+    for n, every, place in ((90, 3, 3), (90, 3, 4), (2, 1, 6)):
+        label, text, _ = licenses.TEMPLATES[place]
+        rows = [(i, f"{noise}. {text}. {noise}" if i % every == 0 else noise) for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        for r in licenses.scan_licenses(docs).collect():
+            if r.doc_id % every:
+                assert (r.labels, r.score) == ("", 0)
+            else:
+                assert label in r.labels.split(",") and r.score == 1
+
+
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
