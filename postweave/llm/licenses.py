@@ -4,11 +4,12 @@ Words are maximal runs of a-z, 0-9 and non-ASCII characters after lower-casing A
 holds, for every word of the licence templates, its positions in each. A first pass counts in
 how many documents each of these words occurs; words in more than ``max_share`` of all
 documents are left out of the lookup, but for the ``KEEP`` rarest of each template, so that a
-notice is found however many documents carry it. The second pass takes a file's ``top`` licence words of
-highest inverse document frequency, turns each occurrence into (template, position in the file
+notice is found however many documents carry it. The second pass takes each template whose
+mandatory key phrase stands in the file, with all of its words that are looked up, however many
+other notices the file holds. It turns each occurrence into (template, position in the file
 minus position in the template), and looks for the relative position that most occurrences
 agree on. A template is found when at least two and ``min_share`` of its looked-up positions
-agree and its mandatory key phrase stands in the file.
+agree.
 
 Base phrases are found as such, wherever their words stand consecutively.
 
@@ -66,7 +67,6 @@ TEMPLATES = [
      "mozilla public license"),
 ]
 
-TOP = 32
 KEEP = 8
 MAX_SHARE = 0.05
 MIN_SHARE = 0.5
@@ -122,8 +122,9 @@ def _most_common(offsets: Column) -> Column:
     return F.aggregate(F.array_sort(offsets), start, step, lambda a: a["best"])
 
 
-def _agreement(hits: Column, looked_up: Column, text: str, weights: dict[str, float]) -> Column:
-    """Share of a template's looked-up positions that agree on one relative position."""
+def _agreement(hits: Column, text: str, weights: dict[str, float]) -> Column:
+    """Share of a template's looked-up positions that agree on one relative position. Words that
+    the file lacks are not counted."""
     positions: dict[str, list[int]] = {}
     for i, w in enumerate(text.split()):
         if w in weights:
@@ -134,36 +135,29 @@ def _agreement(hits: Column, looked_up: Column, text: str, weights: dict[str, fl
     own = F.filter(hits, lambda h: h["word"].isin(*positions))
     offsets = F.flatten(F.transform(own, lambda h: F.transform(
         F.element_at(places, h["word"]), lambda q: h["place"] - q)))
-    expected = F.aggregate(looked_up, F.lit(0), lambda a, w: a + F.coalesce(F.size(F.try_element_at(places, w)), F.lit(0)))
+    present = F.array_distinct(F.transform(own, lambda h: h["word"]))
+    expected = F.aggregate(present, F.lit(0), lambda a, w: a + F.size(F.element_at(places, w)))
     return F.when(F.size(own) < 2, 0.0).otherwise(let(_most_common(offsets), lambda best: F.when(
         best >= 2, F.least(F.lit(1.0), best / F.greatest(expected, F.lit(1)))).otherwise(0.0)))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = TOP,
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
     """One row per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     weights = word_weights(docs, text_col, max_share)
     rows = docs.select(F.col(id_col).alias("_id"), plain(text_of(text_col)).alias("_plain"))
     rows = rows.select("_id", "_plain", words_of(F.col("_plain")).alias("_words"))
 
-    # The file's licence words of highest weight, and where they stand.
-    if weights:
-        ranked = F.array(*[F.struct(F.lit(-v).alias("w"), F.lit(k).alias("word")) for k, v in
-                           sorted(weights.items(), key=lambda kv: (-kv[1], kv[0]))])
-        own = F.array_intersect("_words", F.array(*map(F.lit, sorted(weights))))
-        best = F.when(F.size(own) < 2, F.array().cast("array<string>")).otherwise(F.slice(F.transform(
-            F.filter(ranked, lambda r: F.array_contains(own, r["word"])), lambda r: r["word"]), 1, top))
-    else:
-        best = F.array().cast("array<string>")
-    rows = rows.withColumn("_top", best)
+    # Where the looked-up words stand, in files that hold a key phrase.
+    has_key = reduce(lambda a, b: a | b, [F.contains("_plain", F.lit(f" {key} ")) for _, _, key in TEMPLATES])
     hits = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("word"), i.alias("place"))),
-                    lambda h: F.array_contains("_top", h["word"]))
+                    lambda h: h["word"].isin(*sorted(weights)))
     none = F.array().cast("array<struct<word:string,place:int>>")
-    rows = rows.withColumn("_hits", F.when(F.size("_top") < 2, none).otherwise(hits))
+    rows = rows.withColumn("_hits", F.when(has_key, hits).otherwise(none))
     found = F.array_compact(F.array(*[F.when(
         F.contains("_plain", F.lit(f" {key} ")), F.struct(
             F.lit(label).alias("label"),
-            _agreement(F.col("_hits"), F.col("_top"), text, weights).alias("share")))
+            _agreement(F.col("_hits"), text, weights).alias("share")))
         for label, text, key in TEMPLATES]))
     rows = rows.withColumn("_found", F.filter(found, lambda f: f["share"] >= min_share))
 

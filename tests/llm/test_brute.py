@@ -73,6 +73,15 @@ def test_license_notice_in_a_third_of_the_rows(spark):
                 assert label in r.labels.split(",") and r.score == 1
 
 
+def test_license_file_with_all_notices(spark):
+    """Every notice of a file is found, however many words of other notices stand in it."""
+    notices = ". ".join(text for _, text, _ in licenses.TEMPLATES)
+    rows = [(0, notices)] + [(i, "lorem ipsum dolor sit amet this is not the last of the words") for i in range(1, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = licenses.scan_licenses(docs).filter("doc_id = 0").first()
+    assert set(found.labels.split(",")) >= {label for label, _, _ in licenses.TEMPLATES}
+
+
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
