@@ -4,9 +4,13 @@ Two verdicts meet. The base rules look at one document: too few words, or too ma
 three-word windows that the text repeats. The cross-document rule hashes normalised lines
 (A-Z lower-cased, digits as one digit, white space removed), counts the documents of a host
 that contain each, and removes lines above the host's limit: more than ``max_share`` of its
-documents and more than ``min_docs``. A frequent line stays in one document, the one with the
-smallest id, so that copies never lose their text altogether. A document that keeps less than
-``min_left`` of its characters is depleted and rejected.
+documents and more than ``min_docs``. A frequent line stays in one document, its home. A document
+that keeps less than ``min_left`` of its characters is depleted and rejected.
+
+``score_quality`` follows the SQL of its query: the home is the smallest id of all documents with
+the line, which may itself be rejected. ``filter_quality`` takes the smallest id of those that
+pass the base rules and keeps every home, depleted or not, so that each frequent line of a document
+that passes them stands in one document of its result.
 
 A line above the limit takes more than a fixed share of a host's documents, so a host has at most
 1 / max_share times as many of them as its documents have lines on average. They come to each
@@ -82,12 +86,21 @@ def repeated_words(words: Column, width: int = 3) -> Column:
     return F.when(F.size(words) < width, 0).otherwise(let(hashes, of_hashes)).cast("long")
 
 
+def base_fails(n: Column, repeated: Column) -> Column:
+    """The base rules, from the words of a text and those in repeated windows."""
+    return (n < 50) | (100 * repeated > 50 * n)
+
+
 def frequent_lines(docs: DataFrame, host_col: str, id_col: str = "doc_id", text_col: str = "text",
-                   max_share: float = 0.01, min_docs: int = 20) -> DataFrame:
-    """One row per host that has any: _host, _lines: array of (hash, home)."""
+                   max_share: float = 0.01, min_docs: int = 20, passing_home: bool = False) -> DataFrame:
+    """One row per host that has any: _host, _frequent: array of (line, home). With ``passing_home``
+    only documents that pass the base rules can be a home."""
     lines = F.array_distinct(F.transform(lines_of(text_of(text_col)), line_hash))
-    keyed = docs.select(F.xxhash64(F.col(host_col)).alias("_host"), F.col(id_col).cast("long").alias("_id"),
-                        lines.alias("_lines"))
+    home = F.col(id_col).cast("long")
+    if passing_home:
+        failed = let(words_of(text_of(text_col)), lambda words: base_fails(F.size(words), repeated_words(words)))
+        home = F.when(~failed, home)
+    keyed = docs.select(F.xxhash64(F.col(host_col)).alias("_host"), home.alias("_id"), lines.alias("_lines"))
     sizes = keyed.groupBy("_host").agg(F.count("*").alias("_docs"))
     counted = (keyed.select("_host", "_id", F.explode("_lines").alias("_line"))
                .groupBy("_host", "_line").agg(F.count("*").alias("_n"), F.min("_id").alias("_home"))
@@ -98,15 +111,18 @@ def frequent_lines(docs: DataFrame, host_col: str, id_col: str = "doc_id", text_
 
 
 def _with_lines(docs: DataFrame, host_col: str, id_col: str, text_col: str, max_share: float,
-                min_docs: int) -> DataFrame:
-    """Documents with _text, _removed: hashes of the lines to remove from each."""
-    frequent = stored(frequent_lines(docs, host_col, id_col, text_col, max_share, min_docs), "lines")
+                min_docs: int, passing_home: bool = False) -> DataFrame:
+    """Documents with _text, _removed: hashes of the lines to remove from each, and _is_home: whether
+    the document is the home of any."""
+    frequent = stored(frequent_lines(docs, host_col, id_col, text_col, max_share, min_docs, passing_home), "lines")
     longest = frequent.agg(F.max(F.size("_frequent"))).first()[0] or 0
     joined = docs.withColumn("_host", F.xxhash64(F.col(host_col))).join(
         broadcast_within(frequent, 40 + 32 * longest, BROADCAST_BYTES), "_host", "left")
     others = F.filter("_frequent", lambda f: ~f["home"].eqNullSafe(F.col(id_col).cast("long")) & f["home"].isNotNull())
     removed = F.coalesce(F.transform(others, lambda f: f["line"]), F.array().cast("array<bigint>"))
-    return joined.withColumn("_text", text_of(text_col)).withColumn("_removed", removed).drop("_host", "_frequent")
+    own = F.exists("_frequent", lambda f: f["home"].eqNullSafe(F.col(id_col).cast("long")) & f["home"].isNotNull())
+    return joined.withColumn("_text", text_of(text_col)).withColumn("_removed", removed).withColumn(
+        "_is_home", F.coalesce(own, F.lit(False))).drop("_host", "_frequent")
 
 
 def _measures(rows: DataFrame, min_left: float) -> DataFrame:
@@ -126,7 +142,7 @@ def _measures(rows: DataFrame, min_left: float) -> DataFrame:
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": repeated_words(F.col("_words")),
         "lost_chars": lost.cast("long")})
-        .withColumn("base_failed", (n < 50) | (100 * repeated > 50 * n))
+        .withColumn("base_failed", base_fails(n, repeated))
         .withColumn("kept", ~F.col("base_failed") & (
             F.col("word_chars") - F.col("lost_chars") >= min_left * F.col("word_chars"))))
 
@@ -145,11 +161,13 @@ def score_quality(docs: DataFrame, host_col: str = "source", id_col: str = "doc_
 def filter_quality(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text",
                    chars_col: str | None = "n_chars", max_share: float = 0.01, min_docs: int = 20,
                    min_left: float = 0.5) -> DataFrame:
-    """The documents that are kept, without their frequent lines, and with all their columns;
+    """The documents that are kept, without their frequent lines, and with all their columns.
+    Homes of frequent lines are chosen among documents that pass the base rules, and are kept;
     ``chars_col``, if the table has it, is counted anew for texts that lost lines."""
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
     slim = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_from"), F.col(text_col).alias("_raw"), row)
-    rows = _measures(_with_lines(slim, "_from", "_id", "_raw", max_share, min_docs), min_left).filter("kept")
+    rows = _measures(_with_lines(slim, "_from", "_id", "_raw", max_share, min_docs, passing_home=True), min_left)
+    rows = rows.filter(F.col("kept") | (~F.col("base_failed") & F.col("_is_home")))
     cleaned = F.when(F.col("lost_chars") == 0, F.col("_raw")).otherwise(F.array_join(
         F.filter(F.split("_text", "\n"), lambda line: (F.btrim(line, F.lit(SPACES)) == "")
                  | ~F.array_contains("_removed", line_hash(line))), "\n"))

@@ -239,6 +239,18 @@ def test_quality_cross_document_lines(spark):
     assert clean[0].startswith("COOKIE") and clean[5] == body(5)
 
 
+def test_quality_filter_keeps_each_frequent_line_once(spark):
+    """Two overlapping groups whose first homes would be depleted, and a short page with the smallest id."""
+    line = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    shared, own, notice = line("shared", 60), line("own", 40), line("notice", 9)
+    rows = [(0, notice, "h"), (1, f"{shared}\n{line('early', 50)}", "h")]
+    rows += [(10 + i, f"{shared}\n{own}", "h") for i in range(30)]
+    rows += [(100 + i, f"{notice}\n{line(f'w{i}x', 60)}", "h") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(2)
+    kept = [r.text.split("\n") for r in quality.filter_quality(docs, chars_col=None).collect()]
+    assert [sum(x in text for text in kept) for x in (shared, own, notice)] == [1, 1, 1]
+
+
 def test_pieces_are_reproducible_and_sampled(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(40)
     one = {r.doc_id: r.piece_ids for r in pieces.encode(docs).collect()}
