@@ -2,7 +2,7 @@
 
 Two verdicts meet. The base rules look at one document: too few words, or too many words in
 three-word windows that the text repeats. The cross-document rule hashes normalised lines
-(A-Z lower-cased, digits as one digit, white space removed), counts the documents of a host
+(A-Z lower-cased, white space removed; digits stay as they are), counts the documents of a host
 that contain each, and removes lines above the host's limit: more than ``max_share`` of its
 documents and more than ``min_docs``. A frequent line stays in one document, its home. A document
 that keeps less than ``min_left`` of its characters is depleted and rejected.
