@@ -48,7 +48,6 @@ SQL: dict[str, str] = {}
 MEDIA_ROOT = "media"
 BATCH = 12
 VOCAB = 20_000
-TEXT_VOCAB = 2_000
 RANGE_ROWS = 250
 PATIENCE, THRESHOLD = 5, 0.39
 MODELS = ["view", "click", "signup", "purchase", "error"]
@@ -120,7 +119,7 @@ def scan_media_files(spark, folder):
 def checkpoint_classifier(spark, folder):
     """The loaded model predicts every row as the saved one does."""
     rows = T.split_vectors(spark, folder)
-    fitted = train.fit_linear_probe(rows.filter("split = 'train'"), reg=0.01, max_iter=20)
+    fitted = train.fit_linear_probe(rows.filter("split = 'train'"), reg=0.01)
     path = scratch_path(spark, "model")
     save_checkpoint(spark, fitted, path)
     loaded = load_checkpoint(spark, path)
@@ -864,7 +863,7 @@ def fit_mlp_head(spark, folder):
 def fit_text_classifier(spark, folder):
     rows = T.split_posts(spark, folder).select("post_id", "label", "tweet", "split")
     fit_rows = rows.filter("split = 'train'")
-    fitted = train.fit_text_classifier(fit_rows, vocab_size=TEXT_VOCAB)
+    fitted = train.fit_text_classifier(fit_rows)
     *stages, head = fitted.stages
     tfidf = text.tfidf_features(fit_rows, PipelineModel(stages=stages), "features")
     slim = tfidf.select("label", "features")
