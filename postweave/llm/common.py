@@ -40,3 +40,14 @@ def broadcast_within(df: DataFrame, row_bytes: int, max_bytes: int) -> DataFrame
     """Mark a stored table for broadcasting if its rows fit ``max_bytes``; else leave the
     join to shuffle. Either way the rows of the join are the same."""
     return F.broadcast(df) if df.count() * row_bytes <= max_bytes else df
+
+
+def broadcast_by_size(df: DataFrame, max_bytes: int) -> DataFrame:
+    """Mark a stored table for broadcasting if its values, measured with their strings, fit ``max_bytes``;
+    else leave the join to shuffle. Either way the rows of the join are the same."""
+    width = F.lit(16 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(F.col(name)), F.lit(0))
+    size = df.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweave.llm import chat, exact_dedup, licenses, minhash, mixing, pieces, pii, quality, urls, warc
-from postweave.llm.common import table
+from postweave.llm import chat, exact_dedup, langid, licenses, merkle, minhash, mixing, pieces, pii, quality, urls, variants, warc
+from postweave.llm.common import ascii_lower, table, text_of
 from postweave.session import scratch_path
 
 
@@ -77,13 +77,69 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+#: Fixed by the contract of the query: letters of a run, and one of how many runs loses a letter.
+RUN = "[A-Za-z\u00C0-\u00FF]+"
+LOSES_ONE_IN = 199
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.explode(
+        F.regexp_extract_all(ascii_lower(text_of("text")), F.lit(RUN), F.lit(0))).alias("run"))
+    # A run that is too short stays too short without a letter.
+    runs = runs.filter(F.length("run") >= variants.MIN_LENGTH).withColumn(
+        "_h", F.crc32(F.concat("_id", F.lit(":"), "run").cast("binary")))
+    place = (F.col("_h") % F.length("run")).cast("int")
+    less = F.concat(F.substr("run", F.lit(1), place), F.substr("run", place + 2))
+    words = runs.select(F.when(F.col("_h") % LOSES_ONE_IN == 0, less).otherwise(F.col("run")).alias("word"))
+    return variants.group_variants(variants.count_words(words))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    values = [tampered if c == "text" else F.col(c) for c in merkle.COLUMNS]
+    built = merkle.build_manifest(docs, carry={"now": merkle.leaf_of(values)})
+    folded = merkle.fold(F.col("now"), F.col("proof"))
+    return built.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("proof")).alias("proof_sha256"),
+                        folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: Fixed by the contract of the query: of three parts of the ids one is held out.
+HELD_OUT = 1
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == HELD_OUT
+    model = langid.fit_languages(docs.filter(~held_out))
+    return langid.identify_languages(docs, model, carry={"held_out": held_out})
+
+
 QUERIES = {f.__name__: f for f in [
     op1_exact_dedup, op2_warc, op3_mixing, op4_license_scan, op5_chat_format, op6_url_filter, op7_personal_data,
-    op8_quality_rules, op9_near_dedup, op10_sentencepiece]}
+    op8_quality_rules, op9_near_dedup, op10_sentencepiece, op11_spelling_variants, op12_merkle_manifest,
+    op13_language_id]}
 
 _FITS = " UNION ALL ".join(
     f"SELECT '{h}{p}' AS rule, '{h}' AS rule_host, '{p}' AS rule_path, '{v}' AS rule_verdict" for h, p, v in RULES)
 
+#: The unsigned crc32 of a text of code points up to 255, bit by bit.
+_BYTES = (r"""list_prepend(4294967295, flatten(list_transform(string_split({text}, ''), lambda c: CASE
+    WHEN c = '' THEN []::BIGINT[] WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+    ELSE [(192 + (unicode(c) >> 6))::BIGINT, (128 + (unicode(c) & 63))::BIGINT] END)))""")
+_CRC = ("""xor(4294967295::BIGINT, list_reduce(""" + _BYTES + """, lambda a, b: list_reduce(
+    list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))""")
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in [
+        "doc_id::VARCHAR", "source::VARCHAR", "lang::VARCHAR", "n_chars::VARCHAR", text]]
+    return f"sha256({' || '.join(parts)})"
+
+
 SQL = {
     "op1_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -169,4 +225,56 @@ SQL = {
         m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
         SELECT m.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, m.doc_id = component_id AS kept
         FROM m LEFT JOIN n ON n.doc_id = m.doc_id""",
+    "op11_spelling_variants": rf"""
+        WITH RECURSIVE
+        r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+        c AS (SELECT doc_id, run, count(*) AS times FROM r WHERE length(run) >= 6 GROUP BY doc_id, run),
+        h AS (SELECT *, {_CRC.format(text="(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h FROM c),
+        w AS (SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word,
+                     sum(times)::BIGINT AS n FROM h GROUP BY word HAVING sum(times) >= 5),
+        v AS (SELECT * FROM w WHERE length(word) >= 6),
+        g AS (SELECT word, i, word[:i - 1] || word[i + 1:] AS less FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+        l AS (SELECT a.word, b.word AS near FROM g a JOIN g b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+              UNION SELECT g.word, v.word FROM g JOIN v ON g.less = v.word
+              UNION SELECT v.word, g.word FROM g JOIN v ON g.less = v.word),
+        b AS (SELECT l.word, count(*) AS n_near, arg_min(near, struct_pack(m := -v.n, t := near)) AS best,
+                     max(v.n) AS best_n FROM l JOIN v ON v.word = l.near GROUP BY l.word),
+        f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 5 * v.n THEN best END AS form,
+                     CASE WHEN best_n >= 5 * v.n THEN best_n END AS form_n FROM v LEFT JOIN b ON b.word = v.word),
+        p(word, tip) AS (SELECT word, word FROM f UNION ALL SELECT p.word, f.form FROM p JOIN f ON f.word = p.tip WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, p.tip AS root, f.n, f.n_near, f.form_n
+        FROM f JOIN p ON p.word = f.word JOIN f z ON z.word = p.tip AND z.form IS NULL""",
+    "op12_merkle_manifest": rf"""
+        WITH RECURSIVE
+        d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS t, {_leaf_sql("text")} AS leaf,
+                     CASE WHEN {_CRC.format(text="coalesce(doc_id::VARCHAR, '')")} % 2 = 0 AND doc_id IS NOT NULL
+                          THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS now FROM documents),
+        k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+        a(t, lvl, pos, h, n) AS (
+            SELECT t, 0, pos, leaf, count(*) OVER (PARTITION BY t) FROM k UNION ALL
+            SELECT t, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM a WHERE n > 1
+            GROUP BY t, lvl, pos // 3, n),
+        s AS (SELECT t, lvl AS height, h AS subroot, row_number() OVER (ORDER BY t) - 1 AS spos FROM a WHERE n = 1),
+        u(lvl, pos, h, n) AS (
+            SELECT 0, spos, subroot, count(*) OVER () FROM s UNION ALL
+            SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM u WHERE n > 1
+            GROUP BY lvl, pos // 3, n),
+        root AS (SELECT h AS root FROM u WHERE n = 1),
+        x AS (SELECT row_number() OVER () AS id, k.*, subroot, spos, height FROM k JOIN s ON s.t = k.t),
+        step AS (
+            SELECT id, a.lvl, a.pos, a.h, a.pos = x.pos // (3 ** a.lvl)::BIGINT AS own
+            FROM x JOIN a ON a.t = x.t AND a.n > 1 AND a.pos // 3 = x.pos // (3 ** (a.lvl + 1))::BIGINT
+            UNION ALL
+            SELECT id, x.height + u.lvl, u.pos, u.h, u.pos = x.spos // (3 ** u.lvl)::BIGINT
+            FROM x JOIN u ON u.n > 1 AND u.pos // 3 = x.spos // (3 ** (u.lvl + 1))::BIGINT),
+        proof AS (SELECT id, string_agg(h, '' ORDER BY lvl, pos) AS siblings FROM step WHERE NOT own GROUP BY id),
+        fold(id, lvl, h) AS (
+            SELECT id, 0, now FROM x UNION ALL
+            SELECT fold.id, fold.lvl + 1, sha256(string_agg(CASE WHEN own THEN fold.h ELSE step.h END, '' ORDER BY pos))
+            FROM fold JOIN step ON step.id = fold.id AND step.lvl = fold.lvl GROUP BY fold.id, fold.lvl)
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256,
+               folded_root, folded_root = root AS verified
+        FROM x CROSS JOIN root LEFT JOIN proof ON proof.id = x.id
+             JOIN (SELECT id, arg_max(h, lvl) AS folded_root FROM fold GROUP BY id) y ON y.id = x.id""",
 }
