@@ -3,14 +3,14 @@
 Trie. A node is a prefix of some word, named by its 64-bit hash; kept are the root, prefixes that end a word and
 prefixes with several continuations. An edge leads from a kept node to the next one and carries the letters between
 them, so the number of levels is that of the forks along a word and not its length. The edge table is
-distributed and has one row per edge: level, node, label, child, the word that ends at the child, and the
-first letters that go on from there.
+distributed and has one row per edge: level, node, label, child, the word that ends at the child, the
+first letters that go on from there, and how many letters words have left at least and at most.
 
 Frontier. States are (word, position, node, edits). Level by level they are joined with the edges of their node. A
 state without an edit may match the label, or spend its edit in it: replace a letter, take one more from the label
 or pass over one of its own. A state with an edit must match. Insertions and deletions in a run of equal letters are taken at
 the run's end only, so every neighbour is reached on one path. A state goes on only if the child has an edge with its
-next letter. A state with one edit at the end of its word and at the end of another one is a pair of neighbours.
+next letter and words of a fitting length. A state with one edit at the end of its word and at the end of another one is a pair of neighbours.
 
 Upper levels have few edges, which are broadcast within a checked size; deeper ones are shuffled by node.
 
@@ -69,72 +69,110 @@ def trie_edges(words: DataFrame) -> DataFrame:
         i.alias("level"), at(i, "node", ROOT).alias("node"), at(i, "depth", 0).alias("start"),
         x["depth"].alias("end"), x["node"].alias("child")))).alias("_s")).select("word", "_s.*")
     steps = steps.withColumn("label", F.substr("word", F.col("start") + 1, F.col("end") - F.col("start")))
+    left = F.length("word") - F.col("end")
     edges = steps.groupBy("level", "node", "label", "child").agg(
-        F.max(F.when(F.col("end") == F.length("word"), F.col("word"))).alias("ends"))
+        F.max(F.when(left == 0, F.col("word"))).alias("ends"), F.min(left).alias("least"), F.max(left).alias("most"))
     edges = stored(edges, "trie-steps")
     following = edges.groupBy(F.col("node").alias("child")).agg(
         F.concat_ws("", F.collect_set(F.substring("label", 1, 1))).alias("nexts"))
-    return edges.join(following, "child", "left").withColumn("nexts", F.coalesce("nexts", F.lit("")))
+    return edges.join(following, "child", "left").withColumn("nexts", F.coalesce("nexts", F.lit(""))).withColumn(
+        "first", F.substring("label", 1, 1))
 
 
 def _agreement(head: Column, label: Column) -> Column:
     """How many letters two texts have in common at the start."""
     same = F.zip_with(F.split(head, ""), F.split(label, ""), lambda a, b: a.eqNullSafe(b))
     first = F.array_position(same, False).cast("int")
-    many = F.when(first == 0, F.length(label)).otherwise(first - 1)
-    return F.when(F.length(label) == 1, (F.substring(head, 1, 1) == label).cast("int")).otherwise(
-        F.when(head == "", 0).otherwise(many))
-
-
-def _advance(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """The states after one more edge: word, pos, node, edits, ends."""
-    joined = states.select("word", "pos", "node", "edits").join(edges.drop("level"), "node")
-    # A state with an edit can only follow the label that begins with its next letter.
-    joined = joined.filter((F.col("edits") == 0) | (
-        F.substr("word", F.col("pos") + 1, F.lit(1)) == F.substring("label", 1, 1)))
-    joined = joined.withColumn("size", F.length("label")).withColumn("left", F.length("word") - F.col("pos"))
-    joined = joined.withColumn("head", F.substr("word", F.col("pos") + 1, F.col("size") + 1))
-    joined = joined.withColumn("same", _agreement(F.expr("left(head, size)"), F.col("label")))
-    size, left, same, pos = (F.col(c) for c in ["size", "left", "same", "pos"])
+    return F.when(head == "", 0).when(first == 0, F.length(label)).otherwise(first - 1)
+
+
+def _letter(k: int) -> Column:
+    """The letter of the word that is k places after the position; empty past the end."""
+    return F.substr("word", F.col("pos") + 1 + k, F.lit(1))
+
+
+def _moved(joined: DataFrame, to: Column, edits: Column) -> DataFrame:
+    """The states at the child with which a neighbour can still be reached, and those that have reached one."""
+    moved = joined.select("word", to.cast("int").alias("pos"), F.col("child").alias("node"), edits.cast("int").alias("edits"),
+                          "ends", "nexts", "least", "most")
+    left, slack = F.length("word") - F.col("pos"), 1 - F.col("edits")
+    moved = moved.filter((left >= 0) & left.between(F.col("least") - slack, F.col("most") + slack))
+    found = (F.col("edits") == 1) & (left == 0) & F.col("ends").isNotNull()
+    goes_on = F.when(F.col("edits") == 0, F.col("nexts") != "").otherwise((left > 0) & F.contains(F.col("nexts"), _letter(0)))
+    return moved.filter(found | goes_on).select("word", "pos", "node", "edits", F.when(found, F.col("ends")).alias("ends"))
+
+
+def _advance(states: DataFrame, edges: DataFrame, small: bool) -> DataFrame:
+    """The states after one more edge: word, pos, node, edits, ends (where they have reached a neighbour).
+
+    Where the label has one letter, as near the root, edits are equi-joins: the letter after the edit must
+    go on from the child. ``small``: the edges may be broadcast."""
+    side = F.broadcast if small else lambda df: df
+    zero, one = F.lit(0), F.lit(1)
+    lettered = states.select("word", "pos", "node", "edits", _letter(0).alias("r0"), _letter(1).alias("r1"),
+                             (F.length("word") - F.col("pos")).alias("left"))
+    fresh = lettered.filter("edits = 0")
+    size, pos, left = F.length("label"), F.col("pos"), F.col("left")
+
+    # The label as it is; with an edit left, also without the word's last letter.
+    met = lettered.join(side(edges), (lettered["node"] == edges["node"]) & (F.col("r0") == F.col("first"))).drop(edges["node"])
+    met = met.filter((size == 1) | (F.substr("word", pos + 1, size) == F.col("label")))
+    parts = [_moved(met, pos + size, F.col("edits")),
+             _moved(met.filter((F.col("edits") == 0) & (left == size + 1)), pos + size + 1, one)]
+
+    # One letter replaced or taken: the child must go on with the letter that follows.
+    short = edges.filter(size == 1)
+    following = F.filter(F.split("nexts", ""), lambda c: c != "")
+    following = F.when(F.col("ends").isNull(), following).otherwise(F.array_append(following, F.lit("")))
+    paths = short.withColumn("next", F.explode(following))
+    for letter, to in (("r1", pos + 1), ("r0", pos)):
+        other = fresh.join(side(paths), (fresh["node"] == paths["node"]) & (F.col(letter) == F.col("next"))).drop(paths["node"])
+        # Past the end of the word there is nothing to replace.
+        allowed = (F.col("label") != F.col("r0")) & (left >= 1 if letter == "r1" else F.lit(True))
+        parts.append(_moved(other.filter(allowed), to, one))
+    passed = fresh.join(side(short), (fresh["node"] == short["node"]) & (F.col("r1") == F.col("first"))).drop(short["node"])
+    parts.append(_moved(passed.filter((left >= 2) & (F.col("r0") != F.col("r1"))), pos + 2, one))
+
+    # An edit within a longer label: the letters at its first two places tell most pairs apart.
+    long = edges.filter(size > 1).withColumn("second", F.substring("label", 2, 1))
+    pairs = fresh.join(side(long), fresh["node"] == long["node"]).drop(long["node"])
+    near = (F.col("first") == F.col("r0")) | (F.col("second") == F.col("r1")) | (F.col("second") == F.col("r0")) | (F.col("first") == F.col("r1"))
+    fits = (left - size).between(F.col("least") - 1, F.col("most") + 1)
+    pairs = pairs.filter(near & fits & (size <= left + 1))
+    pairs = pairs.withColumn("size", size).withColumn("head", F.substr("word", pos + 1, size + 1))
+    pairs = pairs.withColumn("same", _agreement(F.expr("left(head, size)"), F.col("label")))
+    size, same = F.col("size"), F.col("same")
 
     def text(col: str, start: Column, count: Column) -> Column:
-        return F.substr(col, start, F.greatest(count, F.lit(0)))
+        return F.substr(col, start, F.greatest(count, zero))
 
-    free = (F.col("edits") == 0) & (same < size)
+    free = same < size
     rest = text("label", same + 2, size - same - 1)  # of the label, after the letter that differs
-    replaced = free & (left >= size) & (text("head", same + 2, size - same - 1) == rest)
-    inserted = free & (left >= size - 1) & (text("head", same + 1, size - same - 1) == rest)
-    deleted = (free & (left > size) & (text("head", same + 2, size - same) == text("label", same + 1, size - same))) | (
-        (F.col("edits") == 0) & (same == size) & (left == size + 1))
-
-    def state(when: Column, to: Column, edits: Column) -> Column:
-        return F.when(when, F.struct(to.cast("int").alias("to"), edits.cast("int").alias("now")))
-
-    one = F.lit(1)
-    after = F.array_compact(F.array(
-        state(same == size, pos + size, F.col("edits")), state(replaced, pos + size, one),
-        state(inserted, pos + size - 1, one), state(deleted, pos + size + 1, one)))
-    moved = joined.withColumn("_s", F.explode(after)).select(
-        "word", F.col("_s.to").alias("pos"), F.col("child").alias("node"), F.col("_s.now").alias("edits"), "ends", "nexts")
-    over = F.col("pos") == F.length("word")
-    found = (F.col("edits") == 1) & over
-    goes_on = F.when(F.col("edits") == 0, F.col("nexts") != "").otherwise(
-        ~over & F.contains(F.col("nexts"), F.substr("word", F.col("pos") + 1, F.lit(1))))
-    return moved.withColumn("ends", F.when(found, F.col("ends"))).filter(F.col("ends").isNotNull() | goes_on).drop("nexts")
+    changed = [
+        (free & (left >= size) & (text("head", same + 2, size - same - 1) == rest), pos + size),
+        (free & (left >= size - 1) & (text("head", same + 1, size - same - 1) == rest), pos + size - 1),
+        (free & (left > size) & (text("head", same + 2, size - same) == text("label", same + 1, size - same)), pos + size + 1)]
+    ends = F.array_compact(F.array(*[F.when(when, to.cast("int")) for when, to in changed]))
+    parts.append(_moved(pairs.withColumn("_to", F.explode(ends)), F.col("_to"), one))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """(word, near): ordered pairs of words that differ by one inserted, deleted or replaced code point."""
     words = words.select("word")
     edges = stored(trie_edges(words), "trie-edges")
-    width = F.lit(64) + F.octet_length("label") + F.octet_length("nexts") + F.coalesce(F.octet_length("ends"), F.lit(0))
+    # Rows of an edge as they stand, or one for each letter that goes on from its child.
+    width = (F.lit(100) + F.octet_length("label") + F.octet_length("nexts") + F.coalesce(F.octet_length("ends"), F.lit(0))) * (
+        F.greatest(F.length("nexts"), F.lit(1)))
     sizes = dict(edges.groupBy("level").agg(F.sum(width.cast("long"))).collect())  # one row per level
     states = words.select("word", F.lit(0).alias("pos"), F.lit(ROOT).cast("long").alias("node"), F.lit(0).alias("edits"))
     pairs = states.select("word", F.lit(None).cast("string").alias("ends")).limit(0)
     for level in sorted(sizes):
-        here = edges.filter(F.col("level") == level)
-        here = F.broadcast(here) if sizes[level] <= BROADCAST_BYTES else here
-        states = stored(_advance(states, here), f"frontier{level}")
+        here = edges.filter(F.col("level") == level).drop("level")
+        states = stored(_advance(states, here, sizes[level] <= BROADCAST_BYTES), f"frontier{level}")
         pairs = pairs.union(states.filter("ends is not null").select("word", "ends"))
         states = states.filter("ends is null")
     # Names of nodes are hashes: the pair itself is checked, too.
