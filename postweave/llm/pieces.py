@@ -4,15 +4,15 @@ A text gets the leading space and the ``▁`` of the model's own convention and
 can cross: before each run of ``▁``. Over the pieces that fit a chunk's characters the forward
 filter sums path weights; the backward pass then samples one piece after another from the end,
 each in proportion to the weight of all paths that reach it. That draws every segmentation with its
-exact probability. The random numbers are a hash of the seed, the row key and the place in
+probability, up to the rounding of shares to single precision and of draws to 24 bits. The random numbers are a hash of the seed, the row key and the place in
 the text, so a row is cut the same way in every run and on every partition.
 
 A BPE vocabulary gives ranks instead of probabilities; rank r weighs (r + 1) ** -``alpha``, after the law
 of word frequencies. A larger alpha comes closer to the single best segmentation. Characters without a piece, the line feed
 and a literal ``▁`` are spelled as byte pieces, so every text comes back exactly.
 
-Chunks of half a million characters are filtered together: the distinct ones as columns of arrays, all
-ends of pieces of one length at a time, then one place of all chunks at a time. The vocabulary is read
+Chunks of half a million characters are filtered together: those that the task has no table of yet as columns of arrays, all
+ends of pieces of one length at a time, then one place of all chunks at a time. A task keeps its tables up to a fixed size. The vocabulary is read
 on the driver from ``model_file`` and broadcast: it is a file of fixed size (0.5 MB).
 
 Defined cases: null and empty texts have no pieces and decode to the empty text; a null key is a key of
@@ -42,6 +42,12 @@ CHAR_BASE = 0xD6E8FEB86659FD93
 GROUP = 1 << 19
 #: Private characters that stand for single bytes within a chunk.
 BYTE_BASE = 0xF0000
+#: A state below this is scaled up. In four places a weight of at least (vocabulary size) ** -MAX_ALPHA each
+#: takes it nowhere near underflow, and within a piece's reach ratios stay finite.
+SMALL = 1e-30
+MAX_ALPHA = 4.0
+#: Places of chunks whose tables a task keeps between groups of texts, at 128 bytes each.
+KEPT_PLACES = 400_000
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -72,6 +78,8 @@ class Lattice:
     """Piece weights, found by rolling hashes of the characters that they end at."""
 
     def __init__(self, vocabulary: dict, alpha: float) -> None:
+        if not 0 <= alpha <= MAX_ALPHA:
+            raise ValueError(f"alpha must be between 0 and {MAX_ALPHA}")
         ids = dict(vocabulary["pieces"])
         ranks = {i: r for r, i in enumerate(sorted(ids.values()))}
         self.weight = {name: float((ranks[i] + 1.0) ** -alpha) for name, i in ids.items()}
@@ -172,13 +180,58 @@ class Filtered:
             last = sums[:, -1]
             forward[state + 1] = last
             self.shares[row, :width] = sums / last[:, None]
-            if p % 32 == 31:  # only ratios within one piece's reach matter
-                low = state[last < 1e-100]
-                forward[(low + 1)[:, None] - np.arange(MAX_PIECE + 1)] *= 1e100
+            # Only ratios within one piece's reach matter: where the newest state is small, the states
+            # that a piece can still start from are divided by it.
+            if p % 4 == 3 and len(low := np.flatnonzero(last < SMALL)):
+                reach = (state[low] + 1)[:, None] - np.arange(min(p + 2, MAX_PIECE + 1))
+                forward[reach] /= last[low, None]
             row, state = row + 1, state + 1
 
 
-def sample(table: Filtered, which: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Tables:
+    """Filtered chunks that are kept from one group of texts to the next, up to ``KEPT_PLACES``.
+
+    Frequent words come again in every group; a chunk's table depends on the chunk alone."""
+
+    def __init__(self, lattice: Lattice, most: int = KEPT_PLACES) -> None:
+        self.lattice, self.most, self.ids = lattice, most, lattice.ids
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.used, self.size = 0, 0
+        self.starts, self.lengths = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.entries = np.zeros((0, MAX_PIECE), dtype=np.int32)
+        self.shares = np.zeros((0, MAX_PIECE), dtype=np.float32)
+
+    def _room(self, rows: int) -> None:
+        if self.used + rows > len(self.entries):
+            size = max(2 * len(self.entries), self.used + rows)
+            for name in ("entries", "shares"):
+                old = getattr(self, name)
+                new = np.empty((size, MAX_PIECE), dtype=old.dtype)
+                new[:self.used] = old[:self.used]
+                setattr(self, name, new)
+
+    def places_of(self, chunks: list[str]) -> np.ndarray:
+        """The number of each chunk's table; tables that are missing are made."""
+        if self.used > self.most:
+            self.clear()
+        known = self.known
+        new = [c for c in dict.fromkeys(chunks) if c not in known]
+        if new:
+            made = Filtered(self.lattice, new)
+            rows = len(made.entries)
+            self._room(rows)
+            self.entries[self.used:self.used + rows], self.shares[self.used:self.used + rows] = made.entries, made.shares
+            self.starts = np.concatenate([self.starts, made.starts + self.used])
+            self.lengths = np.concatenate([self.lengths, made.lengths])
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            self.used += rows
+        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+
+
+def sample(table: Filtered | Tables, which: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Backward sampling of many chunks at once: (ids in order, number of ids per chunk).
 
     ``which`` names the distinct chunk, ``keys`` and ``places`` the row key and the place in the text."""
@@ -223,8 +276,9 @@ def prepared(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def encode_texts(lattice: Lattice, texts: list[str], keys: list[int]) -> list[np.ndarray]:
+def encode_texts(lattice: Lattice, texts: list[str], keys: list[int], tables: Tables | None = None) -> list[np.ndarray]:
     """The sampled piece ids of each text; texts are taken together up to ``GROUP`` characters."""
+    tables = tables or Tables(lattice)
     parts: list[list[np.ndarray]] = [[] for _ in texts]
     chunks: list[str] = []
     owners: list[tuple[int, int, int]] = []  # (text, chunks, place of the first)
@@ -232,15 +286,14 @@ def encode_texts(lattice: Lattice, texts: list[str], keys: list[int]) -> list[np
     def flush() -> None:
         if not chunks:
             return
-        distinct = {c: i for i, c in enumerate(dict.fromkeys(chunks))}
-        which = np.fromiter(map(distinct.__getitem__, chunks), np.int64, len(chunks))
+        which = tables.places_of(chunks)
         counts = np.array([n for _, n, _ in owners], dtype=np.int64)
         widths = 4 * np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1
         ends = np.concatenate([[0], np.cumsum(widths)])
         base = np.array([place for _, _, place in owners], dtype=np.int64) - ends[np.cumsum(counts) - counts]
         places = ends[:-1] + np.repeat(base, counts)
         own = np.repeat(np.array([keys[t] for t, _, _ in owners], dtype=np.uint64), counts)
-        ids, sizes = sample(Filtered(lattice, list(distinct)), which, own, places)
+        ids, sizes = sample(tables, which, own, places)
         per = np.add.reduceat(sizes, np.cumsum(counts) - counts)
         for (t, _, _), some in zip(owners, np.split(ids, np.cumsum(per)[:-1])):
             parts[t].append(some)
@@ -297,6 +350,7 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, decoder = Lattice(shared.value, alpha), Decoder(shared.value)
+        tables = Tables(lattice)
         names = [f"_{k}" for k in range(width)] + ["n_pieces", "piece_ids"] + ["lossless"] * check
         for batch in batches:
             keys = [row_key(seed, key) for key in batch.column(width).to_pylist()]
@@ -306,7 +360,7 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", kee
                 while start + len(texts) < batch.num_rows and weight <= GROUP:
                     texts.append(batch.column(width + 1)[start + len(texts)].as_py())
                     weight += len(texts[-1])
-                found = encode_texts(lattice, texts, keys[start:start + len(texts)])
+                found = encode_texts(lattice, texts, keys[start:start + len(texts)], tables)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 columns = [c.slice(start, len(texts)) for c in batch.columns[:width]]
