@@ -15,7 +15,8 @@ archives, and tasks never share local folders.
 
 Defined cases: a null html is an empty payload, a null url leaves out the target URI (control
 characters in a URL are percent-encoded). A null id ranks last. Rows that repeat the
-winning id are responses too. An empty table writes no archive and reads as no rows. A
+winning id are responses too. URLs, headers and payloads of any length are read whole; a record is held by one task. Columns other
+than id, URL and html are left out, whatever their names. An empty table writes no archive and reads as no rows. A
 gzip member stored inside a payload without compression could be taken for a record at the
 start of a range; the writer compresses every payload, and ``block_digest_ok`` tells.
 """
@@ -38,7 +39,10 @@ from pyspark.sql import functions as F
 from postweave.llm.common import stored
 
 MAGIC = b"\x1f\x8b\x08"
+#: How a record begins, and what ends its headers.
+MARK, BLANK = b"WARC/1.", b"\r\n\r\n"
 SPLIT_BYTES = 8 << 20
+TASK_BYTES = 128 << 20
 CHUNK = 1 << 16
 SALTS = 16
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -132,6 +136,7 @@ def _decode(source: _Range) -> tuple[bytes, int] | None:
     """The record that starts at the window, and its compressed length; None if the bytes
     are no gzip member whose text begins with complete WARC headers."""
     unpacker, parts, read, checked = zlib.decompressobj(31), [], 0, False
+    head, tail = b"", b""
     try:
         while not unpacker.eof:
             more = source.fill(read + 1)
@@ -141,12 +146,12 @@ def _decode(source: _Range) -> tuple[bytes, int] | None:
             parts.append(unpacker.decompress(chunk))
             read += len(chunk)
             if not checked:
-                head = b"".join(parts)
-                if not b"WARC/1.".startswith(head[:7]):
-                    return None
-                checked = b"\r\n\r\n" in head
-                if not checked and len(head) > 1 << 20:
+                head += parts[-1][:len(MARK) - len(head)]
+                if not MARK.startswith(head):
                     return None
+                # Headers may be of any length; their end may lie across two chunks.
+                checked = BLANK in tail + parts[-1]
+                tail = (tail + parts[-1])[1 - len(BLANK):]
     except zlib.error:
         return None
     return (b"".join(parts), read - len(unpacker.unused_data)) if checked else None
@@ -199,19 +204,22 @@ def records_in(source, file: str, start: int, end: int, size: int) -> Iterator[d
         window.skip(decoded[1])
 
 
-def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES,
-              with_payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, with_payload: bool = True,
+              task_bytes: int = TASK_BYTES) -> DataFrame:
     """One row per record of all ``*.warc.gz`` below the folder, see READ_SCHEMA.
 
-    The driver lists files and ranges only. ``with_payload=False`` leaves payloads null once
-    their digests are computed."""
+    The driver lists the files; their ranges are made in Spark and dealt to tasks of about ``task_bytes``, or
+    to as many as there are cores. ``with_payload=False`` leaves payloads null once their digests are computed."""
     store, folder = pafs.FileSystem.from_uri(path)
-    files = store.get_file_info(pafs.FileSelector(folder, recursive=True, allow_not_found=True))
-    ranges = [(f.path, at, min(at + split_bytes, f.size), f.size) for f in files
-              if f.path.endswith(".warc.gz") for at in range(0, f.size, split_bytes)]
-    if not ranges:
+    files = [(f.path, f.size) for f in store.get_file_info(pafs.FileSelector(folder, recursive=True, allow_not_found=True))
+             if f.path.endswith(".warc.gz") and f.size]
+    if not files:
         return spark.createDataFrame([], READ_SCHEMA)
-    splits = spark.createDataFrame(ranges, "file string, start long, end long, size long")
+    ranges = sum(-(-size // split_bytes) for _, size in files)
+    tasks = max(min(ranges, spark.sparkContext.defaultParallelism * 4), -(-sum(size for _, size in files) // task_bytes))
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long")))
+    splits = spark.createDataFrame(files, "file string, size long").select("file", "size", starts.alias("start"))
+    splits = splits.select("file", "start", F.least(F.col("start") + split_bytes, "size").alias("end"), "size")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(path)
@@ -232,7 +240,7 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES,
         if held:
             yield pa.RecordBatch.from_pylist(held, schema=schema)
 
-    return splits.repartition(len(ranges), "file", "start").mapInArrow(read, READ_SCHEMA)
+    return splits.repartition(tasks, "file", "start").mapInArrow(read, READ_SCHEMA)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
