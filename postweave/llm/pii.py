@@ -13,7 +13,8 @@ and on rewritten forms of those spans: other separators for positives, broken ch
 255 for negatives. A few fixed windows make sure that every type occurs.
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned alike; a null id stays null;
-empty tables give empty results. Texts are scanned whole: windows start at digits and at signs, and windows of over
+empty tables give empty results. Extra columns are left out, whatever their names; of overlapping spans with equal scores the first path found stays. Texts are scanned
+whole: windows start at digits and at signs and run on to white space, and windows of over
 ``PIECE`` tokens are decoded in overlapping pieces. Every scan is linear in the text, whatever it repeats.
 """
 
@@ -23,6 +24,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postweave.llm.common import text_of
+from postweave.llm.common import SPACES, text_of
 
 KINDS = ["email", "ip", "card", "phone"]
 MAX_TOKENS = 24
 PIECE = 512
-#: Characters of a window on either side of a trigger.
+#: Characters of a window on either side of a trigger; it runs on to the next white space.
 AROUND = 40
 TRAIN_DOCS = 100
 MARGIN = 1.0
+BLANK = re.compile(r"[\x20\x09-\x0D]")
 TRIGGER = re.compile(r"[0-9@]|\[at\]|\(at\)")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 
@@ -125,12 +128,13 @@ def features(text: str, start: int, end: int) -> list[float]:
     letters = sum(c.isalpha() for c in span)
     before, after = text[start - 1:start], text[end:end + 1]
     groups = [g for g in re.split(r"[^0-9]+", span) if g]
-    shape_ip = bool(IP_SHAPE.match(span))
+    plain = span.replace("[.]", ".").replace("(.)", ".")
+    shape_ip = bool(IP_SHAPE.match(plain))
     bare = not letters
     return [
         1.0, 7 <= n <= 8, 9 <= n <= 12, 13 <= n <= 15, 16 <= n <= 19, n > 19 or n < 7,
         13 <= n <= 19 and bare and luhn(digits), 13 <= n <= 19 and not luhn(digits),
-        shape_ip and ip_parts_fit(span), shape_ip and not ip_parts_fit(span),
+        shape_ip and ip_parts_fit(plain), shape_ip and not ip_parts_fit(plain),
         span[0] == "+", span.count("(") != span.count(")"), bare and bool(PHONE_SHAPE.match(span)),
         bare and bool(CARD_SHAPE.match(span)), bool(EMAIL_SHAPE.match(span)), letters > 0, " " in span,
         len(groups) == 1, 2 <= len(groups) <= 5, len(groups) > 5,
@@ -148,7 +152,15 @@ def windows(text: str) -> Iterator[tuple[Window, int, int]]:
     runs: list[list[int]] = []
     for m in TRIGGER.finditer(text):
         low, high = max(0, m.start() - AROUND), m.end() + AROUND
-        if runs and low <= runs[-1][1]:
+        done = runs[-1][1] if runs else 0
+        if high <= done:
+            continue
+        # On to the next white space, so that no word is cut; what a window before has is not walked again.
+        while low > done and text[low - 1] not in SPACES:
+            low -= 1
+        after = BLANK.search(text, high)
+        high = after.start() if after else len(text)
+        if runs and low <= done:
             runs[-1][1] = high
         else:
             runs.append([low, high])
@@ -274,7 +286,8 @@ def rewritten(kind: str, span: str, rng: random.Random) -> list[tuple[str, str |
         return [(span.replace("@", rng.choice([" [at] ", "[at]", "(at)"])), kind), (span.replace("@", " "), None)]
     if kind == "ip":
         parts = span.split(".")
-        return [(".".join([*parts[:3], str(rng.randint(256, 999))]), None), (".".join(parts[:3]), None)]
+        dot, wide = rng.choice(["[.]", "(.)"]), [*parts[:3], str(rng.randint(256, 999))]
+        return [(".".join(wide), None), (".".join(parts[:3]), None), (dot.join(parts), kind), (dot.join(wide), None)]
     if kind == "card":
         grouped = rng.choice([".", "/"]).join(digits[i:i + 4] for i in range(0, len(digits), 4))
         broken = digits[:-1] + str((int(digits[-1]) + rng.randint(1, 9)) % 10)
@@ -330,13 +343,24 @@ def fit_field(texts: list[str], epochs: int = 20, rate: float = 0.5, seed: int =
 
 def added_spans(field: Field, text: str, base: list[tuple[str, int, int]], margin: float) -> list[tuple[str, int, int]]:
     """The field's spans that touch no base span."""
-    taken, found = sorted((s, e) for _, s, e in base), []
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, s, e in sorted(base, key=lambda x: x[1]):  # spans of different kinds may overlap
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    found = []
     for window, low, high in windows(text):
         for kind, s, e, score in field.best(window):
             start, end = window.bounds[s][0], window.bounds[e - 1][1]
-            if low <= s < high and score >= margin and all(end <= a or b <= start for a, b in taken):
+            # The first span that ends after the start must begin at or after the end.
+            at = bisect_right(ends, start)
+            if low <= s < high and score >= margin and (at == len(starts) or starts[at] >= end):
                 found.append((kind, start, end))
-                taken.append((start, end))
+                starts.insert(at, start)
+                ends.insert(at, end)
     return found
 
 
