@@ -1,8 +1,8 @@
 """Chat formatting with typed content parts.
 
 A turn's content is a list of parts: text, image, audio or document. The visitor renders
-the parts in order: a text is escaped, any other part becomes a numbered placeholder, whose
-reference and expanded token count are recorded beside the output. A turn reads
+the parts in order: a text is escaped, any other part becomes a placeholder with its number among
+the turn's parts (from 0), under which its reference and expanded token count are recorded beside the output. A turn reads
 
     <|turn|>role<|body|>content<|end|>
 
@@ -16,7 +16,8 @@ place in the conversation, until ``join_turns`` puts a conversation into one row
 Defined cases: null text is an empty text, null role an empty role, null parts none. Turns are
 ordered by number, those without one last, and ties by role, then content, so repeated rows
 stay as equal neighbours. Rows without a conversation id form one conversation of their own.
-Parts of an unknown kind are placeholders without extra tokens. A conversation must fit in one
+Parts of an unknown kind are placeholders without extra tokens; equal parts have attachments of their own. Texts of any length
+are formatted whole; columns that are not named, such as ones called like the results, are left out. A conversation must fit in one
 row, as its formatted text does; nothing else gathers it.
 """
 
@@ -66,7 +67,6 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     parts = F.coalesce(parts if parts is not None else text_part("text"), F.array().cast(PART_TYPE))
     base = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("_turn"),
                         F.coalesce(F.col(role_col), F.lit("")).alias("_role"), parts.alias("_parts"))
-    others = F.filter("_parts", lambda p: ~_is_text(p))
     content = F.array_join(F.transform("_parts", lambda p, i: F.when(
         _is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(
         F.concat(F.lit("<|"), F.coalesce(escape(p["kind"]), F.lit("")), F.lit(":"),
@@ -74,9 +74,10 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     head = F.concat(F.lit(TURN), escape(F.col("_role")), F.lit(BODY))
     shaped = base.select(
         "conv_id", "_turn", "_role", content.alias("_content"), head.alias("_head"),
-        F.transform(others, lambda p: F.struct(
-            F.array_position("_parts", p).alias("place"), p["kind"].alias("kind"),
-            p["ref"].alias("ref"), _tokens(p).alias("tokens"))).alias("attachments"))
+        # The index is the one in the placeholder, also where parts are equal.
+        F.array_compact(F.transform("_parts", lambda p, i: F.when(~_is_text(p), F.struct(
+            i.alias("part"), p["kind"].alias("kind"), p["ref"].alias("ref"),
+            _tokens(p).alias("tokens"))))).alias("attachments"))
     shaped = shaped.withColumn("segment", F.concat("_head", "_content", F.lit(END)))
     order = [F.col("_turn").asc_nulls_last(), F.col("_role"), F.col("_content")]
     before = Window.partitionBy("conv_id").orderBy(*order)
@@ -93,7 +94,8 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 def join_turns(turns: DataFrame) -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans, loss_turns, attachments,
-    expanded_tokens. ``loss_turns`` numbers the masked turns, ``loss_spans`` their bodies."""
+    expanded_tokens. ``loss_turns`` numbers the masked turns, ``loss_spans`` their bodies. An attachment names the
+    turn by its place, and the part by the number in its placeholder."""
     rows = F.sort_array(F.collect_list(F.struct(
         "place", "segment", "body_start", "body_end", "in_loss", "attachments")))
     grouped = turns.groupBy("conv_id").agg(rows.alias("_rows"), F.sum("expanded_tokens").alias("expanded_tokens"))
@@ -102,7 +104,9 @@ def join_turns(turns: DataFrame) -> DataFrame:
         "conv_id", F.array_join(F.transform("_rows", lambda r: r["segment"]), "").alias("formatted"),
         F.transform(masked, lambda r: F.struct(r["body_start"].alias("start"), r["body_end"].alias("end"))).alias("loss_spans"),
         F.transform(masked, lambda r: r["place"]).alias("loss_turns"),
-        F.flatten(F.transform("_rows", lambda r: r["attachments"])).alias("attachments"), "expanded_tokens")
+        F.flatten(F.transform("_rows", lambda r: F.transform(r["attachments"], lambda a: F.struct(
+            r["place"].alias("place"), a["part"].alias("part"), a["kind"].alias("kind"), a["ref"].alias("ref"),
+            a["tokens"].alias("tokens"))))).alias("attachments"), "expanded_tokens")
 
 
 def read_turns(formatted: DataFrame) -> DataFrame:

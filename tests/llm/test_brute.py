@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import compare
 from postweave.llm import chat, licenses, minhash, mixing, pieces, pii, quality, queries, urls, warc
@@ -281,6 +282,46 @@ def test_sampling_follows_path_weights():
         assert abs(drawn[path] / n - w / z) < 0.01
 
 
+@pytest.mark.parametrize("alpha", [0.5, 1.0, 3.0])
+def test_sampling_after_many_rare_characters(alpha):
+    """The tail's frequencies after a long lead are those of its paths: the lead's single way carries over."""
+    vocabulary = {"pieces": {"▁": 30_000, "a": 3, "b": 4, "ab": 5, "ba": 7, "aba": 8, **{chr(0x4e00 + i): 20_000 + i for i in range(8)}},
+                  "bytes": list(range(31_000, 31_256)), "size": 32_000}
+    lattice = pieces.Lattice(vocabulary, alpha)
+    lattice.weights[:len(lattice.weight)] = [(i + 1.0) ** -alpha for i in lattice.ids[:len(lattice.weight)]]
+    weight, tail = {name: (i + 1.0) ** -alpha for name, i in vocabulary["pieces"].items()}, "abaab"
+
+    def paths(at):
+        if at == len(tail):
+            return [((), 1.0)]
+        return [((vocabulary["pieces"][tail[at:e]], *rest), weight[tail[at:e]] * w) for e in range(at + 1, len(tail) + 1)
+                if tail[at:e] in weight for rest, w in paths(e)]
+
+    exact = dict(paths(0))
+    z, n = sum(exact.values()), 6000
+    rare = "".join(chr(0x4e00 + i % 8) for i in range(300)) + "\U0001f600" * 80
+    table = pieces.Filtered(lattice, ["▁" + rare + tail])
+    assert np.isfinite(table.shares).all()
+    found = pieces.encode_texts(lattice, [rare + tail] * n, [pieces.row_key(0, i) for i in range(n)])
+    drawn = Counter(tuple(x.tolist()[1 + 300 + 320:]) for x in found)
+    assert set(drawn) <= set(exact)
+    for path, w in exact.items():
+        assert abs(drawn[path] / n - w / z) < 0.03
+
+
+def test_kept_tables_draw_the_same(monkeypatch):
+    vocabulary = pieces.load_vocabulary()
+    lattice, rng = pieces.Lattice(vocabulary, 1.0), random.Random(9)
+    words = ["".join(rng.choice("abcdé漢") for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(60)]
+    alone = [pieces.encode_texts(lattice, [t], [i])[0].tolist() for i, t in enumerate(texts)]
+    for most in (0, 500, 10 ** 6):
+        tables, monkeyed = pieces.Tables(lattice, most), []
+        for start in range(0, 60, 7):
+            monkeyed += pieces.encode_texts(lattice, texts[start:start + 7], list(range(start, min(start + 7, 60))), tables)
+        assert [x.tolist() for x in monkeyed] == alone
+
+
 def test_lossless_for_any_text():
     vocabulary = pieces.load_vocabulary()
     lattice, decoder, rng = pieces.Lattice(vocabulary, 1.0), pieces.Decoder(vocabulary), random.Random(4)
@@ -290,6 +331,33 @@ def test_lossless_for_any_text():
         assert decoder.text(ids.tolist()) == text
 
 
+def test_warc_long_headers_and_damage(spark):
+    """URLs beyond any chunk are read back; damaged bytes cost the record that they lie in, no other one."""
+    rng = random.Random(6)
+    hard = "http://h/" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(2 << 20))
+    rows = [(1, hard, "<p>1</p>" * 400, "x", 1), (2, "http://two", None, "x", 1), (3, hard[:-1], "y" * 900, "x", 1),
+            (4, "http://four", "z" * 5000, "x", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, file string, offset long").coalesce(1)
+    path = scratch_path(spark, "warc")
+    warc.write_warc(warc.assign_revisits(pages), path).collect()
+    for split_bytes in (1 << 16, 1 << 20, 1 << 30):
+        found = {r.page_id: r for r in warc.read_warc(spark, path, split_bytes=split_bytes).collect()}
+        assert {i: (r.url, r.payload.decode()) for i, r in found.items()} == {r[0]: (r[1], r[2] or "") for r in rows}
+    offsets = sorted((r.offset, r.page_id) for r in found.values())
+    file = found[1].file
+    data = bytearray(open(file, "rb").read())
+    hurt = next(i for (at, i) in offsets if i == 3)
+    place = dict((i, at) for at, i in offsets)[hurt] + 5000
+    data[place:place + 64] = b"\x00" * 64
+    with open(file, "wb") as out:
+        out.write(data)
+    import os
+    crc = os.path.join(os.path.dirname(file), f".{os.path.basename(file)}.crc")
+    assert not os.path.exists(crc)
+    for split_bytes in (1 << 16, 1 << 30):
+        assert sorted(r.page_id for r in warc.read_warc(spark, path, split_bytes=split_bytes).collect()) == [1, 2, 4]
+
+
 def test_warc_round_trip(spark):
     same = "x" * 2000
     rows = [(1, "http://a/\r\nb", same), (2, None, same), (3, "http://c", same), (4, "http://d", None), (5, "u", "short"),
@@ -356,8 +424,14 @@ def test_chat_parts_and_escapes(spark):
         named_struct('kind', 'document', 'text', null, 'ref', 'b.pdf', 'units', 3)) AS parts""")
     r = chat.join_turns(chat.format_turns(parts, parts=parts["parts"].cast(chat.PART_TYPE))).first()
     assert r.formatted == "<|turn|>user<|body|>see <\\|image:1|><|image:1|> and <|document:3|><|end|>"
-    assert [(a.place, a.kind, a.ref, a.tokens) for a in r.attachments] == [
-        (2, "image", "s3://a.png", 512), (4, "document", "b.pdf", 1536)] and r.expanded_tokens == 2048
+    assert [(a.place, a.part, a.kind, a.ref, a.tokens) for a in r.attachments] == [
+        (1, 1, "image", "s3://a.png", 512), (1, 3, "document", "b.pdf", 1536)] and r.expanded_tokens == 2048
+    # Equal parts, and several turns: every placeholder has its attachment.
+    twice = parts.union(parts.withColumn("turn", F.lit(1).cast("long"))).withColumn("parts", F.concat("parts", F.slice("parts", 2, 1), F.slice("parts", 2, 1)))
+    r = chat.join_turns(chat.format_turns(twice, parts=F.col("parts").cast(chat.PART_TYPE))).first()
+    turns = r.formatted.split("<|end|>")[:2]
+    shown = [(t, int(m[2]), m[1]) for t, text in enumerate(turns, 1) for m in re.finditer(r"<\|(\w+):(\d+)\|>", text)]
+    assert shown == [(a.place, a.part, a.kind) for a in r.attachments] and len(shown) == 8
 
 
 def test_pipeline_keeps_one_of_each_group(spark, folder, texts):
