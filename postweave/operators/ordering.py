@@ -20,11 +20,18 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from postweave.functions import bind, seeded_hash
+from postweave.session import stored
 
 ROWS_PER_RANGE = 1_000_000
 SAMPLE_PER_RANGE = 20
 #: A range may hold so many times the rows it should before equal keys are refused.
 MOST_UNEVEN = 20
+#: Boundaries that a plan holds as constants; more ranges than that are found by way of tables.
+LITERAL_RANGES = 1_000
+#: Tasks that ranges found by tables are dealt to at most; a task takes several of them one by one.
+MOST_PARTS = 20_000
+#: Parts that the rows of a coarse range are dealt to while they look up their range.
+RANGE_SALTS = 16
 #: Ranges that one lookup of a key cuts what is left into.
 LOOKUP_RANGES = 100
 #: Key rows among which a lookup picks its own; only these reach the driver.
@@ -72,7 +79,7 @@ def _boundaries(df: DataFrame, keys: Sequence[str], rows: int, ranges: int) -> l
     """About ``ranges - 1`` key rows that cut the table evenly.
 
     Only balance depends on the sample, so it need not be the same every time. It
-    holds about 20 key rows per range, at most 200k rows.
+    holds about 20 key rows per range, of which a plan has at most ``LITERAL_RANGES``.
     """
     fraction = min(1.0, ranges * SAMPLE_PER_RANGE / rows)
     sample = df.select(*keys).sample(fraction, seed=17).orderBy(*keys).collect()
@@ -135,6 +142,67 @@ def _ranges(
     return _Ranges(of_row, starts, sizes)
 
 
+def _search_steps(size: int) -> Column:
+    """Halving steps for a table of at most ``size`` entries."""
+    largest = 1 << (size.bit_length() - 1) if size else 0
+    return F.array(*[F.lit(largest >> k) for k in range(largest.bit_length())])
+
+
+def _found_in(table: Column, steps: Column, value: Column) -> Column:
+    """How many entries of a sorted array are at or below the value."""
+
+    def advance(found: Column, step: Column) -> Column:
+        return F.when(F.get(table, found + step - 1) <= value, found + step).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), advance)
+
+
+def _ranged_by_tables(df: DataFrame, keys: Sequence[str], rows: int, rows_per_range: int) -> DataFrame:
+    """``_coarse`` and ``_key_range`` of each row, for any number of ranges.
+
+    Coarse boundaries, about the root of the number of ranges, are constants; the boundaries within a
+    coarse range come from its part of a sample, as one row per coarse range, and rows meet them in a
+    shuffled join. Neither the boundaries nor the sample pass through the driver."""
+    ranges = math.ceil(rows / rows_per_range)
+    count = math.ceil(math.sqrt(ranges))
+    key = _key_struct(keys)
+    coarse = _range_by_search(df, keys, _boundaries(df, keys, rows, count))
+    fraction = min(1.0, ranges * SAMPLE_PER_RANGE / rows)
+    sample = df.select(*keys).sample(fraction, seed=19).select(coarse.alias("_coarse"), key.alias("_key"))
+    in_order = Window.partitionBy("_coarse").orderBy("_key")
+    cuts = sample.withColumn("_place", F.row_number().over(in_order)).filter(F.col("_place") % SAMPLE_PER_RANGE == 0)
+    tables = cuts.groupBy("_coarse").agg(F.sort_array(F.collect_set("_key")).alias("_cuts"))  # about ``count`` keys
+    most = stored(tables, "cuts")
+    longest = most.agg(F.max(F.size("_cuts"))).first()[0] or 0
+    copies = most.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(RANGE_SALTS - 1))))
+    salted = df.withColumn("_coarse", coarse).withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(RANGE_SALTS)).cast("int"))
+    joined = salted.join(copies.hint("shuffle_hash"), ["_coarse", "_salt"], "left")
+    fine = F.coalesce(bind(key, lambda k: _found_in(F.col("_cuts"), _search_steps(longest), k)), F.lit(0))
+    of_row = F.col("_coarse").cast("long") * (longest + 1) + fine
+    return joined.withColumn(_RANGE, of_row).drop("_cuts", "_salt")
+
+
+def _index_by_tables(df: DataFrame, keys: Sequence[str], out: str, rows: int, rows_per_range: int) -> DataFrame:
+    """Positions for any number of ranges: offsets are a table, summed within coarse ranges and over them."""
+    ranged = _ranged_by_tables(df, keys, rows, rows_per_range)
+    sizes = stored(ranged.groupBy("_coarse", _RANGE).agg(F.count("*").alias("_n")), "range-sizes")
+    if sizes.agg(F.max("_n")).first()[0] > MOST_UNEVEN * rows_per_range:
+        raise ValueError("too many rows with equal order keys; add a key that tells them apart")
+    earlier = Window.unboundedPreceding, -1
+    whole = sizes.groupBy("_coarse").agg(F.sum("_n").alias("_n"))
+    above = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_coarse").rowsBetween(*earlier)), F.lit(0))
+    tops = whole.select("_coarse", above.alias("_above"))  # one row per coarse range
+    within = F.coalesce(F.sum("_n").over(Window.partitionBy("_coarse").orderBy(_RANGE).rowsBetween(*earlier)), F.lit(0))
+    starts = sizes.withColumn("_within", within).join(tops, "_coarse").select(
+        _RANGE, (F.col("_above") + F.col("_within")).alias("_start"))
+    starts = stored(starts, "range-starts")
+    parts = min(math.ceil(rows / rows_per_range), MOST_PARTS)
+    order = Window.partitionBy(_RANGE).orderBy(*keys)
+    placed = ranged.drop("_coarse").repartition(parts, F.col(_RANGE)).withColumn("_place", F.row_number().over(order))
+    joined = placed.join(starts.hint("shuffle_hash"), _RANGE)
+    return joined.withColumn(out, F.col("_start") + F.col("_place") - 1).select(*df.columns, out)
+
+
 def dense_index(
     df: DataFrame,
     order_by: str | Sequence[str],
@@ -147,8 +215,10 @@ def dense_index(
     ``spread`` may give the range of a row without a sample, for keys whose
     distribution is known (it must grow with the key).
     """
-    keys = _key_list(order_by)
-    ranges = _ranges(df, keys, df.count(), rows_per_range, spread)
+    keys, rows = _key_list(order_by), df.count()
+    if spread is None and rows > rows_per_range * LITERAL_RANGES:
+        return _index_by_tables(df, keys, out, rows, rows_per_range)
+    ranges = _ranges(df, keys, rows, rows_per_range, spread)
     starts = F.expr("array(" + ",".join(f"{s}L" for s in ranges.starts) + ")")
     order = Window.partitionBy(_RANGE).orderBy(*keys)
     return (

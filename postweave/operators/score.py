@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postweave import functions as PF
+from postweave.operators.networks import TrainedNetwork
 from postweave.operators.train import SoftmaxHead
 
 
@@ -35,7 +36,7 @@ def score_split(
     model, df: DataFrame, keep: list[str] | None = None, col: str = "features"
 ) -> DataFrame:
     """``label, prediction`` (and ``keep``) of a fitted model on held-out rows."""
-    if isinstance(model, SoftmaxHead):
+    if isinstance(model, (SoftmaxHead, TrainedNetwork)):
         scored = model.transform(df, col)
     else:
         ready = df

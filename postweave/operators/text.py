@@ -254,3 +254,11 @@ def tfidf_features(df: DataFrame, model: PipelineModel, out: str = "text_feature
     """Add the TF-IDF vector as array<double>."""
     weighted = model.transform(df)
     return weighted.withColumn(out, vector_to_array("_tfidf")).drop("_words", "_counts", "_tfidf")
+
+
+def tfidf_terms(df: DataFrame, model: PipelineModel, out: str = "text_terms") -> DataFrame:
+    """Add the TF-IDF vector as a struct of ``terms`` and ``values``: only the terms that occur, in any
+    number of dimensions."""
+    entries = F.unwrap_udt(F.col("_tfidf"))
+    sparse = F.struct(entries["indices"].alias("terms"), entries["values"].alias("values"))
+    return model.transform(df).withColumn(out, sparse).drop("_words", "_counts", "_tfidf")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,29 +52,6 @@ def fit_linear_probe(
     return model.fit(_with_vector(train, col))
 
 
-def fit_mlp_head(
-    train: DataFrame,
-    classes: int,
-    col: str = "features",
-    label: str = "label",
-    hidden: int = 512,
-    max_iter: int = 100,
-    seed: int = 50,
-) -> Transformer:
-    """Feature to hidden layer to classes; the hidden layer is a sigmoid, without dropout."""
-    first = train.select(F.size(col).alias("width")).first()
-    if first is None:
-        raise ValueError("no training rows")
-    model = MultilayerPerceptronClassifier(
-        layers=[first["width"], hidden, classes],
-        featuresCol="_vector",
-        labelCol=label,
-        maxIter=max_iter,
-        seed=seed,
-    )
-    return model.fit(_with_vector(train, col))
-
-
 def fit_text_classifier(
     train: DataFrame,
     col: str = "tweet",

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +26,7 @@ from postweave.operators import history as epochs
 from postweave.operators import vectors as vec
 from postweave.plans import experiment
 from postweave.plans import tables as T
+from postweave.plans.network_sql import erf_sql
 from postweave.plans.training_sql import head_sql, report_sql
 from postweave.schema import DISPLAY_NAMES
 from postweave.session import scratch_path
@@ -589,15 +589,8 @@ def linear_project_wide(spark, folder):
     return _long(rows, ["vec_id"], "projected", "out")
 
 
-def _erf_sql(z: str) -> str:
-    """The error function as its series of positive terms."""
-    series = f"""list_sum(list_transform(range(121),
-      lambda n: pow(abs({z}), 2 * n + 1) / gamma(n + 1.5)))"""
-    return f"(CASE WHEN abs({z}) > 6 THEN sign({z}) ELSE sign({z}) * exp(-{z} * {z}) * {series} END)"
-
-
 def _gelu_sql(y: str) -> str:
-    return f"({y} * 0.5 * (1 + {_erf_sql(f'({y} / sqrt(2))')}))"
+    return f"({y} * 0.5 * (1 + {erf_sql(f'({y} / sqrt(2))')}))"
 
 
 @query(
@@ -786,7 +779,6 @@ def _residual(
     reg: float,
     weight: str | None = None,
     col: str = "features",
-    digits: int = 2,
 ) -> DataFrame:
     """Per class the largest entry of the gradient of the penalised loss, to a few digits.
 
@@ -814,7 +806,7 @@ def _residual(
     )
     each = F.array(*[F.struct(F.lit(k).alias("class"), F.col(f"m{k}").alias("m")) for k in range(classes)])
     return largest.select(F.inline(each)).select(
-        "class", (F.round("m", digits) + F.lit(0.0)).alias("residual")
+        "class", (F.round("m", 2) + F.lit(0.0)).alias("residual")
     )
 
 
@@ -838,38 +830,6 @@ def fit_weighted_probe(spark, folder):
     return _residual(weighted, fitted.coefficientMatrix, fitted.interceptVector, 0.01, "weight")
 
 
-@query(
-    f"""{VECTORS} SELECT label, count(*) AS n_rows, count(*) AS n_same FROM vectors
-    WHERE split = 'valid' GROUP BY label"""
-)
-def fit_mlp_head(spark, folder):
-    """A forward pass from the fitted weights predicts every held-out row as the model does."""
-    rows = T.split_vectors(spark, folder)
-    hidden, classes, width = 32, 10, 64
-    fitted = train.fit_mlp_head(rows.filter("split = 'train'"), classes, hidden=hidden)
-    flat = fitted.weights.toArray()
-    cut = (width + 1) * hidden
-    first = flat[: width * hidden].reshape(hidden, width, order="F")
-    second = flat[cut : cut + hidden * classes].reshape(classes, hidden, order="F")
-    valid = score.score_split(fitted, rows.filter("split = 'valid'"), ["vec_id", "features"])
-    inner = PF.project(F.col("features"), first, flat[width * hidden : cut])
-    inner = F.transform(inner, lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x)))
-    logits = PF.project(inner, second, flat[cut + hidden * classes :])
-    same = F.count_if(F.col("prediction") == PF.argmax(logits))
-    return valid.groupBy("label").agg(F.count("*").alias("n_rows"), same.alias("n_same"))
-
-
-@query(_zeros(6))
-def fit_text_classifier(spark, folder):
-    rows = T.split_posts(spark, folder).select("post_id", "label", "tweet", "split")
-    fit_rows = rows.filter("split = 'train'")
-    fitted = train.fit_text_classifier(fit_rows)
-    *stages, head = fitted.stages
-    tfidf = text.tfidf_features(fit_rows, PipelineModel(stages=stages), "features")
-    slim = tfidf.select("label", "features")
-    return _residual(slim, head.coefficientMatrix, head.interceptVector, 0.01, digits=1)
-
-
 @query(_zeros(6))
 def fit_fused_classifier(spark, folder):
     rows = _aligned(spark, folder).filter("split = 'train'")

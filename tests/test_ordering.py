@@ -139,3 +139,38 @@ def test_equal_keys_are_refused_by_the_index_and_found_by_the_lookup(spark):
     nearly = same.union(spark.range(3).select((F.col("id") * 100).cast("int").alias("k")))
     found = [ordering.key_at(nearly, i, "k", lookup_rows=RANGE)["k"] for i in (0, 1, 1999, 2001, 2002)]
     assert found == [0, 7, 7, 100, 200]
+
+
+@pytest.mark.parametrize("keys", [["id"], ["word", "id"]])
+def test_index_by_tables(spark, monkeypatch, keys):
+    monkeypatch.setattr(ordering, "LITERAL_RANGES", 3)
+    monkeypatch.setattr(ordering, "RANGE_SALTS", 3)
+    check_index(numbers(spark), keys)
+    check_index(numbers(spark).withColumn("word", F.nullif("word", F.lit("hot"))), keys)
+    same = ordering.dense_index(numbers(spark).repartition(13), keys, rows_per_range=RANGE)
+    other = ordering.dense_index(numbers(spark).repartition(2), keys, rows_per_range=RANGE)
+    assert same.exceptAll(other).count() == 0 and same.columns == ["id", "word", "row_idx"]
+
+
+def test_index_by_tables_refuses_equal_keys(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "LITERAL_RANGES", 3)
+    equal = spark.range(4000).select(F.lit(1).alias("id"))
+    with pytest.raises(ValueError):
+        ordering.dense_index(equal, "id", rows_per_range=50)
+
+
+def test_many_ranges_leave_little_on_the_driver(spark, monkeypatch):
+    """1e5 ranges: key rows that reach the driver, and the size of the plan."""
+    monkeypatch.setattr(ordering, "MOST_PARTS", 8)
+    seen, cut = [], ordering._boundaries
+
+    def counted(df, keys, rows, ranges):
+        seen.append(min(rows, ranges * ordering.SAMPLE_PER_RANGE))
+        return cut(df, keys, rows, ranges)
+
+    monkeypatch.setattr(ordering, "_boundaries", counted)
+    df = spark.range(300_000).select(((F.col("id") * 7919) % 300_000).alias("id"))
+    placed = ordering.dense_index(df, "id", rows_per_range=3)
+    assert seen == [ordering.SAMPLE_PER_RANGE * 317]  # of 8 bytes each
+    assert len(placed._jdf.queryExecution().executedPlan().toString()) < 1_000_000
+    assert placed.filter("id <> row_idx").count() == 0 and placed.count() == 300_000

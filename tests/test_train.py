@@ -112,7 +112,6 @@ def test_classifiers_learn(spark, rows, tmp_path):
     models = [
         train.fit_linear_probe(fit_rows, reg=0.01),
         train.fit_linear_probe(weighted, weight="w", reg=0.01),
-        train.fit_mlp_head(fit_rows, K, hidden=8),
     ]
     for n, model in enumerate(models):
         scored = score.score_split(model, rest, ["post_id"])
