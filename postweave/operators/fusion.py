@@ -174,7 +174,6 @@ def cross_attention(
     parts = (
         pairs.select(
             on,
-            text_col,
             level.alias("_level"),
             power.alias("_power"),
             array_to_vector(powered).alias("_pv"),
@@ -183,7 +182,6 @@ def cross_attention(
         .agg(
             F.sum("_power").alias("_part"),
             Summarizer.sum(F.col("_pv")).alias("_vec"),
-            F.first(text_col).alias(text_col),
         )
     )
     scaled = F.transform(vector_to_array("_vec"), lambda v: v * F.col("_scale"))
@@ -194,12 +192,13 @@ def cross_attention(
         .agg(
             F.sum(F.col("_part") * F.col("_scale")).alias("_mass"),
             Summarizer.sum(F.col("_vec")).alias("_vec"),
-            F.first(text_col).alias(text_col),
         )
-        .withColumn("_vec", vector_to_array("_vec"))
+        .select(F.col(on).alias("_on"), "_mass", vector_to_array("_vec").alias("_vec"))
     )
+    # The sums went by id alone; the text's own vector joins them once.
+    own = texts.select(on, text_col)
     attended = F.zip_with("_vec", text_col, lambda s, t: s / F.col("_mass") + t)
-    return sums.select(on, attended.alias(out))
+    return own.join(sums, own[on].eqNullSafe(sums["_on"])).select(on, attended.alias(out))
 
 
 def cross_attention_weights(

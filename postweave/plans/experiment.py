@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweave.operators import evaluate, fusion, history, ordering, prepare, score, text
+from postweave.operators import attention, evaluate, fusion, history, networks, ordering, prepare, score, text
 from postweave.operators import vectors as vec
 from postweave.operators.train import SoftmaxHead, train_epochs
 from postweave.schema import DISPLAY_NAMES, LABEL_CODES
@@ -39,7 +39,7 @@ class Run:
     """A trained head with the rows it scores: ``split, label`` and the vector ``col``."""
 
     name: str
-    head: SoftmaxHead
+    head: SoftmaxHead | networks.TrainedNetwork
     rows: DataFrame
     col: str
     names: list[str] | None = None
@@ -76,19 +76,19 @@ def _layer(outputs: int, inputs: int) -> np.ndarray:
 
 
 def _in_batches(rows: DataFrame, id_col: str) -> DataFrame:
-    """Batches of each split: train in shuffled order, the others in id order."""
-    parts = []
+    """Batches of each split: train in shuffled order, the others in id order.
+
+    Only ids are ordered; the rows with their vectors are joined to the batch numbers once."""
+    slim, parts = rows.select(id_col, "split"), []
     for split in ["train", "valid", "test"]:
-        part = rows.filter(F.col("split") == split)
+        part = slim.filter(F.col("split") == split)
         if split == "train":
             placed = ordering.seeded_shuffle(part, SEED, 1, id_col, "row_idx")
         else:
             placed = ordering.dense_index(part, id_col)
-        numbered = ordering.assign_batches(placed, BATCH_SIZE).drop("row_idx")
-        parts.append(
-            numbered.withColumn("batch_id", F.concat_ws("-", F.lit(split), F.col("batch_id")))
-        )
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        numbered = ordering.assign_batches(placed, BATCH_SIZE)
+        parts.append(numbered.select(id_col, F.concat_ws("-", F.lit(split), F.col("batch_id")).alias("batch_id")))
+    return rows.join(reduce(lambda a, b: a.unionByName(b), parts), id_col)
 
 
 def fuse(
@@ -156,6 +156,62 @@ def run_fusion(
     return Run(kind, head, fused, "fused", DISPLAY_NAMES)
 
 
+def _indexed(rows: DataFrame) -> DataFrame:
+    """Add ``row_idx``, the position within the split by post id. Only ids are numbered; the vectors are joined to them."""
+    slim = rows.select("post_id", "split")
+    parts = [ordering.dense_index(slim.filter(F.col("split") == s), "post_id") for s in ["train", "valid", "test"]]
+    placed = reduce(lambda a, b: a.unionByName(b), parts).select("post_id", "row_idx")
+    return rows.join(placed, "post_id")
+
+
+def run_trained(
+    pairs: DataFrame,
+    kind: str = "concat",
+    epochs: int | None = None,
+    lr: float | None = None,
+    text_dims: int = 512,
+    attention_width: int = 512,
+    hidden: int | None = None,
+    journal: str | None = None,
+) -> Run:
+    """Like ``run_fusion``, with every layer trained.
+
+    ``concat`` reads the text as sparse terms, through ``hidden`` units if they are given. ``basic_attention`` has a new train
+    order in every epoch. With ``journal`` a run that was cut off goes on from its last epoch.
+    """
+    fitted = text.fit_tfidf(pairs.filter("split = 'train'"), text_dims)
+    text_width = text.tfidf_width(fitted)
+    first = pairs.select(F.size("features").alias("width")).first()
+    if first is None:
+        raise ValueError("no posts with image features")
+    classes, width = len(LABEL_CODES), first["width"]
+    if kind == "concat":
+        rows = text.tfidf_terms(pairs, fitted)
+        dropout = 0.2 if hidden else 0.0
+        network = networks.Head(classes, dense=width, sparse=text_width, hidden=hidden, dropout=dropout, seed=SEED)
+    elif kind == "basic_attention":
+        rows = _indexed(text.tfidf_features(pairs, fitted))
+        size = pairs.filter("split = 'train'").count()
+        network = attention.BatchAttention(classes, (width, text_width), size, attention_width, BATCH_SIZE, seed=SEED)
+    elif kind == "cross_attention":
+        rows = text.tfidf_features(pairs, fitted)
+        network = attention.CrossAttention(
+            classes, rows.select("post_id", "features"), text_width, width, attention_width, seed=SEED)
+    else:
+        raise ValueError(f"kind must be one of {KINDS}")
+    trained = networks.fit_network(
+        network,
+        rows,
+        model=kind,
+        epochs=EPOCH_LIMIT[kind] if epochs is None else epochs,
+        lr=LEARNING_RATE[kind] if lr is None else lr,
+        patience=PATIENCE,
+        threshold=ACCURACY_LIMIT,
+        journal=journal,
+    )
+    return Run(kind, trained, rows, "fused", DISPLAY_NAMES)
+
+
 def run_best_of(
     rows: DataFrame,
     models: dict[str, tuple[str, int]],
@@ -214,6 +270,10 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--text-dims", type=int, default=512)
     parser.add_argument("--epochs", type=int)
     parser.add_argument("--lr", type=float)
+    parser.add_argument("--trained", action="store_true", help="train every layer, not the last one only")
+    parser.add_argument("--hidden", type=int, help="hidden units of a trained concat run")
+    parser.add_argument("--attention", type=int, default=512, help="width of trained attention")
+    parser.add_argument("--journal", help="shared folder from which a trained run goes on")
     parser.add_argument("--out", required=True)
     args = parser.parse_args(argv)
 
@@ -226,7 +286,10 @@ def main(argv: list[str] | None = None) -> None:
         "image", F.col("features").cast("array<double>")
     )
     pairs = fusion.align_modalities(posts, features, "image")
-    run = run_fusion(pairs, args.fusion, args.epochs, args.lr, args.text_dims)
+    if args.trained:
+        run = run_trained(pairs, args.fusion, args.epochs, args.lr, args.text_dims, args.attention, args.hidden, args.journal)
+    else:
+        run = run_fusion(pairs, args.fusion, args.epochs, args.lr, args.text_dims)
     write_tables(run.tables("test"), args.out)
     save_checkpoint(spark, run.head, f"{args.out.rstrip('/')}/model")
 

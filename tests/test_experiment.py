@@ -99,3 +99,24 @@ def test_best_of_takes_the_better_vectors(spark):
     run = experiment.run_best_of(df, models, classes=3, epochs=15, lr=0.3)
     assert run.name == "good"
     assert run.metrics("test").first()["accuracy"] > 0.9
+
+
+@pytest.mark.parametrize("kind", experiment.KINDS)
+def test_trained_runs_learn(spark, kind, tmp_path):
+    """Words and vectors tell the class; all layers are trained, and a second call goes on from the journal."""
+    data = []
+    for i in range(180):
+        k = (i * 5) % 6
+        x = RNG.normal(size=8)
+        x[k] += 4
+        data.append((i, k, f"{WORDS[k]} seen at {i % 7}", x.tolist(), ["train", "train", "train", "valid", "test"][i % 5]))
+    pairs = spark.createDataFrame(data, "post_id long, label int, tweet string, features array<double>, split string").repartition(3)
+    options = dict(lr=0.1, text_dims=40, attention_width=4, journal=str(tmp_path / "journal"))
+    experiment.run_trained(pairs, kind, epochs=2, **options)
+    run = experiment.run_trained(pairs, kind, epochs=8, **options)
+    past = run.head.history_table(spark).collect()
+    assert [r["epoch"] for r in past] == list(range(1, len(past) + 1)) and len(past) >= 2
+    losses = [r["train_loss"] for r in past]
+    assert losses[-1] < losses[0]
+    tables = run.tables("test")
+    assert tables["predictions"].count() == 36 and tables["metrics"].first()["accuracy"] > 0.3
