@@ -283,7 +283,8 @@ def rewritten(kind: str, span: str, rng: random.Random) -> list[tuple[str, str |
     """Other forms of a span with their kind, None for what is no personal data."""
     digits = re.sub(r"[^0-9]", "", span)
     if kind == "email":
-        return [(span.replace("@", rng.choice([" [at] ", "[at]", "(at)"])), kind), (span.replace("@", " "), None)]
+        apart, close = rng.choice([" [at] ", " (at) "]), rng.choice(["[at]", "(at)"])
+        return [(span.replace("@", apart), kind), (span.replace("@", close), kind), (span.replace("@", " "), None)]
     if kind == "ip":
         parts = span.split(".")
         dot, wide = rng.choice(["[.]", "(.)"]), [*parts[:3], str(rng.randint(256, 999))]
@@ -311,8 +312,9 @@ def fit_field(texts: list[str], epochs: int = 20, rate: float = 0.5, seed: int =
 
     for text, named in SEEDS:
         cases.append((text, [(kind, text.index(s), text.index(s) + len(s)) for kind, s in named]))
-    examples = [(text[max(0, s - AROUND):s], text[s:e], text[e:e + AROUND], kind)
-                for text in texts for kind, s, e in base_spans(text)][:most]
+    every = [(text[max(0, s - AROUND):s], text[s:e], text[e:e + AROUND], kind) for text in texts for kind, s, e in base_spans(text)]
+    # As many of each kind, or rare kinds would be learnt from the fixed windows alone.
+    examples = [x for kind in KINDS for x in [y for y in every if y[3] == kind][:most // len(KINDS)]]
     examples += [(text[:text.index(s)], s, text[text.index(s) + len(s):], kind) for text, named in SEEDS for kind, s in named]
     for before, span, after, kind in examples:
         case(before, span, after, kind)
