@@ -88,7 +88,7 @@ def scan_media(spark: SparkSession, root: str, glob: str = "*", by_tasks: bool =
     ``folder`` is the first directory below the root, or NULL for a file in the root itself. One task
     lists one such directory with all below it; the driver sees the directories' names only. Names that begin
     with ``_`` or ``.`` are left out, as Spark does. ``by_tasks=False`` uses
-    Spark's own listing, which passes through the driver, for a store that only Spark reaches.
+    Spark's own listing, which passes through the driver and leaves out empty files, for a store that only Spark reaches.
     """
     base = root.rstrip("/")
     if by_tasks:
