@@ -1,36 +1,42 @@
 """Licence scans over a positional rare-token index.
 
-Words are maximal runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z. The index
-holds, for every word of the licence templates, its positions in each. A first pass counts in
-how many documents each of these words occurs; words in more than ``max_share`` of all
-documents are left out of the lookup, but for the ``KEEP`` rarest of each template, so that a
-notice is found however many documents carry it. The second pass takes each template whose
-mandatory key phrase stands in the file, with all of its words that are looked up, however many
-other notices the file holds. It turns each occurrence into (template, position in the file
-minus position in the template), and looks for the relative position that most occurrences
-agree on. A template is found when at least two and ``min_share`` of its looked-up positions
-agree.
+Words are maximal runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z. The notices
+(``notices.NOTICES``, or a list of the caller) are the index: postings of (word, notice, position).
+
+One pass over the texts stores, per file, the places of the words that any notice has. From these
+the number of files with each word is counted. A notice is probed by its words of highest
+IDF, the rarer half of them and at most ``PROBES``; no word is dropped for being common, so a
+notice is found however many files carry it. Each place of a probed word in a file votes
+for the relative positions (place minus posting) at which that word stands in a notice. The share
+of a notice's probed positions that agree on one relative position must reach ``min_share``;
+positions that the file lacks count against it. A notice of 16 words or more may have words
+inserted or left out: its votes are counted in overlapping windows of one relative position, and
+one more for every 16 words. Last, the notice's key phrases must stand word for word at relative positions of
+the window. A file is searched for all notices, however many it holds.
 
 Base phrases are found as such, wherever their words stand consecutively.
 
-``score`` is the best share of agreeing positions among the templates found, at least 0.5 where a base
-phrase stands, else 0.
+``score`` is the best share among the notices found, at least 0.5 where a base phrase stands, else 0.
 
-All of this is row-wise apart from the word counts, so no licence, however common, gathers in one
-task. Defined cases: a null text has no words; repeated rows are judged alike; empty tables give
-empty results, and other columns of the input are not read.
+Votes are grouped by file, notice and window, so no licence and no word, however common, gathers in
+one task. The driver holds one count per word of the notices. Defined cases: a null text has no words; a
+long text is one row of words, but its votes are rows of their own; a notice that stands many times is
+one label; of equal rare words the first in code-point order is probed; repeated rows and null
+ids are files like any other; empty tables give empty results, and other columns of the
+input, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postweave.llm.common import ascii_lower, text_of
-from postweave.llm.quality import let
+from postweave.llm.common import ascii_lower, broadcast_by_size, stored, text_of
+from postweave.llm.notices import NOTICES, Notice
 
 # Phrases and labels of the query's contract.
 BASE_PHRASES = {
@@ -40,36 +46,11 @@ BASE_PHRASES = {
     "mit license": "mit",
 }
 
-# Well-known licence notices as word sequences, each with a key phrase.
-TEMPLATES = [
-    ("gpl-3", "this work is licensed under the gnu general public license version 3",
-     "gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu "
-     "general public license as published by the free software foundation", "gnu general public license"),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu "
-     "lesser general public license as published by the free software foundation", "gnu lesser general public license"),
-    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in "
-     "compliance with the license", "apache license version 2 0"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
-     "associated documentation files the software to deal in the software without restriction",
-     "permission is hereby granted free of charge"),
-    ("mit", "released under the mit license", "under the mit license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided "
-     "that the following conditions are met", "redistribution and use in source and binary forms"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is "
-     "hereby granted", "for any purpose with or without fee"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license",
-     "creative commons attribution 4 0 international"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
-     "creative commons attribution noncommercial"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0",
-     "mozilla public license"),
-]
-
-KEEP = 8
-MAX_SHARE = 0.05
+PROBES = 16
+MOST_BITS = 63
 MIN_SHARE = 0.5
+SLACK_WORDS = 16
+BROADCAST_BYTES = 64 << 20
 
 
 def plain(text: Column) -> Column:
@@ -84,23 +65,8 @@ def words_of(plain_text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " "))
 
 
-def vocabulary() -> list[str]:
-    return sorted({w for _, text, _ in TEMPLATES for w in text.split()})
-
-
-def word_weights(docs: DataFrame, text_col: str = "text", max_share: float = MAX_SHARE) -> dict[str, float]:
-    """Inverse document frequency of the licence words over all documents, without words that
-    more than ``max_share`` of them contain and that are not among the ``KEEP`` rarest of a
-    template. Its size is bounded by the templates."""
-    known = F.array(*[F.lit(w) for w in vocabulary()])
-    found = F.array_intersect(words_of(plain(text_of(text_col))), known)
-    counts = docs.select(F.explode(F.array_append(found, F.lit(""))).alias("word")).groupBy("word").count()
-    df = {r["word"]: r["count"] for r in counts.collect()}
-    total = df.get("", 0)
-    rarest = {w for _, text, _ in TEMPLATES
-              for w in sorted(set(text.split()), key=lambda w: (df.get(w, 0), w))[:KEEP]}
-    return {w: math.log((1 + total) / (1 + df.get(w, 0))) for w in vocabulary()
-            if w in rarest or df.get(w, 0) <= max(1, max_share * total)}
+def vocabulary(notices: Sequence[Notice] = NOTICES) -> list[str]:
+    return sorted({w for n in notices for w in n.words})
 
 
 def _phrase_places(words: Column, plain_text: Column, phrase: str) -> Column:
@@ -112,67 +78,113 @@ def _phrase_places(words: Column, plain_text: Column, phrase: str) -> Column:
     return F.when(F.contains(plain_text, F.lit(f" {phrase} ")), places).otherwise(F.array().cast("array<int>"))
 
 
-def _most_common(offsets: Column) -> Column:
-    """How often the most frequent value of an array occurs."""
-    def step(a: Column, x: Column) -> Column:
-        run = F.when(a["last"] == x, a["run"] + 1).otherwise(F.lit(1))
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
-
-    start = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-    return F.aggregate(F.array_sort(offsets), start, step, lambda a: a["best"])
+def places_of(docs: DataFrame, id_col: str, text_col: str, notices: Sequence[Notice]) -> DataFrame:
+    """One stored row per file: _row (a number of its own), _id, n_words, _base (label and places of each
+    base phrase) and _hits, the places of the notices' words."""
+    rows = docs.select(F.col(id_col).alias("_id"), plain(text_of(text_col)).alias("_plain"))
+    rows = rows.select("_id", "_plain", words_of(F.col("_plain")).alias("_words"))
+    words, text = F.col("_words"), F.col("_plain")
+    per_phrase = F.array(*[F.struct(_phrase_places(words, text, phrase).alias("at"), F.lit(label).alias("label"))
+                           for phrase, label in BASE_PHRASES.items()])
+    hits = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("word"), i.alias("place"))),
+                    lambda h: h["word"].isin(*vocabulary(notices)))
+    return stored(rows.select(
+        F.monotonically_increasing_id().alias("_row"), "_id", F.size(words).cast("long").alias("n_words"),
+        F.filter(per_phrase, lambda p: F.size(p["at"]) > 0).alias("_base"), hits.alias("_hits")), "places")
 
 
-def _agreement(hits: Column, text: str, weights: dict[str, float]) -> Column:
-    """Share of a template's looked-up positions that agree on one relative position. Words that
-    the file lacks are not counted."""
-    positions: dict[str, list[int]] = {}
-    for i, w in enumerate(text.split()):
-        if w in weights:
-            positions.setdefault(w, []).append(i)
-    if not positions:
-        return F.lit(0.0)
-    places = F.create_map(*[x for w, at in positions.items() for x in (F.lit(w), F.array(*map(F.lit, at)))])
-    own = F.filter(hits, lambda h: h["word"].isin(*positions))
-    offsets = F.flatten(F.transform(own, lambda h: F.transform(
-        F.element_at(places, h["word"]), lambda q: h["place"] - q)))
-    present = F.array_distinct(F.transform(own, lambda h: h["word"]))
-    expected = F.aggregate(present, F.lit(0), lambda a, w: a + F.size(F.element_at(places, w)))
-    return F.when(F.size(own) < 2, 0.0).otherwise(let(_most_common(offsets), lambda best: F.when(
-        best >= 2, F.least(F.lit(1.0), best / F.greatest(expected, F.lit(1)))).otherwise(0.0)))
+def word_weights(files: DataFrame, notices: Sequence[Notice] = NOTICES) -> dict[str, float]:
+    """Inverse document frequency of the notices' words over all files."""
+    found = F.array_distinct(F.transform("_hits", lambda h: h["word"]))
+    counts = files.select(F.explode(F.array_append(found, F.lit(""))).alias("word")).groupBy("word").count()
+    df = {r["word"]: r["count"] for r in counts.collect()}
+    total = df.get("", 0)
+    return {w: math.log((1 + total) / (1 + df.get(w, 0))) for w in vocabulary(notices)}
+
+
+def probes_of(notice: Notice, weights: dict[str, float]) -> list[int]:
+    """The positions at which a notice is probed: those of its words of highest IDF."""
+    words = notice.words
+    ranked = sorted(set(words), key=lambda w: (-weights[w], w))
+    at: list[int] = []
+    for word in ranked[:min(PROBES, max(2, -(-len(ranked) // 2)))]:
+        more = [i for i, w in enumerate(words) if w == word]
+        if len(at) + len(more) > MOST_BITS:
+            break
+        at += more
+    return sorted(at)
+
+
+def window_of(notice: Notice) -> int:
+    """How many neighbouring relative positions count as one."""
+    return 1 + len(notice.words) // SLACK_WORDS
+
+
+def _postings(docs: DataFrame, notices: Sequence[Notice], phrases: list[list[list[int]]]) -> DataFrame:
+    """(word, notice, phrase, position, bit, width) of the given sets of positions of each notice."""
+    rows = [(n.words[p], i, k, p, 1 << bit, window_of(n)) for i, (n, sets) in enumerate(zip(notices, phrases))
+            for k, at in enumerate(sets) for bit, p in enumerate(at)]
+    return docs.sparkSession.createDataFrame(
+        rows, "word string, notice int, phrase int, position int, bit long, width int")
+
+
+def _relative(files: DataFrame, postings: DataFrame) -> DataFrame:
+    """One row per place of a posted word and posting of it: _row, notice, phrase, offset, bit, width."""
+    hits = files.select("_row", F.explode("_hits").alias("_hit")).select("_row", "_hit.word", "_hit.place")
+    return hits.join(F.broadcast(postings), "word").select(
+        "_row", "notice", "phrase", (F.col("place") - F.col("position")).alias("offset"), "bit", "width")
+
+
+def _windows(offsets: DataFrame) -> DataFrame:
+    """The windows that each offset falls into, as phase and window: two that overlap by half, or
+    one where a window is a single offset."""
+    phase = F.explode(F.when(F.col("width") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    shift = F.when(F.col("phase") == 1, F.floor((F.col("width") + 1) / 2)).otherwise(0)
+    return offsets.withColumn("phase", phase).withColumn(
+        "window", F.floor((F.col("offset") + shift) / F.col("width"))).drop("offset", "width")
+
+
+def find_notices(files: DataFrame, notices: Sequence[Notice] = NOTICES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(_row, notice, share): the best share of each notice found in a file of ``places_of``."""
+    weights = word_weights(files, notices)
+    probes = [probes_of(n, weights) for n in notices]
+    probed = sorted({n.words[p] for n, at in zip(notices, probes) for p in at})
+    rare = F.filter("_hits", lambda h: h["word"].isin(*probed))
+    votes = _windows(_relative(files.select("_row", rare.alias("_hits")), _postings(files, notices, [[at] for at in probes])))
+    keys = ["_row", "notice", "phase", "window"]
+    sizes = F.element_at(F.array(*[F.lit(len(at)) for at in probes]), F.col("notice") + 1)
+    agreed = (votes.groupBy(keys).agg(F.bit_count(F.bit_or("bit")).alias("votes")).filter("votes >= 2")
+              .withColumn("share", F.col("votes") / sizes).filter(F.col("share") >= min_share).drop("votes"))
+    agreed = stored(agreed, "agreed")
+
+    # Every key phrase, word for word, at an offset of an agreed window.
+    phrases = [n.phrases for n in notices]
+    some = broadcast_by_size(stored(agreed.select("_row").distinct(), "candidates"), BROADCAST_BYTES)
+    lengths = F.array(*[F.array(*[F.lit(len(at)) for at in sets]) for sets in phrases])
+    stand = (_relative(files.select("_row", "_hits").join(some, "_row", "leftsemi"), _postings(files, notices, phrases))
+             .groupBy("_row", "notice", "phrase", "offset", "width").agg(F.bit_count(F.bit_or("bit")).alias("n"))
+             .filter(F.col("n") == F.get(F.get(lengths, F.col("notice")), F.col("phrase"))))
+    known = (_windows(stand).groupBy(keys).agg(F.count_distinct("phrase").alias("n"))
+             .filter(F.col("n") == F.size(F.get(lengths, F.col("notice")))))
+    return agreed.join(known, keys, "leftsemi").groupBy("_row", "notice").agg(F.max("share").alias("share"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
+                  min_share: float = MIN_SHARE, notices: Sequence[Notice] = NOTICES) -> DataFrame:
     """One row per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    weights = word_weights(docs, text_col, max_share)
-    rows = docs.select(F.col(id_col).alias("_id"), plain(text_of(text_col)).alias("_plain"))
-    rows = rows.select("_id", "_plain", words_of(F.col("_plain")).alias("_words"))
+    files = places_of(docs, id_col, text_col, notices)
+    names = F.element_at(F.array(*[F.lit(n.label) for n in notices]), F.col("notice") + 1)
+    found = stored(find_notices(files, notices, min_share).groupBy("_row").agg(
+        F.max("share").alias("_share"), F.collect_set(names).alias("_added")), "found")
 
-    # Where the looked-up words stand, in files that hold a key phrase.
-    has_key = reduce(lambda a, b: a | b, [F.contains("_plain", F.lit(f" {key} ")) for _, _, key in TEMPLATES])
-    hits = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("word"), i.alias("place"))),
-                    lambda h: h["word"].isin(*sorted(weights)))
-    none = F.array().cast("array<struct<word:string,place:int>>")
-    rows = rows.withColumn("_hits", F.when(has_key, hits).otherwise(none))
-    found = F.array_compact(F.array(*[F.when(
-        F.contains("_plain", F.lit(f" {key} ")), F.struct(
-            F.lit(label).alias("label"),
-            _agreement(F.col("_hits"), text, weights).alias("share")))
-        for label, text, key in TEMPLATES]))
-    rows = rows.withColumn("_found", F.filter(found, lambda f: f["share"] >= min_share))
-
-    words, text = F.col("_words"), F.col("_plain")
-    per_phrase = F.array(*[F.struct(_phrase_places(words, text, phrase).alias("at"), F.lit(label).alias("label"))
-                           for phrase, label in BASE_PHRASES.items()])
-    rows = rows.withColumn("_base", F.filter(per_phrase, lambda p: F.size(p["at"]) > 0))
+    rows = files.select("_row", "_id", "n_words", "_base").join(broadcast_by_size(found, BROADCAST_BYTES), "_row", "left")
     rows = rows.withColumn("_places", F.flatten(F.transform("_base", lambda p: p["at"])))
     base = F.transform("_base", lambda p: p["label"])
-    added = F.transform("_found", lambda f: f["label"])
+    added = F.coalesce("_added", F.array().cast("array<string>"))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
-    share = F.coalesce(F.array_max(F.transform("_found", lambda f: f["share"])), F.lit(0.0))
+    share = F.coalesce("_share", F.lit(0.0))
     score = F.when(F.size("_places") > 0, F.greatest(share, F.lit(0.5))).otherwise(share)
     return rows.select(
-        F.col("_id").alias(id_col), F.size("_words").cast("long").alias("n_words"),
-        F.size("_places").cast("long").alias("n_base"), F.array_min("_places").cast("long").alias("first_word"),
-        F.array_max("_places").cast("long").alias("last_word"), joined(base).alias("base_labels"),
-        joined(F.concat(base, added)).alias("labels"), score.alias("score"))
+        F.col("_id").alias(id_col), "n_words", F.size("_places").cast("long").alias("n_base"),
+        F.array_min("_places").cast("long").alias("first_word"), F.array_max("_places").cast("long").alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.concat(base, added)).alias("labels"), score.alias("score"))

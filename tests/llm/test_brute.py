@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import compare
 from postweave.llm import chat, licenses, minhash, mixing, pieces, pii, quality, queries, urls, warc
+from postweave.llm.notices import NOTICES
 from postweave.session import scratch_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,12 +50,12 @@ def test_license_scan(spark, folder, texts):
 
 def test_license_method_finds_notices(spark):
     noise = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor"
-    rows = [(i, f"{noise}. {text}. {noise}") for i, (_, text, _) in enumerate(licenses.TEMPLATES)]
+    rows = [(i, f"{noise}. {n.text}. {noise}") for i, n in enumerate(NOTICES)]
     rows += [(100 + i, noise) for i in range(400)]
     rows += [(900, "apache license apache license gnu general public license cc by-sa")]
     found = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for i, (label, _, _) in enumerate(licenses.TEMPLATES):
-        assert label in found[i].labels.split(","), label
+    for i, n in enumerate(NOTICES):
+        assert n.label in found[i].labels.split(","), n.label
         assert found[i].score > 0.5
     assert all(found[100 + i].labels == "" and found[100 + i].score == 0 for i in range(400))
     assert (found[900].n_base, found[900].first_word, found[900].last_word) == (4, 0, 8)
@@ -63,8 +64,8 @@ def test_license_method_finds_notices(spark):
 def test_license_notice_in_a_third_of_the_rows(spark):
     """A notice is found however common it is, and in a table of two rows that both carry it."""
     noise = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor"
-    for n, every, place in ((90, 3, 3), (90, 3, 4), (2, 1, 6)):
-        label, text, _ = licenses.TEMPLATES[place]
+    for n, every, label in ((90, 3, "apache-2.0"), (90, 3, "mit"), (90, 3, "lgpl"), (2, 1, "bsd")):
+        text = next(x.text for x in NOTICES if x.label == label)
         rows = [(i, f"{noise}. {text}. {noise}" if i % every == 0 else noise) for i in range(n)]
         docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
         for r in licenses.scan_licenses(docs).collect():
@@ -76,11 +77,73 @@ def test_license_notice_in_a_third_of_the_rows(spark):
 
 def test_license_file_with_all_notices(spark):
     """Every notice of a file is found, however many words of other notices stand in it."""
-    notices = ". ".join(text for _, text, _ in licenses.TEMPLATES)
+    notices = ". ".join(n.text for n in NOTICES)
     rows = [(0, notices)] + [(i, "lorem ipsum dolor sit amet this is not the last of the words") for i in range(1, 60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     found = licenses.scan_licenses(docs).filter("doc_id = 0").first()
-    assert set(found.labels.split(",")) >= {label for label, _, _ in licenses.TEMPLATES}
+    assert set(found.labels.split(",")) >= {n.label for n in NOTICES}
+
+
+def plain_notices(texts, notices, min_share):
+    """{id: {label: share}}: the scan in plain Python, window by window."""
+    files = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+             for i, t in texts}
+    df = Counter(w for words in files.values() for w in set(words))
+    out = {i: {} for i in files}
+    for n in notices:
+        words = n.words
+        ranked = sorted(set(words), key=lambda w: (df[w], w))
+        rare = set(ranked[:min(16, max(2, (len(ranked) + 1) // 2))])
+        probes = [p for p, w in enumerate(words) if w in rare]
+        width = 1 + len(words) // 16
+        half = (width + 1) // 2 if width > 1 else 0
+        for i, file in files.items():
+            stands = lambda p, o: 0 <= p + o < len(file) and file[p + o] == words[p]
+            lows = range(-(len(words) // width + 2) * width, len(file) + width, width)
+            for low in sorted({*lows, *(x - half for x in lows)}):
+                window = range(low, low + width)
+                hits = sum(any(stands(p, o) for o in window) for p in probes)
+                if (hits >= 2 and hits / len(probes) >= min_share
+                        and all(any(all(stands(p, o) for p in at) for o in window) for at in n.phrases)):
+                    out[i][n.label] = max(out[i].get(n.label, 0), hits / len(probes))
+    return out
+
+
+def test_license_scan_against_plain_python(spark):
+    """Whole, cut, shuffled, gapped and doubled notices: the same labels and scores."""
+    rng = random.Random(11)
+    noise = "the of to software license copy and free lorem ipsum public version under work".split()
+    rows = [(0, None), (1, ""), (2, "our product is not compatible with the GNU lesser general public license"),
+            (3, "the Mozilla Public License is a text we discuss, and so is the GNU General Public License, version 3")]
+    for n in NOTICES:
+        words = n.words
+        forms = [words, words[len(words) // 3:], words[:2 * len(words) // 3], rng.sample(words, len(words)), words + noise[:3] + words]
+        for gaps in (1, 3):
+            form = list(words)
+            for _ in range(gaps):
+                form.insert(rng.randrange(len(form)), rng.choice(noise))
+            forms.append(form)
+        forms.append([w for w in words if rng.random() > 0.15])
+        for form in forms:
+            around = rng.choices(noise, k=rng.randrange(30))
+            rows.append((len(rows), " ".join([*around, *form, *rng.choices(noise, k=rng.randrange(30))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = plain_notices(rows, NOTICES, licenses.MIN_SHARE)
+    found = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert len(found) == len(rows)
+    for i, text in rows:
+        base = {label for _, label in base_places(text or "")[1]}
+        assert set(filter(None, found[i].labels.split(","))) == base | set(expected[i]), text
+        assert found[i].score == pytest.approx(max([0.5] * bool(base) + list(expected[i].values()) or [0])), text
+    # Texts that only mention a licence, and the words of notices in another order, have no label but base ones.
+    shuffled = [i for k in range(len(NOTICES)) for i in [4 + 8 * k + 3]]
+    assert not any(expected[i] for i in [2, 3, *shuffled])
+    assert sum(bool(x) for x in expected.values()) > 3 * len(NOTICES)
+
+
+def test_license_scan_has_no_python_and_no_cross_join(spark, folder):
+    plan = queries.op4_license_scan(spark, folder)._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|CartesianProduct|BroadcastNestedLoopJoin", plan)
 
 
 PATTERNS = {
