@@ -1,9 +1,10 @@
 """Mixing sources to target weights out of fixed-length token blocks.
 
 Each source's words, in a fixed order of its documents, are packed into blocks of
-``block_words`` words. The mix has so many slots, each for one block. Every output shard draws
-its counts per source from a multinomial over what the sources are still owed, so that shards
-look alike and the totals meet the targets to a block. A source numbers its slots across
+``block_words`` words. The mix has so many slots, each for one block. The slots of a source are
+dealt to the output shards by a multinomial of equal shares under the source's own generator. So
+the counts of the sources in a shard are, given the shard's size, multinomial by their targets, shards
+look alike, and the totals meet the targets to a block. A source numbers its slots across
 the shards; slot j takes the block that a pseudorandom permutation of the block indices, one
 for each pass over the source, gives for j. Blocks and slots are then joined by index.
 No block is used more often than its source is passed over, at most three times.
@@ -12,13 +13,16 @@ Targets: the sources in code-point order, null last, weigh 1, 2, 3, 1, ...; they
 of the corpus by weight. A target above three times its source's size stops there and the
 excess goes to the others by weight, until none is above.
 
-The driver holds one number per source and per (shard, source). Everything is seeded, and no
-order depends on the partitioning, so reruns agree.
+Sources are a table like any other, of any number of rows: their order, targets and draws are Spark
+jobs, and the driver sees sums over all sources only. Everything is seeded, and no order depends on the
+partitioning, so reruns agree.
 
 Defined cases: null or empty texts have size 0 and take nothing; a source without words has target
-0. Documents are ordered by a hash chunk, then id, size and text hash, so rows that repeat a document
-are separate documents with the same text, and a null id is an id like any other. An empty
-table gives no rows.
+0. Documents are ordered by a hash chunk, then id, size and text hash. Rows that repeat id, source and text
+are counted to one row before they are placed and numbered after, so they are separate documents with the same
+text and no hot key; a null id is an id like any other. Of rows that share id and text but differ elsewhere,
+``mix_documents`` returns the columns of one, chosen by their values. A text of any length is one run of
+blocks. Columns of the input named like the working columns are untouched. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,13 +34,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postweave.llm.common import WORD, broadcast_within, stored, text_of
+from postweave.llm.common import WORD, broadcast_by_size, broadcast_within, stored, text_of
+from postweave.operators.ordering import dense_index
 
 BLOCK_WORDS = 128
 SHARDS = 256
 MOST_PASSES = 3
-CHUNK_ROWS = 50_000
-MAX_SOURCES = 100_000
+CHUNK_ROWS = 5_000
+SALTS = 16
+RUN_ROWS = 10_000
 BROADCAST_BYTES = 64 << 20
 
 
@@ -44,49 +50,48 @@ def sizes_of(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def targets_of(sizes: list[int], weights: list[float] | None = None, most: int = MOST_PASSES) -> list[float]:
-    """Share the sum of the sizes by weight, none above ``most`` times its size."""
-    weights = weights or [1 + i % 3 for i in range(len(sizes))]
-    total, capped, targets = float(sum(sizes)), set(), [0.0] * len(sizes)
+def source_targets(sources: DataFrame, weights: dict | None = None, most: int = MOST_PASSES) -> DataFrame:
+    """(_source, _index, _source_size, _target) of a table (_source, _source_size): the sum of the sizes
+    shared by weight, none above ``most`` times its size.
+    A source that ``weights`` does not name weighs 0. Each round is one sum over the sources."""
+    name = F.col("_source").cast("string")
+    ranked = dense_index(sources.withColumn("_none", name.isNull()).withColumn("_name", F.coalesce(name, F.lit(""))),
+                         ["_none", "_name"], "_index")
+    if weights:
+        spark, kind = sources.sparkSession, dict(sources.dtypes)["_source"]
+        given = spark.createDataFrame(list(weights.items()), f"_given {kind}, _weight double")
+        ranked = ranked.join(given, F.col("_source").eqNullSafe(F.col("_given")), "left")
+        ranked = ranked.withColumn("_weight", F.coalesce("_weight", F.lit(0.0)))
+    else:
+        ranked = ranked.withColumn("_weight", (1 + F.col("_index") % 3).cast("double"))
+    table = stored(ranked.select("_source", "_index", "_source_size", "_weight"), "weights")
+
+    first = table.agg(F.sum("_source_size").alias("size"), F.sum("_weight").alias("weight")).first()
+    total, rest, share, stopped = float(first["size"] or 0), float(first["size"] or 0), first["weight"] or 1.0, 0
+    most_of = (most * F.col("_source_size")).cast("double")
     while True:
-        free = [i for i in range(len(sizes)) if i not in capped]
-        rest = total - sum(most * sizes[i] for i in capped)
-        share = sum(weights[i] for i in free)
-        for i in free:
-            targets[i] = rest * weights[i] / share
-        over = [i for i in free if targets[i] > most * sizes[i]]
-        if not over:
-            return targets
-        for i in over:
-            targets[i] = float(most * sizes[i])
-        capped.update(over)
-
-
-def slot_counts(sizes: list[int], targets: list[float], block_words: int, most: int = MOST_PASSES) -> list[int]:
-    """Slots per source: whole passes over its blocks, and the rest to the nearest block."""
-    counts = []
-    for size, target in zip(sizes, targets):
-        blocks = -(-size // block_words)
-        passes = int(target // size) if size else 0
-        rest = round((target - passes * size) / size * blocks) if size else 0
-        counts.append(min(passes * blocks + rest, most * blocks))
-    return counts
-
-
-def draw_shards(counts: list[int], shards: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """(shard, source, first slot, slots): multinomial draws from what is owed; the last
-    shard takes the rest."""
-    owed, first, rows = np.array(counts, dtype=np.int64), np.zeros(len(counts), dtype=np.int64), []
-    for shard in range(shards):
-        total = int(owed.sum())
-        room = -(-total // (shards - shard))
-        drawn = owed.copy()
-        if 0 < room < total:
-            rng = np.random.default_rng([seed, shard])
-            drawn = np.minimum(rng.multinomial(room, owed / total), owed)
-        rows += [(shard, s, int(first[s]), int(n)) for s, n in enumerate(drawn) if n]
-        owed, first = owed - drawn, first + drawn
-    return rows
+        due = F.lit(rest) * F.col("_weight") / F.lit(share)
+        over = due > most_of
+        now = table.agg(F.count_if(over).alias("n"), F.sum(F.when(over, most_of)).alias("size"),
+                        F.sum(F.when(~over, F.col("_weight"))).alias("weight")).first()
+        if now["n"] <= stopped or not now["weight"]:
+            return table.select("_source", "_index", "_source_size", F.least(due, most_of).alias("_target"))
+        stopped, rest, share = now["n"], total - now["size"], now["weight"]
+
+
+def slot_count(size: int, target: float, block_words: int, most: int = MOST_PASSES) -> int:
+    """Slots of a source: whole passes over its blocks, and the rest to the nearest block."""
+    if not size:
+        return 0
+    blocks, passes = -(-size // block_words), int(target // size)
+    rest = round((target - passes * size) / size * blocks)
+    return min(passes * blocks + rest, most * blocks)
+
+
+def draw_shards(count: int, shards: int, seed: int, index: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, first slot) of a source in each shard."""
+    drawn = np.random.default_rng([seed, index]).multinomial(count, np.full(shards, 1 / shards))
+    return drawn, np.cumsum(drawn) - drawn
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -120,41 +125,44 @@ class Mix:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
                  text_col: str = "text", block_words: int = BLOCK_WORDS, shards: int = SHARDS,
                  weights: dict | None = None, seed: int = 0) -> None:
-        self.spark, self.block_words, self.seed = docs.sparkSession, block_words, seed
+        self.spark, self.block_words, self.shards, self.seed = docs.sparkSession, block_words, shards, seed
         text = text_of(text_col)
-        sized = stored(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"),
-                                   sizes_of(text).alias("_size"), F.xxhash64(text).alias("_hash")), "sizes")
-        found = sized.groupBy("_source").agg(F.sum("_size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-        if len(found) > MAX_SOURCES:
-            raise ValueError(f"more than {MAX_SOURCES} sources")
-        found.sort(key=lambda r: (r["_source"] is None, str(r["_source"])))
-        sizes = [r["size"] for r in found]
-        named = [weights[r["_source"]] for r in found] if weights else None
-        targets = targets_of(sizes, named) if found else []
-        counts = slot_counts(sizes, targets, block_words)
-        self.sources = self.spark.createDataFrame(
-            [(r["_source"], i, sizes[i], targets[i]) for i, r in enumerate(found)],
-            f"_source {dict(sized.dtypes)['_source']}, _index int, _source_size long, _target double")
-        self.blocks = [-(-s // block_words) for s in sizes]
-        self.drawn = draw_shards(counts, shards, seed)
-        self._place(sized, sum(r["n"] for r in found))
-
-    def _place(self, sized: DataFrame, rows: int) -> None:
+        sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"),
+                            sizes_of(text).alias("_size"), F.xxhash64(text).alias("_hash"))
+        sized = stored(sized.groupBy("_id", "_source", "_size", "_hash").agg(F.count("*").alias("_n")), "sizes")
+        sources = sized.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_n")).alias("_source_size"))
+        self.sources = stored(source_targets(stored(sources, "sources"), weights), "targets")
+        self._place(sized)
+
+    def _with_source(self, sized: DataFrame) -> DataFrame:
+        """Each row with its source's numbers; where the sources are too many to broadcast, by a salted join."""
+        salt = F.pmod(F.xxhash64("_id", "_hash"), F.lit(SALTS)).cast("int")
+        small = broadcast_by_size(self.sources.withColumnRenamed("_source", "_named").withColumn(
+            "_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), BROADCAST_BYTES)
+        return (sized.withColumn("_salt", salt)
+                .join(small, F.col("_source").eqNullSafe(F.col("_named")) & (F.col("_salt") == F.col("_part")))
+                .drop("_source", "_named", "_salt", "_part"))
+
+    def _place(self, sized: DataFrame) -> None:
         """Running sums within hash chunks of a source, then over the chunks' totals."""
-        chunks = max(1, -(-rows // CHUNK_ROWS))
-        small = broadcast_within(self.sources, 200, BROADCAST_BYTES)
-        keyed = (sized.join(small, sized["_source"].eqNullSafe(small["_source"]))
-                 .select("_id", "_hash", "_size", "_index", "_source_size", "_target")
-                 .withColumn("_chunk", F.pmod(F.xxhash64("_id", "_hash"), F.lit(chunks)).cast("int")))
-        totals = keyed.groupBy("_index", "_chunk").agg(F.sum("_size").alias("_total"))
+        chunks = max(1, -(-sized.count() // CHUNK_ROWS))
+        keyed = self._with_source(sized).withColumn(
+            "_chunk", F.pmod(F.xxhash64("_id", "_hash"), F.lit(chunks)).cast("int"))
+        words = F.col("_size") * F.col("_n")
+        totals = keyed.groupBy("_index", "_chunk").agg(F.sum(words).alias("_total"))
         before = F.sum("_total").over(Window.partitionBy("_index").orderBy("_chunk")) - F.col("_total")
         starts = stored(totals.select("_index", "_chunk", before.alias("_before")), "chunks")
         inside = Window.partitionBy("_index", "_chunk").orderBy("_id", "_size", "_hash").rowsBetween(
             Window.unboundedPreceding, 0)
-        placed = keyed.withColumn("_inside", F.sum("_size").over(inside) - F.col("_size"))
+        placed = keyed.withColumn("_inside", F.sum(words).over(inside) - words)
         placed = placed.join(broadcast_within(starts, 60, BROADCAST_BYTES), ["_index", "_chunk"])
-        self.rows = placed.withColumn("_offset", F.col("_before") + F.col("_inside")).drop(
-            "_chunk", "_inside", "_before")
+        # Equal rows one after the other, in runs so that no list of them grows with their number.
+        runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / RUN_ROWS)))
+        last = F.least(F.lit(RUN_ROWS - 1).cast("long"), F.col("_n") - 1 - F.col("_run") * RUN_ROWS)
+        placed = placed.withColumn("_run", runs).withColumn("_nth", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        nth = F.col("_run") * RUN_ROWS + F.col("_nth")
+        self.rows = placed.withColumn("_offset", F.col("_before") + F.col("_inside") + nth * F.col("_size")).drop(
+            "_chunk", "_inside", "_before", "_n", "_run", "_nth")
 
     @property
     def pieces(self) -> DataFrame:
@@ -170,20 +178,29 @@ class Mix:
     @property
     def slots(self) -> DataFrame:
         """One row per slot of the mix: _shard, _index, _slot, _block."""
-        blocks, seed = self.blocks, self.seed
+        n, shards, seed = self.block_words, self.shards, self.seed
+
+        def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for index, size, target in frame.itertuples(index=False):
+                    count, first = draw_shards(slot_count(size, target, n), shards, seed, index)
+                    yield pd.DataFrame({"shard": np.arange(shards), "source": index, "first": first, "count": count,
+                                        "blocks": -(-size // n)})[count > 0]
 
         def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                for shard, source, first, count in frame.itertuples(index=False):
+                for shard, source, first, count, blocks in frame.itertuples(index=False):
                     for at in range(first, first + count, 1 << 16):
                         slot = np.arange(at, min(at + (1 << 16), first + count), dtype=np.int64)
-                        passes = slot // blocks[source]
+                        passes = slot // blocks
                         key = _mix64(passes.astype(np.uint64) + np.uint64((seed << 20) + (source << 2) + 1))
                         yield pd.DataFrame({"_shard": shard, "_index": source, "_slot": slot,
-                                            "_block": permuted(slot % blocks[source], blocks[source], key)})
+                                            "_block": permuted(slot % blocks, blocks, key)})
 
-        plan = self.spark.createDataFrame(self.drawn, "shard int, source int, first long, count long")
-        return plan.mapInPandas(expand, "_shard int, _index int, _slot long, _block long")
+        drawn = self.sources.select("_index", "_source_size", "_target").mapInPandas(
+            draw, "shard int, source long, first long, count long, blocks long")
+        spread = drawn.repartition(self.spark.sparkContext.defaultParallelism, "shard", "source")
+        return spread.mapInPandas(expand, "_shard int, _index long, _slot long, _block long")
 
     def uses(self) -> DataFrame:
         """Pieces of documents with _uses: how often the mix takes each."""
@@ -224,8 +241,9 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
         F.sum("_words").alias("_taken"))
     text = text_of(text_col)
     row = F.struct(*[F.col(c) for c in docs.columns])
-    held = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), row.alias("_row"))
-    held = held.groupBy("_id", "_hash").agg(F.first("_row").alias("_row"))  # rows that repeat a document
+    values = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if c != text_col and "map<" not in kind])
+    held = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), row.alias("_row"), values.alias("_values"))
+    held = held.groupBy("_id", "_hash").agg(F.min_by("_row", "_values").alias("_row"))  # rows that repeat a document
     joined = copies.join(held, copies["_id"].eqNullSafe(held["_id"]) & (copies["_hash"] == held["_hash"]))
     words = F.regexp_extract_all(F.col("_row")[text_col], F.lit("[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"), 0)
     cut = F.array_join(F.transform("_spans", lambda s: F.array_join(

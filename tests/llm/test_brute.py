@@ -223,10 +223,34 @@ def test_windows_do_not_cut_words():
         assert {m.start() for m in pii.TRIGGER.finditer(text)} <= {a for w, _, _ in pii.windows(text) for a, b in w.bounds for a in range(a, b)}
 
 
-def test_mixing_targets_and_permutation():
-    assert mixing.targets_of([100, 100, 100]) == [50, 100, 150]
-    # b stops at three times its size; the others share the rest 1 to 3.
-    assert mixing.targets_of([1000, 10, 1000]) == [495, 30, 1485]
+def targets_of(sizes, most=3):
+    """Targets in plain Python: shared by weight, none above three times its size."""
+    weights, capped, targets = [1 + i % 3 for i in range(len(sizes))], set(), [0.0] * len(sizes)
+    while True:
+        free = [i for i in range(len(sizes)) if i not in capped]
+        rest = sum(sizes) - sum(most * sizes[i] for i in capped)
+        for i in free:
+            targets[i] = rest * weights[i] / sum(weights[k] for k in free)
+        over = [i for i in free if targets[i] > most * sizes[i]]
+        if not over:
+            return targets
+        for i in over:
+            targets[i] = float(most * sizes[i])
+        capped.update(over)
+
+
+def test_mixing_targets_and_permutation(spark):
+    def found(names, sizes):
+        made = mixing.source_targets(spark.createDataFrame(list(zip(names, sizes)), "_source string, _source_size long"))
+        return [r._target for r in sorted(made.collect(), key=lambda r: r._index)]
+
+    assert found("abc", [100, 100, 100]) == [50, 100, 150]
+    # b stops at three times its size; the others share the rest 1 to 3. Null comes last.
+    assert found(["a", "b", None], [1000, 10, 1000]) == [495, 30, 1485]
+    rng = random.Random(3)
+    sizes = [int(10 ** rng.uniform(0, 7)) for _ in range(3000)]
+    names = [f"s{i:05d}" for i in range(3000)]
+    assert found(names, sizes) == pytest.approx(targets_of(sizes))
     for n in (1, 2, 3, 10, 100, 1000):
         key = np.full(n, 7, dtype=np.uint64)
         assert sorted(mixing.permuted(np.arange(n), n, key).tolist()) == list(range(n))
@@ -241,7 +265,7 @@ def test_mixing_query(spark, folder, texts):
     for i, n in sizes.items():
         total[source[i]] += n
     names = sorted(total)
-    target = dict(zip(names, mixing.targets_of([total[s] for s in names])))
+    target = dict(zip(names, targets_of([total[s] for s in names])))
     taken = Counter()
     for r in rows:
         s = source[r.doc_id]
@@ -251,6 +275,32 @@ def test_mixing_query(spark, folder, texts):
     assert all(abs(taken[s] - target[s]) <= 2 * mixing.BLOCK_WORDS for s in names)
 
 
+def test_mixing_repeated_rows_and_many_sources(spark):
+    """Equal rows are documents of their own in one run, and each source of thousands meets its target."""
+    same = [(None, "", "x")] * 30_000 + [(7, "one two three four five", "x")] * 25_000
+    rows = same + [(100 + i, "w " * (1 + i % 400), f"s{i % 4000}") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    report = mixing.mix_report(docs).collect()
+    assert len(report) == len(rows) and sorted(map(tuple, report), key=str) == sorted(map(tuple, mixing.mix_report(docs).collect()), key=str)
+    assert sum(r.doc_id == 7 for r in report) == 25_000
+    taken, target = Counter(), {}
+    for r in report:
+        assert 0 <= r.taken <= 3 * r.size
+        key = "x" if r.doc_id in (None, 7) else f"s{(r.doc_id - 100) % 4000}"
+        taken[key] += r.taken
+        target[key] = r.target
+    assert len(target) == 4001 and all(abs(taken[k] - target[k]) <= 2 * mixing.BLOCK_WORDS for k in target)
+
+
+def test_mixing_shards_look_alike(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    slots = mixing.Mix(docs, shards=8).slots.toPandas()
+    counts = slots.groupby(["_index", "_shard"]).size().unstack(fill_value=0)
+    assert counts.shape[1] == 8 and sorted(slots[slots._index == 0]._slot) == list(range(int(counts.loc[0].sum())))
+    even = counts.sum(axis=1).to_numpy()[:, None] / 8
+    assert (np.abs(counts.to_numpy() - even) <= 6 * np.sqrt(even) + 1).all()
+
+
 def test_mixed_documents_take_what_the_report_says(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     report = {r.doc_id: r for r in mixing.mix_report(docs).collect()}
