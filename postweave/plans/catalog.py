@@ -1139,7 +1139,7 @@ def stream_scores(spark, folder):
         return rows.select("label", PF.argmax(logits).alias("prediction"))
 
     out = scratch_path(spark, "stream")
-    arriving = score_stream(spark, folder, schema, scored, "embeddings*.parquet")
+    arriving = score_stream(spark, f"{folder}/embeddings[.]parquet", schema, scored, "*")
     stream_confusion(arriving, out, scratch_path(spark, "stream-state")).awaitTermination()
     return spark.read.parquet(out)
 

@@ -21,6 +21,8 @@ def score_stream(
 ) -> DataFrame:
     """Streaming ``label, prediction`` rows of the Parquet files under ``path``.
 
+    A table that may be one file or a folder of files is named by a path with a wildcard that only
+    it matches, such as ``posts[.]parquet``, and ``glob="*"``: files of a folder have other names.
     ``score`` maps the arriving rows to that form, for instance a fitted model's
     ``score_split``; the same function scores a batch table.
     """

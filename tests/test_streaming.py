@@ -25,3 +25,21 @@ def test_stream_equals_batch_and_continues(spark, tmp_path):
     rows.filter("label = 2").repartition(3).write.mode("append").parquet(source)
     assert run() == sorted(map(tuple, evaluate.confusion_counts(score(rows)).collect()))
     assert run() == sorted(map(tuple, evaluate.confusion_counts(score(rows)).collect()))
+
+
+def test_query_reads_the_table_as_a_file_or_a_folder(spark, tmp_path):
+    from postweave.plans import catalog
+
+    rows = spark.range(60).select(
+        F.col("id").alias("vec_id"),
+        (F.col("id") % 10).cast("int").alias("label"),
+        F.array([F.sin(F.col("id") * k + k).cast("float") for k in range(1, 65)]).alias("embedding"),
+    )
+    many, one = tmp_path / "many", tmp_path / "one"
+    rows.repartition(4).write.parquet(str(many / "embeddings.parquet"))
+    rows.limit(0).write.parquet(str(many / "embeddings-2.parquet"))
+    one.mkdir()
+    rows.toPandas().to_parquet(one / "embeddings.parquet")
+    found = [sorted(map(tuple, catalog.stream_scores(spark, str(d)).collect())) for d in (many, one)]
+    assert found[0] == found[1] == sorted(map(tuple, catalog.write_result_tables(spark, str(many)).collect()))
+    assert sum(n for _, _, n in found[0]) == 60
