@@ -295,7 +295,11 @@ def ordered_split(
     with it, without a shuffle.
     """
     keys = _key_list(order_by)
-    cut = key_at(df, n, keys, rows, lookup_rows)
+    # The lookup reads the keys several times: what they come from is computed once.
+    return _split_before(df, key_at(stored(df.select(*keys), "order-keys"), n, keys, rows, lookup_rows), keys, out)
+
+
+def _split_before(df: DataFrame, cut: Row | None, keys: Sequence[str], out: str) -> DataFrame:
     if cut is None:
         return df.withColumn(out, F.lit("train"))
     return df.withColumn(
@@ -311,8 +315,11 @@ def share_split(
     lookup_rows: int = LOOKUP_ROWS,
 ) -> DataFrame:
     """``ordered_split`` at a share of the rows, such as ``(7, 10)``, rounded down."""
-    rows = df.count()
-    return ordered_split(df, rows * parts[0] // parts[1], order_by, out, rows, lookup_rows)
+    keys = _key_list(order_by)
+    placed = stored(df.select(*keys), "order-keys")
+    rows = placed.count()
+    cut = key_at(placed, rows * parts[0] // parts[1], keys, rows, lookup_rows)
+    return _split_before(df, cut, keys, out)
 
 
 def seeded_shuffle(

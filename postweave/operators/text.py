@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from postweave import functions as PF
 from postweave.schema import MAX_TOKENS
+from postweave.session import stored
 
 SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
 PAD, UNK, CLS, SEP = range(len(SPECIALS))
@@ -24,6 +26,8 @@ PAD, UNK, CLS, SEP = range(len(SPECIALS))
 # most frequent entries of a lookup by joins.
 BROADCAST_ENTRIES = 100_000
 BROADCAST_BYTES = 64 * 2**20
+# Texts or their vectors in a stored file.
+ROWS_PER_FILE = 4_000
 
 
 def tokenize(df: DataFrame, col: str = "tweet", out: str = "tokens") -> DataFrame:
@@ -201,7 +205,9 @@ def _term_stats(train: DataFrame, dims: int, col: str, min_count: int) -> tuple[
     entries = (
         train.filter(F.col(col).isNotNull())
         .select(PF.tokens(F.col(col)).alias("_t"))
-        .select(F.inline(F.concat(occurrence, presence)))
+        # No text is without an entry. Before an inner inline Spark filters by the size of the
+        # array, for which it would take the tokens a second time.
+        .select(F.inline_outer(F.concat(occurrence, presence)))
     )
     counted = entries.groupBy("token").agg(
         F.sum("n").alias("n"), F.count_if(F.col("n") == 0).alias("texts")
@@ -250,15 +256,27 @@ def tfidf_width(model: PipelineModel) -> int:
     return len(model.stages[1].vocabulary)
 
 
-def tfidf_features(df: DataFrame, model: PipelineModel, out: str = "text_features") -> DataFrame:
-    """Add the TF-IDF vector as array<double>."""
-    weighted = model.transform(df)
-    return weighted.withColumn(out, vector_to_array("_tfidf")).drop("_words", "_counts", "_tfidf")
+def _weighted(df: DataFrame, model: PipelineModel, keep: Sequence[str] | None) -> DataFrame:
+    weighted = model.transform(df).drop("_words", "_counts")
+    return weighted if keep is None else stored(weighted.select(*keep, "_tfidf"), "tfidf", ROWS_PER_FILE)
 
 
-def tfidf_terms(df: DataFrame, model: PipelineModel, out: str = "text_terms") -> DataFrame:
+def tfidf_features(
+    df: DataFrame, model: PipelineModel, out: str = "text_features", keep: Sequence[str] | None = None
+) -> DataFrame:
+    """Add the TF-IDF vector as array<double>.
+
+    For rows that are read more than once ``keep`` names the columns that stay: the texts are then
+    tokenized once and their sparse vectors stored; they are filled in as they are read.
+    """
+    return _weighted(df, model, keep).withColumn(out, vector_to_array("_tfidf")).drop("_tfidf")
+
+
+def tfidf_terms(
+    df: DataFrame, model: PipelineModel, out: str = "text_terms", keep: Sequence[str] | None = None
+) -> DataFrame:
     """Add the TF-IDF vector as a struct of ``terms`` and ``values``: only the terms that occur, in any
-    number of dimensions."""
+    number of dimensions. ``keep`` as in ``tfidf_features``."""
     entries = F.unwrap_udt(F.col("_tfidf"))
     sparse = F.struct(entries["indices"].alias("terms"), entries["values"].alias("values"))
-    return model.transform(df).withColumn(out, sparse).drop("_words", "_counts", "_tfidf")
+    return _weighted(df, model, keep).withColumn(out, sparse).drop("_tfidf")

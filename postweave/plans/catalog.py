@@ -74,7 +74,8 @@ def _r(value: Column | str, name: str) -> Column:
 def _long(df: DataFrame, keys: list[str], col: str, pos: str = "pos") -> DataFrame:
     """One row per vector entry."""
     rows = df.select(*keys, F.posexplode(col).alias(pos, "_x"))
-    return rows.select(*keys, pos, _r("_x", "value"))
+    # Most entries of sparse vectors are zero; rounding goes through decimals and is slow.
+    return rows.select(*keys, pos, F.when(F.col("_x") == 0, 0.0).otherwise(_r("_x", "value")).alias("value"))
 
 
 def _joined(items: str) -> Column:
@@ -488,9 +489,9 @@ def _tfidf_sql(rows: str, fit: str = "split_posts") -> str:
       FROM {rows} p CROSS JOIN idf i LEFT JOIN tf ON tf.post_id = p.post_id AND tf.token = i.token)"""
 
 
-def _with_text(spark, folder, rows: DataFrame) -> DataFrame:
+def _with_text(spark, folder, rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     fitted = T.text_model(T.split_posts(spark, folder).filter("split = 'train'"))
-    return text.tfidf_features(rows, fitted)
+    return text.tfidf_features(rows, fitted, keep=keep)
 
 
 @query(
@@ -633,10 +634,10 @@ _ALIGNED = f"""{CLEAN}, {T.PAIRS_SQL}, {_tfidf_sql('pairs', 'pairs')},
       FROM pairs p JOIN text_entries t USING (post_id))"""
 
 
-def _aligned(spark, folder) -> DataFrame:
+def _aligned(spark, folder, keep: list[str] | None = None) -> DataFrame:
     """Cleaned posts with both feature vectors; text features fitted on their train split."""
     pairs = T.split_pairs(spark, folder)
-    return text.tfidf_features(pairs, T.text_model(pairs.filter("split = 'train'")))
+    return text.tfidf_features(pairs, T.text_model(pairs.filter("split = 'train'")), keep=keep)
 
 
 @query(f"{_ALIGNED} SELECT post_id, CAST(pos AS INT) AS pos, round(x, 6) + 0.0 AS value FROM fused")
@@ -705,7 +706,7 @@ _CROSS = f"""{CLEAN}, {_tfidf_sql('posts')},
 
 
 def _cross_inputs(spark, folder):
-    texts = _with_text(spark, folder, T.texts(spark, folder)).select("post_id", "text_features")
+    texts = _with_text(spark, folder, T.texts(spark, folder), ["post_id"])
     images = T.vectors(spark, folder).withColumn(
         "post_id", F.floor(F.col("vec_id") / 2).cast("bigint")
     )
@@ -832,7 +833,7 @@ def fit_weighted_probe(spark, folder):
 
 @query(_zeros(6))
 def fit_fused_classifier(spark, folder):
-    rows = _aligned(spark, folder).filter("split = 'train'")
+    rows = _aligned(spark, folder, ["label", "split", "features"]).filter("split = 'train'")
     fitted = train.fit_fused_classifier(rows)
     fused = fusion.fuse_concat(rows, "features", "text_features").select("label", "fused")
     return _residual(fused, fitted.coefficientMatrix, fitted.interceptVector, 0.01, col="fused")

@@ -18,7 +18,7 @@ from postweave.operators import attention, evaluate, fusion, history, networks,
 from postweave.operators import vectors as vec
 from postweave.operators.train import SoftmaxHead, train_epochs
 from postweave.schema import DISPLAY_NAMES, LABEL_CODES
-from postweave.session import scratch_path
+from postweave.session import scratch_path, stored
 from postweave.sources import LOAD_ORDER, read_manifest, save_checkpoint, write_tables
 
 KINDS = ["concat", "basic_attention", "cross_attention"]
@@ -140,8 +140,11 @@ def run_fusion(
     first = pairs.select(F.size("features").alias("width")).first()
     if first is None:
         raise ValueError("no posts with image features")
-    rows = text.tfidf_features(pairs, fitted)
+    rows = text.tfidf_features(pairs, fitted, keep=[c for c in pairs.columns if c != "tweet"])
     fused = fuse(rows, kind, first["width"], text_width)
+    if kind != "concat":
+        # Training and scoring read the attended vectors, each of which depends on other rows.
+        fused = stored(fused.select("post_id", "label", "split", "fused"), "fused", text.ROWS_PER_FILE)
     head = train_epochs(
         fused,
         len(LABEL_CODES),

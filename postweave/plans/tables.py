@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from postweave import functions as PF
 from postweave.operators import fusion, ordering, prepare, text
 from postweave.schema import LABEL_CODES
+from postweave.session import stored
 from postweave.sources import read_table
 
 SEED = 50
@@ -160,11 +161,13 @@ def post_images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Cleaned posts with image features by id: 70 % train, 15 % valid, the rest test."""
+    """Cleaned posts with image features by id: 70 % train, 15 % valid, the rest test.
+
+    The pairs are joined once and stored: the split reads their ids, and a fit and its
+    scoring read them again."""
     pairs = fusion.align_modalities(clean_posts(spark, folder), post_images(spark, folder))
-    slim = clean_posts(spark, folder).select("post_id").join(
-        post_images(spark, folder).select("post_id"), "post_id"
-    )
+    pairs = stored(pairs, "pairs", text.ROWS_PER_FILE)
+    slim = pairs.select("post_id")
     rows = slim.count()
     seen = ordering.key_at(slim, rows * 17 // 20, "post_id", rows)
     first = ordering.key_at(slim, rows * 7 // 10, "post_id", rows)

@@ -54,7 +54,8 @@ def _pairs(spark, folder):
     """Cleaned posts with images and their sparse text, whose weights are fitted on the train split."""
     pairs = T.split_pairs(spark, folder)
     fitted = T.text_model(pairs.filter("split = 'train'"))
-    return text.tfidf_terms(pairs, fitted), text.tfidf_width(fitted)
+    keep = ["post_id", "label", "features", "split"]
+    return text.tfidf_terms(pairs, fitted, keep=keep), text.tfidf_width(fitted)
 
 
 @query(f"{_ALIGNED}, {head_sql(_FUSED_INPUTS, 6, _EPOCHS, _RATE)} SELECT epoch, {_SERIES} FROM run")

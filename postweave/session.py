@@ -47,9 +47,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Write a table to the shared folder and read it back: it is computed once for all that
-    read it, and outlives the executors that computed it."""
+    read it, and outlives the executors that computed it. Where costly work per row follows,
+    ``rows_per_file`` bounds what a scan task gets at least."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
