@@ -157,14 +157,19 @@ def cross_attention(
     ``query``, ``key`` and ``value`` are ``(weights, bias)`` pairs; the value width
     must equal the text width. With one image the weight is 1 and the result is
     value plus text; a text without images keeps its own vector. The sums are formed per task and score level, so a post with
-    very many images does not gather in one task.
+    very many images does not gather in one task. The value layer is linear: the images themselves are summed, with a
+    one for the bias, and the layer is applied to the sums.
     """
-    offered = images.withColumn("_v", PF.project(F.col(image_col), *value, batches=batches))
+    layer = np.asarray(value[0], dtype="float64")
+    shift = np.zeros(len(layer)) if value[1] is None else np.asarray(value[1], dtype="float64")
+    vec = F.col(image_col)
+    whole = (F.size(vec) == layer.shape[1]) & ~F.exists(vec, lambda x: x.isNull())
+    extended = F.when(vec.isNotNull() & whole, F.concat(vec.cast("array<double>"), F.array(F.lit(1.0))))
     pairs = _scored_pairs(
-        texts.select(on, text_col), offered, on, query, key, text_col, image_col, batches
+        texts.select(on, text_col), images.withColumn("_v", extended), on, query, key, text_col, image_col, batches
     )
     # Without an image the value is zero and its weight 1.
-    nothing = PF.array_literal(np.zeros(np.asarray(value[0]).shape[0]))
+    nothing = PF.array_literal(np.zeros(layer.shape[1] + 1))
     pairs = pairs.withColumns(
         {"_score": F.coalesce("_score", F.lit(0.0)), "_v": F.coalesce("_v", nothing)}
     )
@@ -197,8 +202,11 @@ def cross_attention(
     )
     # The sums went by id alone; the text's own vector joins them once.
     own = texts.select(on, text_col)
-    attended = F.zip_with("_vec", text_col, lambda s, t: s / F.col("_mass") + t)
-    return own.join(sums, own[on].eqNullSafe(sums["_on"])).select(on, attended.alias(out))
+    mean = F.transform("_vec", lambda s: s / F.col("_mass"))
+    joined = own.join(sums.select("_on", mean.alias("_mean")), own[on].eqNullSafe(F.col("_on")))
+    values = PF.project(F.col("_mean"), np.hstack([layer, shift[:, None]]), batches=batches)
+    attended = F.zip_with(values, text_col, lambda v, t: v + t)
+    return joined.select(on, attended.alias(out))
 
 
 def cross_attention_weights(
