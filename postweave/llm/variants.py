@@ -160,10 +160,18 @@ def _advance(states: DataFrame, edges: DataFrame, small: bool) -> DataFrame:
     return out
 
 
+def _parts(words: DataFrame) -> int:
+    """Tasks that the frontier's work is dealt to, by the number of words."""
+    return max(words.sparkSession.sparkContext.defaultParallelism, words.count() // WORDS_PER_PART)
+
+
 def neighbours(words: DataFrame) -> DataFrame:
-    """(word, near): ordered pairs of words that differ by one inserted, deleted or replaced code point."""
-    words = words.select("word")
-    edges = stored(trie_edges(words), "trie-edges")
+    """(word, near): ordered pairs of words that differ by one inserted, deleted or replaced code point.
+
+    A level unites six joins, each with as many tasks as the last level left files. Without a bound tasks and
+    files grow from level to level, and with them what the driver holds of each."""
+    words, parts = words.select("word"), _parts(words)
+    edges = stored(trie_edges(words).coalesce(parts), "trie-edges")
     # Rows of an edge as they stand, or one for each letter that goes on from its child.
     width = (F.lit(100) + F.octet_length("label") + F.octet_length("nexts") + F.coalesce(F.octet_length("ends"), F.lit(0))) * (
         F.greatest(F.length("nexts"), F.lit(1)))
@@ -172,7 +180,8 @@ def neighbours(words: DataFrame) -> DataFrame:
     pairs = states.select("word", F.lit(None).cast("string").alias("ends")).limit(0)
     for level in sorted(sizes):
         here = edges.filter(F.col("level") == level).drop("level")
-        states = stored(_advance(states, here, sizes[level] <= BROADCAST_BYTES), f"frontier{level}")
+        ahead = _advance(states, here, sizes[level] <= BROADCAST_BYTES)
+        states = stored(ahead.coalesce(parts), f"frontier{level}")
         pairs = pairs.union(states.filter("ends is not null").select("word", "ends"))
         states = states.filter("ends is null")
     # Names of nodes are hashes: the pair itself is checked, too.
@@ -181,11 +190,9 @@ def neighbours(words: DataFrame) -> DataFrame:
 
 def group_variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """word, form, root, n, n_near, form_n of a table (word, n) with one row per word."""
-    spark = words.sparkSession
     words = stored(words.select("word", "n"), "counted")
     # The frontier's work is spread by word, however few files the counts came in.
-    parts = max(spark.sparkContext.defaultParallelism, words.count() // WORDS_PER_PART)
-    words = stored(words.repartition(parts, "word"), "words")
+    words = stored(words.repartition(_parts(words), "word"), "words")
     links = stored(neighbours(words), "neighbours")
     counts = words.select(F.col("word").alias("near"), F.col("n").alias("_m"))
     best = links.join(counts, "near").groupBy("word").agg(

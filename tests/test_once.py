@@ -73,3 +73,16 @@ def test_scored_rows_do_not_attend_again(spark, folder, kind):
     plan = plan_of(run.rows)
     assert not any(word in plan for word in ("regexp", "Window", "Join", "documents.parquet"))
     assert run.scored("test").count() == run.rows.filter("split = 'test'").count() > 0
+
+
+def test_trie_levels_keep_their_number_of_tasks(spark, monkeypatch):
+    from postweave.llm import variants
+
+    tasks, keep = {}, variants.stored
+    monkeypatch.setattr(variants, "stored", lambda df, name: tasks.update({name: df.rdd.getNumPartitions()}) or keep(df, name))
+    words = [a + b + "tail" for a in ("abc", "abd", "xbc") for b in ("mn", "mo", "pn", "m")]
+    rows = spark.createDataFrame([(w,) for w in words], "word string").repartition(16)
+    found = {tuple(r) for r in variants.neighbours(rows).collect()}
+    assert ("abcmntail", "abcmotail") in found and ("abcmntail", "abcmtail") in found
+    levels = [n for name, n in tasks.items() if name.startswith("frontier") or name == "trie-edges"]
+    assert len(levels) > 2 and max(levels) <= spark.sparkContext.defaultParallelism
