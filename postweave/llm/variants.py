@@ -102,40 +102,52 @@ def _moved(joined: DataFrame, to: Column, edits: Column) -> DataFrame:
     return moved.filter(found | goes_on).select("word", "pos", "node", "edits", F.when(found, F.col("ends")).alias("ends"))
 
 
+def marked_edges(edges: DataFrame) -> DataFrame:
+    """The edges with a column ``mark``, one row for each way in which a state finds an edge of its node.
+
+    ``=`` and the first letter of the label; for labels of one letter ``>`` and each letter that goes on from the
+    child, or nothing more where a word ends there; ``*`` for longer labels, which an edit may fall into."""
+    onward = F.transform(F.filter(F.split("nexts", ""), lambda c: c != ""), lambda c: F.concat(F.lit(">"), c))
+    onward = F.when(F.col("ends").isNull(), onward).otherwise(F.array_append(onward, F.lit(">")))
+    marks = F.when(F.length("label") == 1, onward).otherwise(F.array(F.lit("*")))
+    return edges.withColumn("mark", F.explode(F.array_append(marks, F.concat(F.lit("="), "first"))))
+
+
 def _advance(states: DataFrame, edges: DataFrame, small: bool) -> DataFrame:
     """The states after one more edge: word, pos, node, edits, ends (where they have reached a neighbour).
 
-    Where the label has one letter, as near the root, edits are equi-joins: the letter after the edit must
-    go on from the child. ``small``: the edges may be broadcast."""
+    ``edges`` are marked. All moves that the letters of the word decide are one equi-join: a state asks for a mark
+    for each move it may make. Where the label has one letter, as near the root, those are all: the letter after
+    the edit must go on from the child. ``small``: the edges may be broadcast."""
     side = F.broadcast if small else lambda df: df
     zero, one = F.lit(0), F.lit(1)
-    lettered = states.select("word", "pos", "node", "edits", _letter(0).alias("r0"), _letter(1).alias("r1"),
-                             (F.length("word") - F.col("pos")).alias("left"))
-    fresh = lettered.filter("edits = 0")
-    size, pos, left = F.length("label"), F.col("pos"), F.col("left")
-
+    size, pos, left = F.length("label"), F.col("pos"), F.length("word") - F.col("pos")
+
+    def ask(move: int, kind: str, letter: Column) -> Column:
+        return F.struct(F.lit(move).alias("move"), F.concat(F.lit(kind), letter).alias("mark"))
+
+    meet, last, replace, take, over = range(5)
+    r0, r1 = _letter(0), _letter(1)
+    own = ask(meet, "=", r0)
+    asks = F.when(F.col("edits") == 0, F.array(own, ask(last, "=", r0), ask(replace, ">", r1), ask(take, ">", r0), ask(over, "=", r1)))
+    asking = states.select("word", "pos", "node", "edits", F.explode(asks.otherwise(F.array(own))).alias("_ask"))
+    asking = asking.select("word", "pos", "node", "edits", "_ask.*")
+    met = asking.join(side(edges.filter("mark <> '*'")), ["node", "mark"])
     # The label as it is; with an edit left, also without the word's last letter.
-    met = lettered.join(side(edges), (lettered["node"] == edges["node"]) & (F.col("r0") == F.col("first"))).drop(edges["node"])
-    met = met.filter((size == 1) | (F.substr("word", pos + 1, size) == F.col("label")))
-    parts = [_moved(met, pos + size, F.col("edits")),
-             _moved(met.filter((F.col("edits") == 0) & (left == size + 1)), pos + size + 1, one)]
-
-    # One letter replaced or taken: the child must go on with the letter that follows.
-    short = edges.filter(size == 1)
-    following = F.filter(F.split("nexts", ""), lambda c: c != "")
-    following = F.when(F.col("ends").isNull(), following).otherwise(F.array_append(following, F.lit("")))
-    paths = short.withColumn("next", F.explode(following))
-    for letter, to in (("r1", pos + 1), ("r0", pos)):
-        other = fresh.join(side(paths), (fresh["node"] == paths["node"]) & (F.col(letter) == F.col("next"))).drop(paths["node"])
-        # Past the end of the word there is nothing to replace.
-        allowed = (F.col("label") != F.col("r0")) & (left >= 1 if letter == "r1" else F.lit(True))
-        parts.append(_moved(other.filter(allowed), to, one))
-    passed = fresh.join(side(short), (fresh["node"] == short["node"]) & (F.col("r1") == F.col("first"))).drop(short["node"])
-    parts.append(_moved(passed.filter((left >= 2) & (F.col("r0") != F.col("r1"))), pos + 2, one))
+    whole = (size == 1) | (F.substr("word", pos + 1, size) == F.col("label"))
+    move, other = F.col("move"), F.col("label") != r0
+    # One letter replaced, taken or passed over. Past the end of the word there is nothing to replace.
+    met = met.filter(F.when(move == meet, whole).when(move == last, (left == size + 1) & whole)
+                     .when(move == replace, (left >= 1) & other).when(move == take, other)
+                     .otherwise((size == 1) & (left >= 2) & (r0 != r1)))
+    to = F.when(move == meet, size).when(move == last, size + 1).when(move == replace, 1).when(move == take, 0).otherwise(2)
+    out = _moved(met, pos + to, F.when(move == meet, F.col("edits")).otherwise(one))
 
     # An edit within a longer label: the letters at its first two places tell most pairs apart.
-    long = edges.filter(size > 1).withColumn("second", F.substring("label", 2, 1))
-    pairs = fresh.join(side(long), fresh["node"] == long["node"]).drop(long["node"])
+    fresh = states.filter("edits = 0").select("word", "pos", "node", r0.alias("r0"), r1.alias("r1"), left.alias("left"))
+    left = F.col("left")
+    long = edges.filter("mark = '*'").withColumn("second", F.substring("label", 2, 1))
+    pairs = fresh.join(side(long), "node")
     near = (F.col("first") == F.col("r0")) | (F.col("second") == F.col("r1")) | (F.col("second") == F.col("r0")) | (F.col("first") == F.col("r1"))
     fits = (left - size).between(F.col("least") - 1, F.col("most") + 1)
     pairs = pairs.filter(near & fits & (size <= left + 1))
@@ -153,11 +165,7 @@ def _advance(states: DataFrame, edges: DataFrame, small: bool) -> DataFrame:
         (free & (left >= size - 1) & (text("head", same + 1, size - same - 1) == rest), pos + size - 1),
         (free & (left > size) & (text("head", same + 2, size - same) == text("label", same + 1, size - same)), pos + size + 1)]
     ends = F.array_compact(F.array(*[F.when(when, to.cast("int")) for when, to in changed]))
-    parts.append(_moved(pairs.withColumn("_to", F.explode(ends)), F.col("_to"), one))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    return out.union(_moved(pairs.withColumn("_to", F.explode(ends)), F.col("_to"), one))
 
 
 def _parts(words: DataFrame) -> int:
@@ -168,13 +176,11 @@ def _parts(words: DataFrame) -> int:
 def neighbours(words: DataFrame) -> DataFrame:
     """(word, near): ordered pairs of words that differ by one inserted, deleted or replaced code point.
 
-    A level unites six joins, each with as many tasks as the last level left files. Without a bound tasks and
+    A level unites two joins, each with as many tasks as the last level left files. Without a bound tasks and
     files grow from level to level, and with them what the driver holds of each."""
     words, parts = words.select("word"), _parts(words)
-    edges = stored(trie_edges(words).coalesce(parts), "trie-edges")
-    # Rows of an edge as they stand, or one for each letter that goes on from its child.
-    width = (F.lit(100) + F.octet_length("label") + F.octet_length("nexts") + F.coalesce(F.octet_length("ends"), F.lit(0))) * (
-        F.greatest(F.length("nexts"), F.lit(1)))
+    edges = stored(marked_edges(trie_edges(words)).coalesce(parts), "trie-edges")
+    width = F.lit(100) + F.octet_length("label") + F.octet_length("nexts") + F.coalesce(F.octet_length("ends"), F.lit(0))
     sizes = dict(edges.groupBy("level").agg(F.sum(width.cast("long"))).collect())  # one row per level
     states = words.select("word", F.lit(0).alias("pos"), F.lit(ROOT).cast("long").alias("node"), F.lit(0).alias("edits"))
     pairs = states.select("word", F.lit(None).cast("string").alias("ends")).limit(0)

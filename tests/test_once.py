@@ -86,3 +86,16 @@ def test_trie_levels_keep_their_number_of_tasks(spark, monkeypatch):
     assert ("abcmntail", "abcmotail") in found and ("abcmntail", "abcmtail") in found
     levels = [n for name, n in tasks.items() if name.startswith("frontier") or name == "trie-edges"]
     assert len(levels) > 2 and max(levels) <= spark.sparkContext.defaultParallelism
+
+
+def test_trie_levels_join_the_states_twice(spark, monkeypatch):
+    from postweave.llm import variants
+
+    joins, keep = {}, variants.stored
+    monkeypatch.setattr(variants, "stored", lambda df, name: joins.update({name: plan_of(df).count("Join")}) or keep(df, name))
+    rows = spark.createDataFrame([(w,) for w in ("abcdefgh", "abcdefgi", "abcdxfgh", "abcdefg", "bbcdefgh", "mnopqrst")], "word string")
+    found = {tuple(sorted(r)) for r in variants.neighbours(rows).collect()}
+    assert found == {tuple(sorted(p)) for p in (("abcdefgh", "abcdefgi"), ("abcdefgh", "abcdxfgh"), ("abcdefgh", "abcdefg"),
+                                                ("abcdefgh", "bbcdefgh"), ("abcdefgi", "abcdefg"))}
+    levels = [n for name, n in joins.items() if name.startswith("frontier")]
+    assert levels and max(levels) <= 2
