@@ -12,7 +12,7 @@ of word frequencies. A larger alpha comes closer to the single best segmentation
 and a literal ``▁`` are spelled as byte pieces, so every text comes back exactly.
 
 Chunks of half a million characters are filtered together: those that the task has no table of yet as columns of arrays, all
-ends of pieces of one length at a time, then one place of all chunks at a time. A task keeps its tables up to a fixed size. The vocabulary is read
+ends of pieces of one length at a time as long as a piece ends like that, then one place of all chunks at a time. A task keeps its tables up to a fixed size. The vocabulary is read
 on the driver from ``model_file`` and broadcast: it is a file of fixed size (0.5 MB).
 
 Defined cases: null and empty texts have no pieces and decode to the empty text; a null key is a key of
@@ -36,8 +36,10 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MAX_PIECE = 16
 TABLE_BITS = 18
+ENDS_BITS = 20
 GOLDEN = 0x9E3779B97F4A7C15
 CHAR_BASE = 0xD6E8FEB86659FD93
+BYTES = np.uint64(0x0101010101010101)
 #: Characters that are encoded together.
 GROUP = 1 << 19
 #: Private characters that stand for single bytes within a chunk.
@@ -74,6 +76,10 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes * np.uint64(GOLDEN) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 class Lattice:
     """Piece weights, found by rolling hashes of the characters that they end at."""
 
@@ -103,11 +109,19 @@ class Lattice:
                     raise ValueError("two pieces have the same hash")
                 slot = (slot + 1) % len(keys)
             keys[slot], entries[slot] = h, i
+        # Marks the hashes of what pieces end in: a string that has none is no end of a longer piece either.
+        self.ends = np.zeros(1 << ENDS_BITS, dtype=bool)
+        for k in range(1, MAX_PIECE):
+            some = _codes(list({name[-k:] for name in names if len(name) > k})).reshape(-1, k)
+            hashes = np.zeros(len(some), dtype=np.uint64)
+            for place in range(k):
+                hashes = hashes + _char_hash(some[:, k - 1 - place], place)
+            self.ends[_slots(hashes, ENDS_BITS)] = True
         self.keys, self.entries = np.array(keys, dtype=np.uint64), np.array(entries, dtype=np.int32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The entry of each hash."""
-        slots = (hashes * np.uint64(GOLDEN) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        slots = _slots(hashes, TABLE_BITS)
         there = self.keys[slots]
         out = np.where(there == hashes, self.entries[slots], len(self.weights) - 1)
         todo = np.flatnonzero((there != hashes) & (there != 0))
@@ -127,9 +141,9 @@ class Lattice:
             return chunks
         ends = np.cumsum([len(c) for c in chunks])
         out = list(chunks)
+        as_bytes = {c: "".join(chr(BYTE_BASE + b) for b in chr(c).encode()) for c in np.unique(flat[odd]).tolist()}
         for i in np.unique(np.searchsorted(ends, odd, side="right")).tolist():
-            out[i] = "".join(c if self.known[ord(c)] else "".join(
-                chr(BYTE_BASE + b) for b in c.encode()) for c in chunks[i])
+            out[i] = chunks[i].translate(as_bytes)
         return out
 
 
@@ -163,29 +177,35 @@ class Filtered:
                 break
             hashes = hashes + _char_hash(codes[rows - k], k)
             entries[rows, k] = lattice.find(hashes)
+            longer = lattice.ends[_slots(hashes, ENDS_BITS)]
+            rows, hashes = rows[longer], hashes[longer]
         self.entries, self.ids = entries, lattice.ids
         self.shares = np.ones((total, MAX_PIECE), dtype=np.float32)
         # State 0 of every chunk has weight 1; a piece of k characters comes from k states before.
-        base = self.starts + np.arange(len(chunks))
-        forward = np.zeros(total + len(chunks))
-        forward[base] = 1.0
+        # A chunk's last states stand side by side, the newest at ``head``, and move back to the end when the front is reached.
+        states = np.zeros((len(chunks), 4 * MAX_PIECE))
+        head = states.shape[1] - MAX_PIECE
+        states[:, head] = 1.0
         longest_first = np.argsort(-self.lengths, kind="stable")
         counts = np.searchsorted(-self.lengths[longest_first], -np.arange(self.lengths.max(initial=0)), side="left")
-        row, state = self.starts[longest_first], base[longest_first]
+        row = self.starts[longest_first]
         for p, live in enumerate(counts.tolist()):
-            row, state, width = row[:live], state[:live], min(p + 1, MAX_PIECE)
-            sums = lattice.weights[entries[row, :width]]
-            sums *= forward[state[:, None] - np.arange(width)]
+            row, width = row[:live], min(p + 1, MAX_PIECE)
+            sums = lattice.weights.take(entries[row, :width])
+            sums *= states[:live, head:head + width]
             np.cumsum(sums, axis=1, out=sums)
             last = sums[:, -1]
-            forward[state + 1] = last
+            if head == 0:
+                head = states.shape[1] - MAX_PIECE
+                states[:live, head:] = states[:live, :MAX_PIECE]
+            head -= 1
+            states[:live, head] = last
             self.shares[row, :width] = sums / last[:, None]
             # Only ratios within one piece's reach matter: where the newest state is small, the states
             # that a piece can still start from are divided by it.
             if p % 4 == 3 and len(low := np.flatnonzero(last < SMALL)):
-                reach = (state[low] + 1)[:, None] - np.arange(min(p + 2, MAX_PIECE + 1))
-                forward[reach] /= last[low, None]
-            row, state = row + 1, state + 1
+                states[low, head:head + MAX_PIECE] /= last[low, None]
+            row = row + 1
 
 
 class Tables:
@@ -200,7 +220,8 @@ class Tables:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.used, self.size = 0, 0
-        self.starts, self.lengths = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        # By chunk: the first place, the places, and the characters as they stand in the text.
+        self.starts, self.lengths, self.sizes = (np.zeros(0, dtype=np.int64) for _ in range(3))
         self.entries = np.zeros((0, MAX_PIECE), dtype=np.int32)
         self.shares = np.zeros((0, MAX_PIECE), dtype=np.float32)
 
@@ -218,7 +239,7 @@ class Tables:
         if self.used > self.most:
             self.clear()
         known = self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
+        new = list(dict.fromkeys([c for c in chunks if c not in known]))
         if new:
             made = Filtered(self.lattice, new)
             rows = len(made.entries)
@@ -226,6 +247,7 @@ class Tables:
             self.entries[self.used:self.used + rows], self.shares[self.used:self.used + rows] = made.entries, made.shares
             self.starts = np.concatenate([self.starts, made.starts + self.used])
             self.lengths = np.concatenate([self.lengths, made.lengths])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, new), np.int64, len(new))])
             known.update(zip(new, range(len(known), len(known) + len(new))))
             self.used += rows
         return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
@@ -243,7 +265,9 @@ def sample(table: Filtered | Tables, which: np.ndarray, keys: np.ndarray, places
         row = at[live] - 1
         draw = _mix64(keys[live] + (places[live] + (row - first[live])).astype(np.uint64) * np.uint64(GOLDEN))
         u = ((draw >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) / np.float32(1 << 24)
-        pick = (u[:, None] > table.shares[row]).sum(axis=1)
+        # The flags of a row are 16 bytes: added up as two numbers, and those by a product into the topmost byte.
+        passed = (u[:, None] > table.shares[row]).view(np.uint64)
+        pick = ((passed[:, 0] + passed[:, 1]) * BYTES >> np.uint64(56)).astype(np.int64)
         ids.append(table.ids[table.entries[row, pick]])
         owners.append(live)
         counts[live] += 1
@@ -288,7 +312,7 @@ def encode_texts(lattice: Lattice, texts: list[str], keys: list[int], tables: Ta
             return
         which = tables.places_of(chunks)
         counts = np.array([n for _, n, _ in owners], dtype=np.int64)
-        widths = 4 * np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1
+        widths = 4 * tables.sizes[which] + 1
         ends = np.concatenate([[0], np.cumsum(widths)])
         base = np.array([place for _, _, place in owners], dtype=np.int64) - ends[np.cumsum(counts) - counts]
         places = ends[:-1] + np.repeat(base, counts)

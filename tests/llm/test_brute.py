@@ -460,6 +460,22 @@ def test_kept_tables_draw_the_same(monkeypatch):
         assert [x.tolist() for x in monkeyed] == alone
 
 
+def test_places_are_looked_up_as_far_as_pieces_end_like_that(monkeypatch):
+    vocabulary = pieces.load_vocabulary()
+    lattice, rng, asked = pieces.Lattice(vocabulary, 1.0), random.Random(6), []
+    words = ["▁" + "".join(rng.choice("qzxjkvwpé7漢") for _ in range(60)) for _ in range(50)] + ["▁information", "▁the\n", "▁", "a" * 40]
+    find = lattice.find
+    monkeypatch.setattr(lattice, "find", lambda hashes: asked.append(len(hashes)) or find(hashes))
+    table = pieces.Filtered(lattice, words)
+    weights, at = {**vocabulary["pieces"], **{chr(pieces.BYTE_BASE + b): i for b, i in enumerate(vocabulary["bytes"])}}, 0
+    for word in lattice.spelled(words):
+        for p in range(len(word)):
+            want = {k: weights[word[p - k:p + 1]] for k in range(min(p + 1, pieces.MAX_PIECE)) if word[p - k:p + 1] in weights}
+            assert {k: table.ids[e] for k, e in enumerate(table.entries[at]) if lattice.weights[e] > 0} == want
+            at += 1
+    assert at == len(table.entries) and sum(asked) < 6 * at
+
+
 def test_lossless_for_any_text():
     vocabulary = pieces.load_vocabulary()
     lattice, decoder, rng = pieces.Lattice(vocabulary, 1.0), pieces.Decoder(vocabulary), random.Random(4)
